@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,10 +42,26 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, fs = _place(spark, path)
+    fs.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash_path = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(spark: SparkSession, *stashes: DataFrame) -> None:
+    """Delete stashes that no later step reads, and let Spark's cleaner drop the shuffle files of
+    finished steps now (it waits for the driver's garbage collection)."""
+    for df in stashes:
+        place, fs = _place(spark, df._stash_path)
+        fs.delete(place, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def column_bytes(column: pa.Array) -> list[bytes]:

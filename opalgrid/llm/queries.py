@@ -30,6 +30,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(chat_format(rows.unionByName(own)))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opalgrid.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opalgrid.llm.mixing import mix
 
@@ -42,6 +48,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opalgrid.llm.ngram_join import similarity_components
+
+    return similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opalgrid.llm.packing import pack
 
@@ -70,7 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op4_mixing, op5_exact_dedup, op7_packing, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_substring_dedup, op4_mixing, op5_exact_dedup, op6_ngram_join, op7_packing, op9_token_counts, op10_toxicity)}
 
 _CONTROL = ["[TURN] ", "[/TURN]", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 
@@ -80,7 +92,21 @@ def _escapes(text: str) -> str:
     return " + ".join(f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in ["\\", *_CONTROL])
 
 
+_SPLIT = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
 ORACLES = {
+    "op6_ngram_join": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {_SPLIT.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON x = r)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
     "op2_chat_format": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -91,6 +117,17 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(7 + sum(15 + length(role) + length(text) + {_escapes("text")} + {_escapes("role")} + length(role) - length(replace(role, chr(10), ''))) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id""",
+    "op3_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w WHERE len(ws) >= 20),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h FROM g),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM k) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
+lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY 1),
+word AS (SELECT w.doc_id, generate_subscripts(ws, 1) AS p, unnest(ws) AS t FROM w),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op5_exact_dedup": """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
