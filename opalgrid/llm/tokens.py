@@ -1,8 +1,11 @@
-"""Exact tokenizer ids through a bounded cache of words.
-
-The vocabulary's own library makes every id. Its normaliser and splitter never join or look
-across white space, so a text's ids are those of its white-space-separated chunks in order
-(tests/llm checks it against whole texts); chunks repeat, so each is encoded once per cache.
+"""Exact ids of the subword vocabulary ``word_bpe_49k`` through bounded caches.
+
+The vocabulary's splitter cuts a text into pieces that the BPE model encodes one by one, and
+pieces repeat. A text of printable Latin-1 characters and white space is folded and split here
+by the vocabulary's own rules, and the library's model encodes each new piece. Any other text
+is taken chunk by chunk between white space, across which nothing is joined: plain chunks as
+above, others through the library whole. tests/llm holds this against the library on whole
+texts and on random strings.
 """
 
 from __future__ import annotations
@@ -13,61 +16,66 @@ from array import array
 import numpy as np
 
 #: White space as the vocabulary's splitter knows it; str.split() also splits at \x1c-\x1f.
-_CHUNK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
 _OTHER = "\x1c\x1d\x1e\x1f"
-_loaded: dict[str, ChunkEncoder] = {}
+_PLAIN = re.compile("[\t-\r -~\xa1-\xac\xae-\xff]*").fullmatch
+_LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+#: The vocabulary's splitting pattern, within folded Latin-1.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\t-\r {_LETTER}{_NUMBER}]+").findall
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+#: Byte-level alphabet: bytes that can't be shown get the characters from 256 on.
+_ALPHABET = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
-class ChunkEncoder:
-    limit = 150_000
+class _Cache(dict):
+    """Two generations: when full, the entries become the old ones, and those used come back."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        value = self[key] = self.make(key) if found is None else found
+        return value
 
-    def __init__(self, path: str):
+
+class ChunkEncoder:
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.starts = array("I"), array("q", [0])
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.index[w] = len(self.starts) - 1
-                self.ids.extend(e.ids)
-                self.starts.append(len(self.ids))
-
-    def _indices(self, text: str) -> np.ndarray:
-        words = _CHUNK.findall(text) if any(c in text for c in _OTHER) else text.split()
-        get = self.index.get
-        found = [get(w) for w in words]
-        if None in found:
-            missing = list(dict.fromkeys(w for w, i in zip(words, found, strict=True) if i is None))
-            if len(self.index) + len(missing) > self.limit and self.index:
-                self._reset()
-                missing = list(dict.fromkeys(words))
-            self._learn(missing)
-            found = [self.index[w] for w in words]
-        return np.array(found, np.int64)
+        self.model = self.tokenizer.model
+        self.pieces, self.chunks = _Cache(self._piece, limit), _Cache(self._chunk, limit // 4)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join(map(_ALPHABET.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if _PLAIN(chunk) and "<|" not in chunk:
+            return b"".join(map(self.pieces.__getitem__, _PIECES(chunk.lower())))
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def raw(self, text: str) -> bytes:
+        """Ids of the whole text, as native 32-bit numbers."""
+        if _PLAIN(text) and "<|" not in text:
+            return b"".join(map(self.pieces.__getitem__, _PIECES(text.lower())))
+        chunks = _CHUNK.findall(text) if any(c in text for c in _OTHER) else text.split()
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
     def encode(self, text: str) -> np.ndarray:
-        """uint32 ids of the whole text."""
-        at = self._indices(text)
-        starts, ids = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.uint32) if self.ids else np.empty(0, np.uint32)
-        first, n = starts[at], starts[at + 1] - starts[at]
-        total = int(n.sum())
-        out = ids[np.repeat(first - np.cumsum(n) + n, n) + np.arange(total)] if total else np.empty(0, np.uint32)
-        del starts, ids  # array() can't grow while its buffer is in use
-        return out
+        return np.frombuffer(self.raw(text), np.uint32)
 
     def count(self, text: str) -> int:
-        at = self._indices(text)
-        starts = np.frombuffer(self.starts, np.int64)
-        total = int((starts[at + 1] - starts[at]).sum())
-        del starts
-        return total
+        return len(self.raw(text)) // 4
+
+
+_loaded: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
