@@ -180,7 +180,7 @@ def caption_ok(c: Column, forbidden: tuple[str, ...] = ("<", ">", "http", "\n"),
 def data_url(content: Column, path: Column) -> Column:
     suffix = F.lower(F.regexp_extract(path, r"\.([^.]+)$", 1))
     mime = F.when(suffix == "png", "image/png").when(suffix == "webp", "image/webp").when(suffix == "bmp", "image/bmp").otherwise("image/jpeg")
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
 
 
 def palette_index(name: Column, n: int = 32) -> Column:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from opalgrid.functions.geometry import box, centre, holds_point
+from opalgrid.session import ship
 
 
 def linear_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +93,7 @@ def max_matching(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame
         got = bipartite_matching(list(zip(part[a].tolist(), part[b].tolist(), strict=True)))
         return pd.DataFrame({**{k: [part[k].iloc[0]] for k in keys}, "n_matched": [len(got)]})
 
+    ship(pairs.sparkSession)
     kinds = dict(pairs.dtypes)
     return pairs.select(*keys, a, b).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_matched long")
 
@@ -108,6 +110,7 @@ def hungarian(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str, limi
         r, k = assignment_with_limit(m, top)
         return pd.DataFrame({**{x: [part[x].iloc[0]] * len(r) for x in keys}, a: left[r], b: right[k], cost: m[r, k]})
 
+    ship(pairs.sparkSession)
     kinds = dict(pairs.dtypes)
     return pairs.select(*keys, a, b, cost).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in [*keys, a, b]) + f", {cost} double")
 

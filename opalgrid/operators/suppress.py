@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from opalgrid.functions.geometry import Box, area, iou
+from opalgrid.session import ship
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -163,7 +164,7 @@ def fuse_group(boxes: np.ndarray, scores: np.ndarray, models: np.ndarray, weight
         mine = clusters[best]
         mine.append(i)
         s = scores[mine]
-        fused[best] = (boxes[mine] * s[:, None]).sum(axis=0) / s.sum()
+        fused[best] = (boxes[mine] * s[:, None]).sum(axis=0) / s.sum() if s.sum() > 0 else boxes[mine].mean(axis=0)
         level[best] = float(s.max()) if mode == "max" else float(s.mean())
     out = np.array(level, float)
     for k, mine in enumerate(clusters):
@@ -193,6 +194,7 @@ def weighted_boxes_fusion(df: DataFrame, image: str, label: str, weights: list[f
         boxes, out = fuse_group(part[BOX].to_numpy(float)[order], s[order], part[model].to_numpy()[order], w, threshold, mode)
         return pd.DataFrame({image: part[image].iloc[0], label: part[label].iloc[0], "score": out, **{c: boxes[:, i] for i, c in enumerate(BOX)}})
 
+    ship(df.sparkSession)
     kinds = dict(df.dtypes)
     rows = df.where(F.col(score) >= least).where((area(Box(*map(F.col, BOX))) > 0)).select(image, label, score, pos, model, *[F.col(c).cast("double").alias(c) for c in BOX])
     return rows.groupBy(image, label).applyInPandas(run, f"{image} {kinds[image]}, {label} {kinds[label]}, score double, x1 double, y1 double, x2 double, y2 double")
