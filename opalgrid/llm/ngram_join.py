@@ -1,16 +1,21 @@
 """N-gram Jaccard join: a grouped prefix join over sets of word shingles, and its components.
 
-Documents of equal sets are one row from the start. Shingles have one global order: those
-whose hash falls in a fixed band first, by document frequency (exact, over all sets) and hash,
-then the rest by hash. Two sets of similarity t share an element among the first
-n - ceil(t n) + 1 of that order (the prefix), and only the band has to be counted for it.
-Elements of frequency 1 link nothing, so a set whose prefix they fill is done. Sets of equal
-prefix and size form one group; groups meet over the elements of their prefixes.
+Documents of equal sets are one row from the start. Shingles have one global order, by
+document frequency (exact, over all sets) and hash. Two sets of sizes n and m and similarity t
+share at least a = ceil(t (n + m) / (1 + t)) elements, so the first element they share stands
+among the first n - a + 1 of the one and m - a + 1 of the other: only elements of these
+prefixes meet, each with its place. Elements of frequency 1 link nothing, so a set whose
+prefix they fill is done.
+
+To count no more than needed, a first pass orders and counts only a fixed band of the hash
+range (elements inside it come first; that is a global order too). Sets it leaves open, about
+those with a near copy or of shared passages, are counted in full among themselves. Sets of
+equal prefix and size form one group; groups meet over elements and are expanded to members.
 
 Of sets that meet over an element each is first held against one pivot (linear in the list);
-whole texts decide. Members of one component need no further look; then pairs of different
-components that share an element are expanded and verified, so no link between components is
-lost while a cluster of n near copies costs about n checks.
+full sets decide. Members of one component need no further look; then pairs of different
+components that an element still joins are verified, so no link between components is lost
+while a cluster of n near copies costs about n checks.
 """
 
 from __future__ import annotations
@@ -20,9 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from opalgrid.llm.common import WordHashes, column_bytes, column_of, mixed, stash, tune, window_hashes
+from opalgrid.llm.common import WordHashes, column_bytes, column_of, mixed, release, stash, tune, window_hashes
 from opalgrid.llm.components import components
 
 #: Share of the hash range whose elements come first and are counted.
@@ -72,25 +77,45 @@ def _sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     return rows.mapInArrow(run, "id long, n int, d1 long, d2 long, band array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar."""
+def _full_sets(texts: DataFrame, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            parts = [shingle_set(t, hashes, k).view(np.int64) for t in column_bytes(column_of(batch, "text"))]
+            n = [len(p) for p in parts]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([column_of(batch, "id"), pa.array(n, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))], names=["id", "n", "items"])
+
+    return texts.mapInArrow(run, "id long, n int, items array<long>")
+
+
+def _open_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """id, n, first (elements of frequency 1 before), whole (none of those at all) and prefix (the
+    others of the prefix, in order) of sets that have any. ``sets``: id, n, items: all elements, or
+    those of the band and at least a prefix."""
+    elements = sets.select("id", F.explode("items").alias("s"))
+    shared = elements.groupBy("s").agg(F.count("*").alias("df")).where("df >= 2")
+    listed = elements.join(shared, "s").groupBy("id").agg(F.collect_list(F.struct("df", "s")).alias("found"))
+    meta = sets.select("id", "n", F.size("items").alias("e"))
+    rows = listed.join(meta, "id").withColumn("first", F.col("e") - F.size("found"))
+    rows = rows.withColumn("open", F.col("n") - F.ceil(F.col("n") * percent / 100.0).cast("int") + 1 - F.col("first")).where("open > 0")
+    return rows.select("id", "n", "first", (F.col("first") == 0).alias("whole"), F.transform(F.slice(F.array_sort("found"), F.lit(1), F.col("open")), lambda x: x["s"]).alias("prefix"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, own = WordHashes(), None, None
         for batch in batches:
             a, b = column_of(batch, "a"), column_of(batch, "b")
-            keep = []
-            for i, x, y in zip(a.to_pylist(), column_bytes(column_of(batch, "ta")), column_bytes(column_of(batch, "tb")), strict=True):
-                if last != (i, len(x)):
-                    last, own = (i, len(x)), shingle_set(x, hashes, k)
-                keep.append(similar(own, shingle_set(y, hashes, k), percent))
+            keep = [similar(x.values.to_numpy(), y.values.to_numpy(), percent) for x, y in zip(column_of(batch, "sa"), column_of(batch, "sb"), strict=True)]
             if any(keep):
                 mask = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    sb = sets.select(F.col("id").alias("b"), F.col("items").alias("sb"))
+    sa = sets.select(F.col("id").alias("a"), F.col("items").alias("sa"))
+    return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def similarity_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,37 +134,41 @@ def similarity_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col
     reps = stash(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")))
     keys = reps.select(F.col("rep").alias("id"), "d1", "d2")
     own = stash(full.join(keys, ["id", "d1", "d2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "band"))
-    # elements of the band that two sets or more hold, with their frequency
-    elements = own.select("id", F.explode("band").alias("s"))
-    shared = elements.groupBy("s").agg(F.count("*").alias("df")).where("df >= 2")
-    listed = elements.join(shared, "s").groupBy("id").agg(F.collect_list(F.struct("df", "s")).alias("found"))
-    # how many of the prefix are not of frequency 1: the prefix less the band's unique elements
-    meta = own.select("id", "n", F.size("band").alias("e"))
-    open_ = F.col("n") - F.ceil(F.col("n") * percent / 100.0).cast("int") + 1 - (F.col("e") - F.size("found"))
-    prefixes = stash(listed.join(meta, "id").withColumn("open", open_).where("open > 0").select("id", "n", (F.col("e") == F.size("found")).alias("whole"), F.transform(F.slice(F.array_sort("found"), F.lit(1), F.col("open")), lambda x: x["s"]).alias("prefix")))
+    release(spark)
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
+    open_ids = stash(_open_prefixes(own.withColumnRenamed("band", "items"), percent).select("id"))
+    release(spark, own)
+    whole_sets = stash(_full_sets(texts.join(open_ids, "id", "left_semi"), k).dropDuplicates(["id"]))
+    release(spark)
+    prefixes = stash(_open_prefixes(whole_sets, percent))
+    release(spark)
     # groups of equal prefix and size; a prefix with an element of frequency 1 is like no other
     key = F.when(F.col("whole"), F.xxhash64("prefix")).otherwise(F.col("id"))
     keyed = prefixes.withColumn("key", key)
     heads = keyed.groupBy("n", "whole", "key").agg(F.min("id").alias("gid"))
-    grouped = stash(keyed.join(heads, ["n", "whole", "key"]).select("id", "gid", "n", "prefix"))
-    postings = stash(grouped.where("id = gid").select("gid", "n", F.explode("prefix").alias("s")))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    pivots = postings.groupBy("s").agg(F.min(F.struct("gid", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("s", "p")
-    stars = postings.join(pivots, "s").where((F.col("gid") != F.col("p.gid")) & fits(F.col("n"), F.col("p.n"))).select(F.col("p.gid").alias("a"), F.col("gid").alias("b"))
+    grouped = stash(keyed.join(heads, ["n", "whole", "key"]).select("id", "gid", "n", "first", "prefix"))
+    postings = stash(grouped.where("id = gid").select("gid", "n", "first", F.posexplode("prefix").alias("i", "s")).select("s", "gid", "n", (F.col("first") + F.col("i")).alias("pos")))
+
+    def meet(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
+        """Whether a pair of these sizes may have its first common element at these places."""
+        least = F.ceil((n1 + n2) * percent / (100.0 + percent))
+        return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (p1 <= n1 - least) & (p2 <= n2 - least)
+
+    pivots = postings.groupBy("s").agg(F.min(F.struct("pos", "gid", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("s", F.col("p.gid").alias("pg"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"))
+    stars = postings.join(pivots, "s").where((F.col("gid") != F.col("pg")) & meet(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp"))).select(F.least("pg", "gid").alias("a"), F.greatest("pg", "gid").alias("b"))
     first = stash(stars.unionByName(grouped.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))).distinct())
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    links = stash(_verified(first, texts, k, percent))
-    known = stash(components(links))
+    known = stash(components(_verified(first, whole_sets, percent)))
+    release(spark)
     # lists that still hold several components: the members outside the largest meet the others
-    labelled = grouped.join(known, F.col("id") == F.col("node"), "left").select("id", "gid", "n", F.coalesce("component", "id").alias("c"))
-    mixed_lists = stash(postings.select("s", "gid").join(labelled, "gid").select("s", "id", "n", "c"))
-    sizes = mixed_lists.groupBy("s", "c").agg(F.count("*").alias("m"))
+    labelled = grouped.join(known, F.col("id") == F.col("node"), "left").select("id", "gid", F.coalesce("component", "id").alias("c"))
+    lists = stash(postings.join(labelled, "gid").select("s", "id", "n", "pos", "c"))
+    sizes = lists.groupBy("s", "c").agg(F.count("*").alias("m"))
     major = sizes.groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").select("s", "major")
-    left = mixed_lists.join(major, "s")
-    minor = left.where("c <> major").select("s", F.col("id").alias("i1"), F.col("n").alias("n1"), F.col("c").alias("c1"))
-    meets = minor.join(left, "s").where((F.col("c1") != F.col("c")) & fits(F.col("n1"), F.col("n")) & ((F.col("c") == F.col("major")) | (F.col("i1") < F.col("id"))))
+    left = stash(lists.join(major, "s"))
+    minor = left.where("c <> major").select("s", F.col("id").alias("i1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("c").alias("c1"))
+    meets = minor.join(left, "s").where((F.col("c1") != F.col("c")) & meet(F.col("n1"), F.col("p1"), F.col("n"), F.col("pos")) & ((F.col("c") == F.col("major")) | (F.col("i1") < F.col("id"))))
     pairs = meets.select(F.least("i1", "id").alias("a"), F.greatest("i1", "id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = _verified(stash(pairs), texts, k, percent)
+    more = _verified(pairs, whole_sets, percent)
     final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_rep = reps.join(final, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.col("n").alias("__n"), F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("id", "n", "d1", "d2").join(of_rep, ["d1", "d2"], "left")
