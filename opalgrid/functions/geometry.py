@@ -248,3 +248,23 @@ def polygon_area(points: Column) -> Column:
     turned = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
     terms = F.zip_with(points, turned, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2
+
+
+#: Box forms: to and from xyxy. ``convert`` goes between any two.
+FORMS = {
+    "xyxy": (lambda b: tuple(b), lambda *v: Box(*v)),
+    "xywh": (to_xywh, from_xywh),
+    "cxcywh": (to_cxcywh, from_cxcywh),
+    "cxcyah": (to_cxcyah, from_cxcyah),
+}
+
+
+def convert(values: tuple[Column, ...], source: str, target: str) -> tuple[Column, ...]:
+    return FORMS[target][0](FORMS[source][1](*values))
+
+
+def corner_by_hash(key: Column, b: Box, clearance: float = 2.0) -> tuple[Column, Column]:
+    """One of the four corners, moved inside by ``clearance``, by the MD5 of a key: stable on any
+    cluster. (A seeded generator per row would need Python; the choice only has to be even.)"""
+    k = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % 4
+    return F.when(k % 2 == 0, b.x1 + clearance).otherwise(b.x2 - clearance), F.when(k < 2, b.y1 + clearance).otherwise(b.y2 - clearance)

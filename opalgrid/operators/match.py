@@ -230,3 +230,19 @@ def panoptic_match(pixels: DataFrame, keys: list[str] | None = None) -> DataFram
     p = pixels.groupBy(*keys, "pred_id").agg(F.sum("n").alias("pn"))
     out = pixels.where("gt_id <> 0 and pred_id <> 0").join(g, [*keys, "gt_id"]).join(p, [*keys, "pred_id"])
     return out.withColumn("iou", F.col("n") / (F.col("gn") + F.col("pn") - F.col("n"))).where("iou > 0.5").select(*keys, "gt_id", "pred_id", "iou")
+
+
+#: TP/FP rules by name; a caller may pass its own of the same shape.
+TPFP = {"voc": tpfp_voc, "imagenet": tpfp_imagenet, "openimages": tpfp_openimages, "caltech": caltech_match}
+
+
+def without_unannotated(dets: DataFrame, allowed: DataFrame, image: str = "image_id", cls: str = "cls") -> DataFrame:
+    """Detections of classes that were verified for their image (present or absent)."""
+    return dets.join(allowed.select(image, cls).distinct(), [image, cls], "left_semi")
+
+
+def occluded_recall(gts: DataFrame, dets: DataFrame, threshold: float = 0.75, least_score: float = 0.3, image: str = "image_id", cls: str = "cls", gt: str = "gt_id") -> DataFrame:
+    """Each ground truth with found: whether a detection of its class and enough score overlaps it."""
+    d = dets.where(F.col("score") >= least_score)
+    p = pairs_of(gts, d, [image, cls], gt=gt).where(F.col("iou") >= threshold).select(image, cls, gt).distinct().withColumn("found", F.lit(1))
+    return gts.join(p, [image, cls, gt], "left").withColumn("found", F.coalesce("found", F.lit(0)))

@@ -156,3 +156,13 @@ def anchor_kmeans(boxes: DataFrame, start: list[tuple[float, float]], rounds: in
             break
         centres = new
     return centres
+
+
+def sequence_iou(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """IoU of two tracks: intersections over unions summed over frames. ``rows``: one per frame of
+    either, with box columns and g_ columns, null where one side is absent."""
+    a, b = box(), box("g_")
+    both = a.x1.isNotNull() & b.x1.isNotNull()
+    i = F.when(both, intersection(a, b)).otherwise(0.0)
+    u = F.when(both, union(a, b)).when(a.x1.isNotNull(), area(a)).otherwise(area(b))
+    return rows.groupBy(*keys).agg(safe_ratio(F.sum(i), F.sum(u)).alias("iou"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opalgrid.plans import boxes, generators, matching, measures, ranking  # noqa: F401  they register themselves
+from opalgrid.plans import boxes, extras, generators, matching, measures, ranking  # noqa: F401  they register themselves
 from opalgrid.plans.carrier import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
