@@ -4,7 +4,8 @@ Voters are words, word beginnings and their pairs-in-text patterns found in labe
 rows. A generative label model knows only their votes: expectation maximisation estimates the
 class balance and each voter's firing rate in either class, and excess agreement of two voters
 inside a class (their correlation) shrinks the weight of both. The posterior labels train a
-linear classifier over hashed word features, which scores every text.
+linear classifier over hashed word features, whose scale the training labels set; it scores
+every text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from opalgrid.llm.common import column_bytes, column_of, tune
+from opalgrid.llm.common import column_bytes, column_of, hash_sample, tune
 
 #: Most labelled rows to learn from, those with the smallest hashes of their identifier.
 TRAIN_ROWS = 12_000
@@ -95,23 +96,20 @@ def label_model(votes: np.ndarray, prior: float, steps: int = 40) -> tuple[np.nd
     """Posterior of each row, accuracy of each voter, and its weight after correlation. ``votes``:
     bool, rows by voters. Two classes, firing rates by class, from votes alone."""
     v = votes.astype(float)
-    any_vote = v.sum(axis=1) > 0
-    q = np.where(any_vote, 0.9, 0.02) if len(v) else np.zeros(0)
-    weight, balance = np.ones(v.shape[1]), min(max(prior, 1e-3), 0.5)
+    voices, weight, balance = v.sum(axis=1), np.ones(v.shape[1]), float(np.clip(prior, 1e-3, 0.5))
+    q = np.where(voices >= 2, 0.9, np.where(voices == 1, 0.3, 0.01)) if len(v) else np.zeros(0)
     a = b = np.full(v.shape[1], 0.5)
     for step in range(steps):
         s, r = q.sum(), (1 - q).sum()
-        a = np.clip((q @ v + 0.5) / (s + 1), 1e-4, 0.999)
-        b = np.clip(((1 - q) @ v + 0.05) / (r + 1), 1e-5, 0.999)
+        a = np.clip((q @ v + 0.1) / (s + 1), 1e-4, 0.999)
+        b = np.clip(((1 - q) @ v + 0.02) / (r + 1), 1e-5, 0.999)
         if step == steps // 2:  # voters that agree far beyond chance inside the toxic class share one voice
             c = (v * q[:, None]).T @ v / max(s, 1e-9) - np.outer(a, a)
             d = np.sqrt(np.clip(np.diag(c), 1e-9, None))
             r2 = np.clip(c / np.outer(d, d), 0, 1)
             weight = 1 / np.where(r2 >= SAME_VOICE, r2, 0).sum(axis=1).clip(1)
-        # a voter that says nothing abstains: voters of other languages are no evidence
-        logit = np.log(balance / (1 - balance)) + v @ (weight * np.log(a / b))
-        q = np.where(any_vote, 1 / (1 + np.exp(-np.clip(logit, -50, 50))), 0.0)
-        balance = float(np.clip(q.mean(), 1e-3, 0.5))
+        logit = np.log(balance / (1 - balance)) + v @ (weight * np.log(a / b)) + (1 - v) @ (weight * np.log((1 - a) / (1 - b)))
+        q = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
     return q, a * balance / np.maximum(a * balance + b * (1 - balance), 1e-12), weight
 
 
@@ -133,6 +131,21 @@ def linear(rows: list[np.ndarray], target: np.ndarray, wanted: np.ndarray, epoch
     return Model(float(bias), {int(f): float(x) for f, x in zip(wanted, w, strict=True)})
 
 
+def calibrated(model: Model, rows: list[np.ndarray], y: np.ndarray, steps: int = 50) -> Model:
+    """The same order of scores, with slope and bias of the training labels (Platt's smoothed targets)."""
+    z = np.array([model.bias + sum(model.weights.get(f, 0.0) for f in r.tolist()) for r in rows])
+    pos, neg = y.sum(), (~y).sum()
+    target = np.where(y, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    t, x = np.array([1.0, 0.0]), np.stack([z, np.ones(len(z))], axis=1)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ t, -50, 50)))
+        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2)
+        t = t - np.clip(np.linalg.solve(h, x.T @ (p - target)), -5, 5)
+    if not np.isfinite(t).all() or t[0] <= 0:
+        return model
+    return Model(float(model.bias * t[0] + t[1]), {f: w * float(t[0]) for f, w in model.weights.items()})
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     if not len(rows) or not y.any():
         return Model(-5.0, {})
@@ -144,14 +157,14 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     for k, r in enumerate(rows):
         votes[k, [column[f] for f in r.tolist() if f in column]] = True
     posterior, _, _ = label_model(votes, float(y.mean()))
-    return linear(rows, posterior, wanted)
+    return calibrated(linear(rows, posterior, wanted), rows, y)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
     """Features of a bounded sample of labelled rows that are not held out. The sample is drawn
     from the labels alone (two columns), so one filtered pass reads its texts."""
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out_column()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most).drop("h")
+    sample = hash_sample(known, "doc_id", most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
