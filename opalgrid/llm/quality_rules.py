@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opalgrid.llm.common import WordHashes, column_bytes, column_of, stash, tune, window_hashes
+from opalgrid.llm.common import WordHashes, column_bytes, column_of, hash_sample, stash, tune, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 #: Most labelled rows the list is learnt from; rows with the smallest hashes of their identifier.
@@ -187,8 +187,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, train_rows: int = T
     rules: list = []
     if labels is not None:
         known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-        sample = stats.where(~F.col("base_failed")).join(known, "doc_id").select("doc_id", "quality", F.xxhash64("doc_id").alias("h"), *(feature(f).alias(f) for f in FEATURES)).orderBy("h", "doc_id").limit(train_rows)
-        rows = sample.toPandas()
+        labelled = stats.where(~F.col("base_failed")).join(known, "doc_id").select("doc_id", "quality", *(feature(f).alias(f) for f in FEATURES))
+        rows = hash_sample(labelled, "doc_id", train_rows).toPandas()
         if len(rows):
             rules = learn(rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy() == 0)
     return stats.withColumn("rule", expression(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
