@@ -238,10 +238,12 @@ def substring_dedup(docs: DataFrame, window: int = 20, hot: int = 1000, id_col:
     tune(spark)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     every = stash(_occurrences(texts, window))
-    twice = every.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen >= 2").select("anchor")
+    # aggregates are written before they are joined: a join right above one keeps its partitioning,
+    # and Spark can't split the task of a very common anchor there
+    twice = stash(every.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen >= 2").select("anchor"))
     repeated = stash(every.join(twice, "anchor"))
-    release(spark, every)
-    contexts = repeated.groupBy("anchor", "content").agg(F.min("id").alias("first_id"))
+    release(spark, every, twice)
+    contexts = stash(repeated.groupBy("anchor", "content").agg(F.min("id").alias("first_id")))
     # the first start inside the first document, then how many contexts the anchor has
     first = repeated.join(contexts, ["anchor", "content"]).where("id = first_id").groupBy("anchor", "content", "id").agg(F.min("start").alias("start"))
     first = stash(first)
@@ -256,7 +258,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, hot: int = 1000, id_col:
     alone = single.join(lowest, ["anchor", "key"]).where((F.col("id") != F.col("i")) | (F.col("start") != F.col("s"))).select("id", "start", F.lit(1).alias("mask"))
     marks = later.unionByName(_earlier(spans.where("key is null"), window)).unionByName(alone)
     marks = stash(marks.groupBy("id").agg(F.collect_list(F.struct("start", "mask")).alias("m")).select("id", F.col("m.start").alias("starts"), F.col("m.mask").alias("masks")))
-    release(spark, repeated, first, spans)
+    release(spark, repeated, contexts, first, spans)
     out = _kept(texts.join(marks, "id", "left"), window)
     return out.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text")
 
