@@ -47,7 +47,9 @@ def average_precision(curve: DataFrame, n_gts: DataFrame, keys: list[str], mode:
     """keys, n_gt, ap: area under the precision envelope, or the mean at 11 (or 101) recalls.
     Groups without detections have ap 0; those without ground truth are left out."""
     back = W.partitionBy(*keys).orderBy("rank")
-    best = curve.withColumns({"envelope": F.max("precision").over(back.rowsBetween(0, W.unboundedFollowing)), "gain": F.col("recall") - F.coalesce(F.lag("recall").over(back), F.lit(0.0))})
+    # a running maximum from the end: a frame that reaches forward would be evaluated anew for every row
+    ahead = W.partitionBy(*keys).orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0)
+    best = curve.withColumns({"envelope": F.max("precision").over(ahead), "gain": F.col("recall") - F.coalesce(F.lag("recall").over(back), F.lit(0.0))})
     if mode == "area":
         ap = best.groupBy(*keys).agg(F.sum(F.col("envelope") * F.col("gain")).alias("ap"))
     else:
