@@ -94,11 +94,14 @@ def voters(rows: list[np.ndarray], y: np.ndarray, most: int = 400, least: int =
 
 def label_model(votes: np.ndarray, prior: float, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of each row, accuracy of each voter, and its weight after correlation. ``votes``:
-    bool, rows by voters. Two classes, firing rates by class, from votes alone."""
+    bool, rows by voters. Two classes, firing rates by class, from votes alone. A voter that does
+    not fire abstains: the words of one language say nothing by being absent from another. That
+    a voter fires alone, backed by no other, is one observation of the row."""
     v = votes.astype(float)
     voices, weight, balance = v.sum(axis=1), np.ones(v.shape[1]), float(np.clip(prior, 1e-3, 0.5))
     q = np.where(voices >= 2, 0.9, np.where(voices == 1, 0.3, 0.01)) if len(v) else np.zeros(0)
     a = b = np.full(v.shape[1], 0.5)
+    alone, heard = (voices == 1).astype(float), (voices >= 1).astype(float)
     for step in range(steps):
         s, r = q.sum(), (1 - q).sum()
         a = np.clip((q @ v + 0.1) / (s + 1), 1e-4, 0.999)
@@ -108,7 +111,8 @@ def label_model(votes: np.ndarray, prior: float, steps: int = 40) -> tuple[np.nd
             d = np.sqrt(np.clip(np.diag(c), 1e-9, None))
             r2 = np.clip(c / np.outer(d, d), 0, 1)
             weight = 1 / np.where(r2 >= SAME_VOICE, r2, 0).sum(axis=1).clip(1)
-        logit = np.log(balance / (1 - balance)) + v @ (weight * np.log(a / b)) + (1 - v) @ (weight * np.log((1 - a) / (1 - b)))
+        lone = np.log((q @ alone + 0.1) / (q @ heard + 0.2)) - np.log(((1 - q) @ alone + 0.1) / ((1 - q) @ heard + 0.2))
+        logit = np.log(balance / (1 - balance)) + v @ (weight * np.log(a / b)) + alone * min(lone, 0.0)
         q = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
     return q, a * balance / np.maximum(a * balance + b * (1 - balance), 1e-12), weight
 

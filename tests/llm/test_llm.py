@@ -459,6 +459,20 @@ def test_label_model_finds_accuracies():
     assert ((q > 0.5) == y).mean() > 0.9
 
 
+def test_label_model_keeps_a_minority_language():
+    r = np.random.default_rng(4)
+    n, frequent, rare = 4000, 12, 8
+    y, v = np.zeros(n, bool), np.zeros((n, 3 * (frequent + rare)), bool)
+    for i in range(n):  # a toxic row has words of its own language, each with two beginnings
+        words = r.choice(frequent, 4, replace=False) if i < 320 else frequent + r.choice(rare, 2, replace=False) if i < 350 else []
+        y[i] = len(words) > 0
+        for w in words:
+            v[i, 3 * w : 3 * w + 3] = True
+    v[np.arange(2000, 2060), 3 * r.integers(frequent + rare, size=60)] = True  # a lone beginning in clean rows
+    q, _, _ = T.label_model(v, float(y.mean()))
+    assert (q[320:350] > 0.5).all() and (q[:320] > 0.5).all() and (q[~y] < 0.5).mean() > 0.99
+
+
 def test_hash_sample(spark):
     df = spark.range(1000).withColumnRenamed("id", "doc_id")
     a = sorted(r.doc_id for r in hash_sample(df, "doc_id", 50).collect())
