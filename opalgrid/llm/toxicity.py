@@ -1,11 +1,10 @@
 """Toxicity by weak supervision.
 
-Voters are words, word beginnings and their pairs-in-text patterns found in labelled training
-rows. A generative label model knows only their votes: expectation maximisation estimates the
+Voters are words and word beginnings found in labelled training rows. A generative label model knows only their votes: expectation maximisation estimates the
 class balance and each voter's firing rate in either class, and excess agreement of two voters
 inside a class (their correlation) shrinks the weight of both. The posterior labels train a
-linear classifier over hashed word features, whose scale the training labels set; it scores
-every text.
+linear classifier over the hashed features that are voters, whose scale the training labels
+set; it scores every text.
 """
 
 from __future__ import annotations
@@ -80,14 +79,15 @@ class Model(NamedTuple):
     weights: dict[int, float]
 
 
-def voters(rows: list[np.ndarray], y: np.ndarray, most: int = 400, least: int = 3, least_share: float = 0.01, purity: float = 20.0) -> np.ndarray:
-    """Buckets far likelier in toxic training rows than in the others."""
+def voters(rows: list[np.ndarray], y: np.ndarray, most: int = 400, least: int = 3, purity: float = 20.0) -> np.ndarray:
+    """Buckets far likelier in toxic training rows than in the others: the ``most`` of best evidence
+    among those in ``least`` toxic rows, however many rows there are."""
     every, at = np.unique(np.concatenate(rows), return_inverse=True)
     toxic = np.repeat(y, [len(r) for r in rows])
     pos, neg = np.bincount(at, toxic, len(every)), np.bincount(at, ~toxic, len(every))
     p, n = max(1, y.sum()), max(1, len(y) - y.sum())
     ratio = ((pos + 0.5) / (p + 1)) / ((neg + 0.5) / (n + 1))
-    found = np.flatnonzero((pos >= max(least, least_share * p)) & (ratio >= purity))
+    found = np.flatnonzero((pos >= least) & (ratio >= purity))
     order = np.lexsort((every[found], -(pos[found] * np.log(ratio[found]))))
     return every[found[order]][:most]
 

@@ -473,6 +473,11 @@ def test_label_model_keeps_a_minority_language():
     assert (q[320:350] > 0.5).all() and (q[:320] > 0.5).all() and (q[~y] < 0.5).mean() > 0.99
 
 
+def test_voters_need_rows_not_a_share():
+    rows = [np.array([1] if i < 600 else [2] if i < 605 else [3] if i < 607 else [9]) for i in range(4000)]
+    assert T.voters(rows, np.arange(4000) < 1000).tolist() == [1, 2]  # 5 of 1000 toxic rows are enough, 2 are not
+
+
 def test_hash_sample(spark):
     df = spark.range(1000).withColumnRenamed("id", "doc_id")
     a = sorted(r.doc_id for r in hash_sample(df, "doc_id", 50).collect())
