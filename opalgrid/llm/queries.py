@@ -67,18 +67,21 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads all documents' word counts, revises them to the subword version beside the words,
-    and replays both batches; the replays change nothing."""
+    """Totals of words and subwords over all documents, by signed deltas over the whole table: every
+    document is inserted under its word count in both versions, the subword version is revised to
+    its own counts, all documents are deleted and inserted again. Replays change nothing."""
     import uuid
 
     from opalgrid.llm.common import shared_dir, stash
-    from opalgrid.llm.token_counts import WORDS, Rollup, inserts, token_counts
+    from opalgrid.llm.token_counts import WORDS, Rollup, deletes, inserts, revisions, token_counts
 
     counts = stash(token_counts(table(spark, sf_dir, "documents"), {"word_bpe_49k": tokenizer_path()}))
     rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    loads = [inserts(counts.where(F.col("tokenizer") == WORDS)), inserts(counts.where(F.col("tokenizer") != WORDS))]
-    for batch in (0, 1, 0, 1):
-        rollup.commit(batch, loads[batch])
+    words, subwords = counts.where(F.col("tokenizer") == WORDS), counts.where(F.col("tokenizer") != WORDS)
+    stale = words.withColumn("tokenizer", F.lit("word_bpe_49k"))
+    changes = [inserts(words.unionByName(stale)), revisions(stale, subwords), deletes(counts), inserts(counts)]
+    for batch in (0, 1, 2, 3, 1, 2):
+        rollup.commit(batch, changes[batch])
     return rollup.totals()
 
 

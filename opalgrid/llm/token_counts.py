@@ -4,8 +4,7 @@ A change is an insert, a delete or a revised count of one document. It becomes o
 signed rows (a revision takes the old count back and adds the new one), summed by source,
 language and tokenizer version before anything is written. A batch is committed as one folder
 by rename, so it is there whole or not at all, and a batch number that is there already is
-left alone: replays change nothing. Totals are the sum over committed batches; ``compact``
-folds old batches into one.
+left alone: replays change nothing. Totals are the sum over committed batches.
 """
 
 from __future__ import annotations

@@ -426,6 +426,28 @@ def test_rollup(spark, path, tmp_path):
     assert roll.batches() == [0, 1, 2]
 
 
+def test_op9_commits_deletes_and_revisions_of_the_whole_table(spark, tmp_path, monkeypatch, path):
+    from opalgrid.llm.queries import op9_token_counts
+
+    texts = ["a b", "don't stop", "", "c", "a"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, commit = [], TC.Rollup.commit
+
+    def spy(self, batch, deltas):
+        new = commit(self, batch, deltas)
+        signs = collections.Counter(r.n_docs for r in deltas.collect())
+        seen.append((new, signs[1], signs[-1]))
+        return new
+
+    monkeypatch.setattr(TC.Rollup, "commit", spy)
+    got = {r.tokenizer: (r.n_docs, r.n_tokens) for r in op9_token_counts(spark, str(tmp_path)).collect()}
+    own = encoder(path)
+    assert got == {TC.WORDS: (5, sum(len(split(t)) for t in texts)), "word_bpe_49k": (5, sum(own.count(t) for t in texts))}
+    committed = [s[1:] for s in seen if s[0]]
+    assert (5, 5) in committed and (0, 10) in committed  # a revision and a delete of every document
+    assert any(not s[0] and s[2] for s in seen)  # a replay of them
+
+
 # toxicity ----------------------------------------------------------------------------------
 
 
