@@ -55,7 +55,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, digest (two longs) and the elements of band and prefix, by hash."""
+    """id, text_key, n, digest (two longs) and the elements of band and prefix, by hash."""
     edge = np.uint64(int(BAND * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,20 +71,24 @@ def _sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
                 parts.append(s[: max(int(np.searchsorted(s, edge)), prefix_length(len(s), percent))] if len(s) else s)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             values = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([column_of(batch, "id"), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["id", "n", "d1", "d2", "band"])
+            yield pa.RecordBatch.from_arrays([column_of(batch, "id"), column_of(batch, "text_key"), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["id", "text_key", "n", "d1", "d2", "band"])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n int, d1 long, d2 long, band array<long>")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, text_key long, n int, d1 long, d2 long, band array<long>")
 
 
 def _full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """id, n and items; the sets of an identifier that has ``several`` go by their digests instead."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             parts = [shingle_set(t, hashes, k).view(np.int64) for t in column_bytes(column_of(batch, "text"))]
             n = [len(p) for p in parts]
+            rows = zip(column_of(batch, "id").to_pylist(), column_of(batch, "several").to_pylist(), parts, strict=True)
+            ids = [int(np.frombuffer(xxhash.xxh3_128_digest(p.tobytes()), np.int64)[0]) if several else i for i, several, p in rows]
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([column_of(batch, "id"), pa.array(n, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))], names=["id", "n", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))], names=["id", "n", "items"])
 
     return texts.mapInArrow(run, "id long, n int, items array<long>")
 
@@ -118,27 +122,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def similarity_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest identifier reachable by links) per row.
-
-    Two rows link when 100 * |A & B| >= percent * |A | B| over their shingle sets (A-Z folded).
-    Texts without words, empty or null have empty sets, link with nothing and are their own
-    component. Rows that repeat fall together; null identifiers count as one document that
-    sorts before all others and come back as null. An empty table gives an empty result.
-    """
+def _row_components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, text_key, n, node (null for empty sets) and component (smallest identifier) per row; nulls
+    are _NULL_ID. A set is a node: the smallest identifier of its rows, or its digest where that
+    identifier has other sets as well."""
     spark = docs.sparkSession
     tune(spark)
     sets = stash(_sets(docs, k, percent, id_col, text_col))
     full = sets.where("n > 0")
+    several = stash(full.groupBy("id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select(F.col("id").alias("rep"), F.lit(True).alias("several")))
     # copies: one row for each distinct set
-    reps = stash(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")))
-    keys = reps.select(F.col("rep").alias("id"), "d1", "d2")
-    own = stash(full.join(keys, ["id", "d1", "d2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "band"))
+    reps = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")).join(several, "rep", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    reps = stash(reps.withColumn("key", F.when(F.col("several"), F.col("d1")).otherwise(F.col("rep"))))
+    keys = reps.select(F.col("rep").alias("id"), "d1", "d2", "key")
+    own = stash(full.join(keys, ["id", "d1", "d2"]).dropDuplicates(["key"]).select(F.col("key").alias("id"), "n", "band"))
     release(spark)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     open_ids = stash(_open_prefixes(own.withColumnRenamed("band", "items"), percent).select("id"))
     release(spark, own)
-    whole_sets = stash(_full_sets(texts.join(open_ids, "id", "left_semi"), k).dropDuplicates(["id"]))
+    open_reps = reps.join(open_ids, F.col("key") == F.col("id"), "left_semi").select(F.col("rep").alias("id"), "several").distinct()
+    whole_sets = stash(_full_sets(texts.join(open_reps, "id"), k).dropDuplicates(["id"]).join(open_ids, "id", "left_semi"))
     release(spark)
     prefixes = stash(_open_prefixes(whole_sets, percent))
     release(spark)
@@ -170,13 +173,37 @@ def similarity_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col
     pairs = meets.select(F.least("i1", "id").alias("a"), F.greatest("i1", "id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = _verified(pairs, whole_sets, percent)
     final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    of_rep = reps.join(final, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.col("n").alias("__n"), F.coalesce("component", "rep").alias("component_id"))
-    out = sets.select("id", "n", "d1", "d2").join(of_rep, ["d1", "d2"], "left")
-    back = lambda c: F.when(c != _NULL_ID, c)
-    return out.select(back(F.col("id")).alias(id_col), F.col("n").cast("long").alias("n_shingles"), back(F.coalesce("component_id", "id")).alias("component_id"))
+    placed = reps.join(final, F.col("key") == F.col("node"), "left").select("d1", "d2", "rep", "several", F.coalesce("component", "key").alias("c"))
+    # the smallest node is the smallest identifier, but where a node is a digest
+    digests = stash(placed.where("several").select("c").distinct())
+    smallest = stash(placed.join(digests, "c", "left_semi").groupBy("c").agg(F.min("rep").alias("least")))
+    of_rep = placed.join(smallest, "c", "left").select("d1", "d2", F.coalesce("least", "c").alias("component"), F.col("c").alias("node"))
+    out = sets.select("id", "text_key", "n", "d1", "d2").join(of_rep, ["d1", "d2"], "left")
+    return out.select("id", "text_key", "n", "node", F.coalesce("component", "id").alias("component"))
+
+
+def _back(column: str) -> Column:
+    return F.when(F.col(column) != _NULL_ID, F.col(column))
+
+
+def similarity_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest identifier reachable by links) per row.
+
+    Two rows link when 100 * |A & B| >= percent * |A | B| over their shingle sets (A-Z folded).
+    Texts without words, empty or null have empty sets, link with nothing and are their own
+    component. Rows that repeat fall together; rows of one identifier, or of none, with different
+    texts each have their own links. A null identifier sorts before all others and comes back as
+    null. An empty table gives an empty result.
+    """
+    out = _row_components(docs, k, percent, id_col, text_col)
+    return out.select(_back("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), _back("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """The row of the smallest identifier of each component, with the columns of ``docs``."""
-    out = similarity_components(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The row of the smallest identifier of each component, with the columns of ``docs``. Of several
+    texts of that identifier in one component the one of the smallest hash stays; texts without
+    words all stay."""
+    out = _row_components(docs, k, percent, "doc_id", "text").where("id = component")
+    linked = out.where("node is not null").groupBy("node", "id").agg(F.min("text_key").alias("text_key")).select("id", "text_key")
+    kept = linked.unionByName(out.where("node is null").select("id", "text_key")).distinct().select(_back("id").alias("__id"), F.col("text_key").alias("__key"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_semi")

@@ -448,6 +448,18 @@ def test_op9_commits_deletes_and_revisions_of_the_whole_table(spark, tmp_path, m
     assert any(not s[0] and s[2] for s in seen)  # a replay of them
 
 
+def test_sets_of_one_identifier_each_have_their_links(spark):
+    r = random.Random(31)
+    a, b, c = (words(r, 60) for _ in range(3))
+    near = lambda t: t + " tail"
+    rows = [(None, a), (None, b), (None, c), (5, a), (9, near(a)), (7, near(b)), (12, words(r, 60)), (12, near(c)), (20, words(r, 30)), (20, ""), (None, "")]
+    df = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = collections.Counter((x.doc_id, x.component_id) for x in N.similarity_components(df).collect())
+    assert got == collections.Counter([(None, None)] * 4 + [(5, None), (9, None), (7, None), (12, 12), (12, None), (20, 20), (20, 20)])
+    kept = {(x.doc_id, x.text) for x in N.one_of_each(df).collect()}
+    assert kept == {x for x in rows if x not in [(5, a), (9, near(a)), (7, near(b)), (12, near(c))]}
+
+
 # toxicity ----------------------------------------------------------------------------------
 
 
