@@ -19,8 +19,10 @@ _PARTS = re.compile(r"[^a-z]+")
 BLOCKS = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
-SKIPPED = frozenset("script style noscript template svg math head title iframe object canvas audio video".split())
+SKIPPED = frozenset("script style noscript template svg head title iframe object canvas audio video".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
+#: What can stand in a head; any other tag, or text, ends one that is left open.
+HEAD = frozenset("head title meta link base script style noscript template".split())
 #: An opening tag that ends these open elements (up to the nearest container).
 CLOSES = {t: frozenset({"p"}) for t in BLOCKS - {"option", "button", "textarea", "body", "html"}} | {
     "li": frozenset({"p", "li"}), "dt": frozenset({"p", "dt", "dd"}), "dd": frozenset({"p", "dt", "dd"}), "tr": frozenset({"p", "tr", "td", "th"}), "td": frozenset({"p", "td", "th"}), "th": frozenset({"p", "td", "th"}), "option": frozenset({"option"}),
@@ -99,6 +101,8 @@ def blocks_of(page: str) -> list[Block]:
     while at < size:
         m = scan(page, at)
         stop = m.start() if m else size
+        if stop > at and stack and stack[-1].tag == "head" and page[at:stop].strip():
+            pop()
         if stop > at and not skipping:
             piece = html.unescape(page[at:stop])
             parts.append(piece)
@@ -131,6 +135,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = (m["tag"] or m["odd"]).lower()
         attrs = m["attrs"] or ""
+        if stack and stack[-1].tag == "head" and tag not in HEAD:
+            pop()
         if tag in VOID:
             if tag == "hr":
                 flush()

@@ -460,6 +460,13 @@ def test_sets_of_one_identifier_each_have_their_links(spark):
     assert kept == {x for x in rows if x not in [(5, a), (9, near(a)), (7, near(b)), (12, near(c))]}
 
 
+def test_head_left_open_and_math():
+    texts = lambda page: [b.text for b in HB.blocks_of(page)]
+    assert texts("<html><head><meta charset=x><title>T</title><script>s</script><article><p>one</p></article>") == ["one"]
+    assert texts("<head><title>T</title>\n two <b>words</b>") == ["two words"]
+    assert texts("<head><template><p>no</p></template><style>s</style></head><body><p>so <math><mi>x</mi></math></p>") == ["so x"]
+
+
 # toxicity ----------------------------------------------------------------------------------
 
 
