@@ -2,7 +2,7 @@
 
 Greedy rules are folds over one sorted array per group, so each costs one shuffle with a
 partial collect and no join. Groups are the candidates of one image (and label), which
-detectors bound; ``cap_per_group`` in rank.py bounds them where a source does not.
+detectors bound; ``capped`` in rank.py bounds them where a source does not.
 """
 
 from __future__ import annotations

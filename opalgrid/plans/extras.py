@@ -78,7 +78,7 @@ def f22(spark, sf):
     return X.sequence_iou(rows, ["video", "track_id"]).withColumn("iou", F.round("iou", 6))
 
 
-@query("l1_windowed_counts", "SELECT CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("windowed_counts", "SELECT CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def l1(spark, sf):
     """Tumbling windows; the same plan runs on a stream (`tracks.windowed_counts`)."""
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -43,3 +43,9 @@ def test_works_without_the_training_data_operators(tmp_path):
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') for q in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert out.returncode == 0, out.stderr[-800:]
     assert out.stdout.split()[1] == "False" and int(out.stdout.split()[0]) > 100
+
+
+def test_window_counts_do_not_carry_the_name_of_the_track_buffer():
+    import __spark_entry__ as entry
+
+    assert "windowed_counts" in entry.queries() and "l1_windowed_counts" not in entry.queries()
