@@ -91,9 +91,30 @@ def class_of(label: Column, names: Column) -> Column:
     return F.coalesce(F.element_at(names, label), F.concat(F.lit("class_"), label.cast("string")))
 
 
-# Chinese digits and class names of a remote-sensing vocabulary.
+# Chinese digits, and the class names of a remote-sensing vocabulary with their translations.
 DIGITS = "一二三四五六七八九"
-CHINESE = {"airplane": "飞机", "airport": "机场", "bridge": "桥梁", "dam": "大坝", "harbor": "港口", "ship": "船舶", "stadium": "体育场", "vehicle": "车辆", "windmill": "风车"}
+CHINESE = {
+    "airplane": "飞机",
+    "airport": "机场",
+    "baseballfield": "棒球场",
+    "basketballcourt": "篮球场",
+    "bridge": "桥梁",
+    "chimney": "烟囱",
+    "dam": "水坝",
+    "expressway service area": "高速公路服务区",
+    "expressway toll station": "高速公路收费站",
+    "golffield": "高尔夫球场",
+    "groundtrackfield": "田径场",
+    "harbor": "港口",
+    "overpass": "立交桥",
+    "ship": "舰船",
+    "stadium": "体育场",
+    "storagetank": "储罐",
+    "tenniscourt": "网球场",
+    "trainstation": "火车站",
+    "vehicle": "车辆",
+    "windmill": "风车",
+}
 
 
 def ordinal_zh(n: Column) -> Column:
@@ -108,7 +129,7 @@ def ordinal_zh(n: Column) -> Column:
 
 def bilingual(name: Column, words: dict[str, str] = CHINESE) -> Column:
     """name（中文）where the vocabulary knows it."""
-    found = F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), F.lower(name))
+    found = F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), F.trim(name))
     return F.when(found.isNull(), name).otherwise(F.concat(name, F.lit("（"), found, F.lit("）")))
 
 

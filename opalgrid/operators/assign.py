@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from opalgrid.functions.geometry import box, centre, holds_point
-from opalgrid.session import ship
+from opalgrid.operators.groups import per_group
 
 
 def linear_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,30 +88,50 @@ def bipartite_matching(edges: list[tuple[int, int]]) -> dict[int, int]:
 def max_matching(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys and n_matched: the most pairs of a group in which no side repeats. A group is one image."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        got = bipartite_matching(list(zip(part[a].tolist(), part[b].tolist(), strict=True)))
-        return pd.DataFrame({**{k: [part[k].iloc[0]] for k in keys}, "n_matched": [len(got)]})
+    def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return {"n_matched": np.array([len(bipartite_matching(list(zip(g[a].tolist(), g[b].tolist(), strict=True))))])}
 
-    ship(pairs.sparkSession)
     kinds = dict(pairs.dtypes)
-    return pairs.select(*keys, a, b).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_matched long")
+    return per_group(pairs, keys, [a, b], solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_matched long")
 
 
 def hungarian(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str, limit: float | None = None) -> DataFrame:
     """keys, a, b, cost of a minimum-cost assignment per group; pairs not listed are not allowed."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        left, right = np.unique(part[a].to_numpy()), np.unique(part[b].to_numpy())
-        i, j, c = np.searchsorted(left, part[a]), np.searchsorted(right, part[b]), part[cost].to_numpy(float)
+    def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        left, right = np.unique(g[a]), np.unique(g[b])
+        i, j, c = np.searchsorted(left, g[a]), np.searchsorted(right, g[b]), g[cost].astype(float)
         top = limit if limit is not None else (abs(c).sum() + 1.0) * 2
         m = np.full((len(left), len(right)), top * 1e3 + 1)
         m[i, j] = c
         r, k = assignment_with_limit(m, top)
-        return pd.DataFrame({**{x: [part[x].iloc[0]] * len(r) for x in keys}, a: left[r], b: right[k], cost: m[r, k]})
+        return {a: left[r], b: right[k], cost: m[r, k]}
 
-    ship(pairs.sparkSession)
     kinds = dict(pairs.dtypes)
-    return pairs.select(*keys, a, b, cost).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in [*keys, a, b]) + f", {cost} double")
+    return per_group(pairs, keys, [a, b, cost], solve, ", ".join(f"{k} {kinds[k]}" for k in [*keys, a, b]) + f", {cost} double")
+
+
+def top_k_hungarian(pairs: DataFrame, keys: list[str], prior: str, gt: str, cost: str, k: int = 3) -> DataFrame:
+    """Each ground truth is assigned up to ``k`` priors: one-to-one assignments are made again and again
+    over the priors still free. keys, prior, gt, cost and round (from 1)."""
+
+    def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        left, right = np.unique(g[prior]), np.unique(g[gt])
+        c = g[cost].astype(float)
+        top = (abs(c).sum() + 1.0) * 2
+        m = np.full((len(left), len(right)), top * 1e3 + 1)
+        m[np.searchsorted(left, g[prior]), np.searchsorted(right, g[gt])] = c
+        found: list[tuple] = []
+        free = np.arange(len(left))
+        for turn in range(1, k + 1):
+            r, q = assignment_with_limit(m[free], top)
+            found += [(left[free[x]], right[y], m[free[x], y], turn) for x, y in zip(r, q, strict=True)]
+            free = np.delete(free, r)
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        return {n: np.array(v) for n, v in zip((prior, gt, cost, "round"), columns, strict=True)}
+
+    kinds = dict(pairs.dtypes)
+    return per_group(pairs, keys, [prior, gt, cost], solve, ", ".join(f"{x} {kinds[x]}" for x in [*keys, prior, gt]) + f", {cost} double, round int")
 
 
 def max_iou_assign(pairs: DataFrame, keys: list[str], prior: str = "det_id", gt: str = "gt_id", positive: float = 0.5, negative: float = 0.4, least: float = 0.0, low_quality: bool = True) -> DataFrame:

@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from opalgrid.functions.geometry import Box, area, iou
-from opalgrid.session import ship
+from opalgrid.operators.groups import per_group
 
 BOX = ["x1", "y1", "x2", "y2"]
+#: Most rows of the configuration table that ``label_offsets`` numbers in one task.
+MOST_CHUNKS = 1_000_000
 
 
 def field_box(s: Column) -> Box:
@@ -138,66 +139,89 @@ def merge_views(views: list[tuple[DataFrame, str | None]], image_width: float, i
 
 
 def label_offsets(chunks: DataFrame) -> DataFrame:
-    """chunk, offset: how many labels the chunks before it hold (columns chunk, n_labels; a small table)."""
+    """chunk, offset: how many labels the chunks before it hold (columns chunk, n_labels). Chunks of a
+    vocabulary are configuration; more than ``MOST_CHUNKS`` raise, as one task numbers them."""
+    if chunks.limit(MOST_CHUNKS + 1).count() > MOST_CHUNKS:
+        raise ValueError(f"more than {MOST_CHUNKS} chunks: this is not a vocabulary")
     before = F.sum("n_labels").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
     return chunks.select("chunk", F.coalesce(before, F.lit(0)).cast("long").alias("offset"))
 
 
+class Clusters:
+    """Running sums of the clusters of one group; a cluster's box is its weighted mean."""
+
+    def __init__(self, rows: int, models: int):
+        self.n = 0
+        self.moment, self.mass = np.zeros((rows, 4)), np.zeros(rows)
+        self.members, self.best, self.voiced = np.zeros(rows, int), np.zeros(rows), np.zeros(rows)
+        self.heard = np.zeros((rows, models), bool)
+
+    def boxes(self) -> np.ndarray:
+        return self.moment[: self.n] / self.mass[: self.n, None]
+
+    def nearest(self, box: np.ndarray) -> tuple[int, float]:
+        """The cluster of highest IoU, the first of several, and that IoU."""
+        if not self.n:
+            return -1, 0.0
+        own = self.boxes()
+        sides = np.clip(np.minimum(own[:, 2:], box[2:]) - np.maximum(own[:, :2], box[:2]), 0, None).prod(axis=1)
+        whole = (own[:, 2:] - own[:, :2]).prod(axis=1) + (box[2:] - box[:2]).prod() - sides
+        share = np.divide(sides, whole, out=np.zeros(self.n), where=whole > 0)
+        k = int(share.argmax())
+        return k, float(share[k])
+
+    def add(self, k: int, box: np.ndarray, score: float, model: int, weight: float) -> None:
+        self.moment[k] += max(score, 1e-12) * box
+        self.mass[k] += max(score, 1e-12)
+        self.members[k] += 1
+        self.best[k] = max(self.best[k], score)
+        self.voiced[k] += weight
+        self.heard[k, model] = True
+        self.n = max(self.n, k + 1)
+
+
+def _confidence(c: Clusters, total: np.ndarray, weights: np.ndarray, mode: str, allows_overflow: bool) -> np.ndarray:
+    """Fused scores. A mode is a row of a table: what is shared out, and among what weight."""
+    n = c.n
+    present = c.heard[:n] @ weights
+    count = c.members[:n] if allows_overflow else np.minimum(c.members[:n], len(weights))
+    mean = total / c.members[:n]
+    table = {
+        "avg": (mean * count, weights.sum()),
+        "max": (c.best[:n], weights.max()),
+        "box_and_model_avg": (total * present, c.voiced[:n] * weights.sum()),
+        "absent_model_aware_avg": (total, c.voiced[:n] + weights.sum() - present),
+    }
+    shared, among = table[mode]
+    return shared / among
+
+
 def fuse_group(boxes: np.ndarray, scores: np.ndarray, models: np.ndarray, weights: np.ndarray, threshold: float, mode: str, allows_overflow: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted boxes fusion of one image and label; inputs in falling order of weighted score."""
-    clusters: list[list[int]] = []
-    fused = np.empty((0, 4))
-    level: list[float] = []
-    for i in range(len(boxes)):
-        best = -1
-        if len(fused):
-            a, b = fused, boxes[i]
-            w = np.maximum(0, np.minimum(a[:, 2], b[2]) - np.maximum(a[:, 0], b[0])) * np.maximum(0, np.minimum(a[:, 3], b[3]) - np.maximum(a[:, 1], b[1]))
-            u = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1]) + (b[2] - b[0]) * (b[3] - b[1]) - w
-            o = np.where(u > 0, w / np.where(u > 0, u, 1), 0)
-            best = int(np.argmax(o)) if o.max() > threshold else -1
-        if best < 0:
-            clusters.append([i])
-            fused = np.vstack([fused, boxes[i]])
-            level.append(scores[i])
-            continue
-        mine = clusters[best]
-        mine.append(i)
-        s = scores[mine]
-        fused[best] = (boxes[mine] * s[:, None]).sum(axis=0) / s.sum() if s.sum() > 0 else boxes[mine].mean(axis=0)
-        level[best] = float(s.max()) if mode == "max" else float(s.mean())
-    out = np.array(level, float)
-    for k, mine in enumerate(clusters):
-        present = np.unique(models[mine])
-        if mode == "box_and_model_avg":
-            out[k] = out[k] * len(mine) / weights[models[mine]].sum() * weights[present].sum() / weights.sum()
-        elif mode == "absent_model_aware_avg":
-            gone = np.setdiff1d(np.arange(len(weights)), present)
-            out[k] = out[k] * len(mine) / (weights[models[mine]].sum() + weights[gone].sum())
-        elif mode == "max":
-            out[k] /= weights.max()
-        elif not allows_overflow:
-            out[k] *= min(len(weights), len(mine)) / weights.sum()
-        else:
-            out[k] *= len(mine) / weights.sum()
-    return fused, out
+    """Weighted boxes fusion of one image and label; inputs in falling order of weighted score. Each
+    box joins the cluster it overlaps most, if by more than ``threshold``, or opens one."""
+    c, total = Clusters(len(boxes), len(weights)), np.zeros(len(boxes))
+    for box, score, model in zip(boxes, scores, models, strict=True):
+        k, share = c.nearest(box)
+        k = k if share > threshold else c.n
+        c.add(k, box, float(score), int(model), float(weights[model]))
+        total[k] += score
+    return c.boxes(), _confidence(c, total[: c.n], weights, mode, allows_overflow)
 
 
 def weighted_boxes_fusion(df: DataFrame, image: str, label: str, weights: list[float], threshold: float = 0.55, least: float = 0.0, mode: str = "avg", score: str = "score", pos: str = "det_id", model: str = "model") -> DataFrame:
-    """image, label, score and box of fused clusters. The order of arrival matters, so a group
-    (one image and label) is clustered by one Arrow-fed call."""
+    """image, label, score and box of fused clusters. Where a box goes depends on those before it,
+    so the candidates of one image and label are clustered in one pass over them."""
     w = np.asarray(weights, float)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        s = part[score].to_numpy() * w[part[model].to_numpy()]
-        order = np.lexsort((part[pos].to_numpy(), -s))
-        boxes, out = fuse_group(part[BOX].to_numpy(float)[order], s[order], part[model].to_numpy()[order], w, threshold, mode)
-        return pd.DataFrame({image: part[image].iloc[0], label: part[label].iloc[0], "score": out, **{c: boxes[:, i] for i, c in enumerate(BOX)}})
+    def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        s = g["__s"] * w[g[model]]
+        order = np.lexsort((g[pos], -s))
+        fused, out = fuse_group(np.stack([g[c] for c in BOX], axis=1)[order], s[order], g[model][order], w, threshold, mode)
+        return {"score": out, **{c: fused[:, i] for i, c in enumerate(BOX)}}
 
-    ship(df.sparkSession)
     kinds = dict(df.dtypes)
-    rows = df.where(F.col(score) >= least).where((area(Box(*map(F.col, BOX))) > 0)).select(image, label, score, pos, model, *[F.col(c).cast("double").alias(c) for c in BOX])
-    return rows.groupBy(image, label).applyInPandas(run, f"{image} {kinds[image]}, {label} {kinds[label]}, score double, x1 double, y1 double, x2 double, y2 double")
+    rows = df.where(F.col(score) >= least).where((area(Box(*map(F.col, BOX))) > 0)).select(image, label, F.col(score).cast("double").alias("__s"), pos, model, *[F.col(c).cast("double").alias(c) for c in BOX])
+    return per_group(rows, [image, label], [pos, model, "__s", *BOX], solve, f"{image} {kinds[image]}, {label} {kinds[label]}, score double, x1 double, y1 double, x2 double, y2 double")
 
 
 def pseudo_labels(df: DataFrame, image: str, label: str, least: float, threshold: float, score: str = "score", pos: str = "det_id") -> DataFrame:

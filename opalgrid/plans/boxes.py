@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from opalgrid.functions import geometry as G, text as T
 from opalgrid.operators import rank as R
@@ -10,8 +10,18 @@ from opalgrid.plans.carrier import BOTH, DET, area_sql, det, gt, inter_sql, iou_
 from opalgrid.sources import documents as S
 
 _ROUND = lambda c, n: F.round(c, 6).alias(n)
-_PAIR = f"{BOTH} SELECT d.image_id, d.det_id, g.gt_id"
-_ON = "FROM det d JOIN gt g ON d.image_id = g.image_id AND d.cls = g.cls"
+
+
+def by_image_sql(**values: str) -> str:
+    """SQL of ``by_image`` over all pairs of an image and class."""
+    sums = ", ".join(f"round(sum(({v}) * (d.det_id * 7 + g.gt_id)), 4) AS {n}" for n, v in values.items())
+    return f"WITH {BOTH} SELECT d.image_id, count(*) AS n, {sums} FROM det d JOIN gt g ON d.image_id = g.image_id AND d.cls = g.cls GROUP BY d.image_id"
+
+
+def by_image(rows: DataFrame, **values: Column) -> DataFrame:
+    """Per image the number of pairs and each value summed with weights that tell the pairs apart."""
+    w = F.col("det_id") * 7 + F.col("gt_id")
+    return rows.groupBy("image_id").agg(F.count("*").alias("n"), *[F.round(F.sum(v * w), 4).alias(n) for n, v in values.items()])
 
 
 def pairs(spark, sf) -> DataFrame:
@@ -44,17 +54,23 @@ def a4(spark, sf):
     return S.parse_blocks(files, ["conv_id"]).select("conv_id", F.col("block_idx").cast("long").alias("block_idx"), "image_file", "body")
 
 
+def xml_documents(spark, sf) -> DataFrame:
+    """One annotation document per image, an object for each ground truth."""
+    obj = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in ("<object><name>", F.col("cls"), "</name><pose>", F.col("gt_id").cast("string"), "</pose><bndbox><xmin>", F.col("x1").cast("string"), "</xmin><ymin>", F.col("y1").cast("string"), "</ymin><xmax>", F.col("x2").cast("string"), "</xmax><ymax>", F.col("y2").cast("string"), "</ymax></bndbox></object>")])
+    objects = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gt_id", obj.alias("o")))), lambda r: r["o"]), "")
+    return gt(spark, sf).groupBy("image_id").agg(F.concat(F.lit("<annotation><filename>"), F.first("image_id").cast("string"), F.lit(".jpg</filename>"), objects, F.lit("</annotation>")).alias("value"))
+
+
 @query("a5_xml_annotations", f"WITH {BOTH} SELECT image_id || '.jpg' AS filename, gt_id AS object_index, cls AS name, x1 AS xmin, y1 AS ymin, x2 AS xmax, y2 AS ymax FROM gt")
 def a5(spark, sf):
-    g = gt(spark, sf)
-    obj = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in ("<object><name>", F.col("cls"), "</name><pose>", F.col("gt_id").cast("string"), "</pose><bndbox><xmin>", F.col("x1").cast("string"), "</xmin><ymin>", F.col("y1").cast("string"), "</ymin><xmax>", F.col("x2").cast("string"), "</xmax><ymax>", F.col("y2").cast("string"), "</ymax></bndbox></object>")])
-    docs = g.groupBy("image_id").agg(F.concat(F.lit("<annotation><filename>"), F.first("image_id").cast("string"), F.lit(".jpg</filename>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gt_id", obj.alias("o")))), lambda r: r["o"]), ""), F.lit("</annotation>")).alias("value"))
-    return S.parse_annotations_xml(docs).select("filename", F.col("pose").cast("long").alias("object_index"), "name", "xmin", "ymin", "xmax", "ymax")
+    return S.parse_annotations_xml(xml_documents(spark, sf)).select("filename", F.col("pose").cast("long").alias("object_index"), "name", "xmin", "ymin", "xmax", "ymax")
 
 
-@query("a7_xml_names", f"WITH {BOTH} SELECT image_id, string_agg(cls, ',' ORDER BY cls) AS names FROM (SELECT DISTINCT image_id, cls FROM gt) GROUP BY image_id")
+@query("a7_xml_names", f"WITH {BOTH} SELECT image_id || '.jpg' AS filename, string_agg(cls, ',' ORDER BY cls) AS names FROM (SELECT DISTINCT image_id, cls FROM gt) GROUP BY image_id")
 def a7(spark, sf):
-    return gt(spark, sf).groupBy("image_id").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list("cls"))), ",").alias("names"))
+    """File name and names of the objects, read from the documents alone."""
+    rows = S.parse_annotations_xml(xml_documents(spark, sf))
+    return rows.groupBy("filename").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list("name"))), ",").alias("names"))
 
 
 @query("a8_marker_json", f"WITH {DET} SELECT image_id, det_id AS marker_id, cls AS class, x1, y1, x2, y2 FROM det")
@@ -124,27 +140,27 @@ def a19(spark, sf):
     return S.not_done(det(spark, sf).select("image_id").distinct(), gt(spark, sf).where("gt_id >= 7"), "image_id")
 
 
-@query("b1_intersection_union", f"WITH {_PAIR}, {inter_sql('d.', 'g.')} AS i, {union_sql('d.', 'g.')} AS u {_ON}")
+@query("b1_intersection_union", by_image_sql(i=inter_sql("d.", "g."), u=union_sql("d.", "g.")))
 def b1(spark, sf):
-    return pairs(spark, sf).select("image_id", "det_id", "gt_id", G.intersection(G.box(), G.box("g_")).alias("i"), G.union(G.box(), G.box("g_")).alias("u"))
+    return by_image(pairs(spark, sf), i=G.intersection(G.box(), G.box("g_")), u=G.union(G.box(), G.box("g_")))
 
 
-@query("b2_iou", f"WITH {_PAIR}, round({iou_sql('d.', 'g.')}, 6) AS iou {_ON}")
+@query("b2_iou", by_image_sql(iou=iou_sql("d.", "g.")))
 def b2(spark, sf):
-    return pairs(spark, sf).select("image_id", "det_id", "gt_id", _ROUND(G.iou(G.box(), G.box("g_")), "iou"))
+    return by_image(pairs(spark, sf), iou=G.iou(G.box(), G.box("g_")))
 
 
-@query("b3_iou_legacy_and_iof", f"WITH {_PAIR}, round({inter_sql('d.', 'g.', 1)} / greatest({union_sql('d.', 'g.', 1)}, 1e-6), 6) AS iou, round({inter_sql('d.', 'g.')} / greatest({area_sql('d.')}, 1e-6), 6) AS iof {_ON}")
+@query("b3_iou_legacy_and_iof", by_image_sql(iou=f"{inter_sql('d.', 'g.', 1)} / greatest({union_sql('d.', 'g.', 1)}, 1e-6)", iof=f"{inter_sql('d.', 'g.')} / greatest({area_sql('d.')}, 1e-6)"))
 def b3(spark, sf):
-    return pairs(spark, sf).select("image_id", "det_id", "gt_id", _ROUND(G.iou_floor(G.box(), G.box("g_"), 1), "iou"), _ROUND(G.iof(G.box(), G.box("g_")), "iof"))
+    return by_image(pairs(spark, sf), iou=G.iou_floor(G.box(), G.box("g_"), 1), iof=G.iof(G.box(), G.box("g_")))
 
 
 _ENC = "((greatest(d.x2, g.x2) - least(d.x1, g.x1)) * (greatest(d.y2, g.y2) - least(d.y1, g.y1)))"
 
 
-@query("b4_giou", f"WITH {_PAIR}, round({iou_sql('d.', 'g.')} - ({_ENC} - {union_sql('d.', 'g.')}) / {_ENC}, 6) AS giou {_ON}")
+@query("b4_giou", by_image_sql(giou=f"{iou_sql('d.', 'g.')} - ({_ENC} - {union_sql('d.', 'g.')}) / {_ENC}"))
 def b4(spark, sf):
-    return pairs(spark, sf).select("image_id", "det_id", "gt_id", _ROUND(G.giou(G.box(), G.box("g_")), "giou"))
+    return by_image(pairs(spark, sf), giou=G.giou(G.box(), G.box("g_")))
 
 
 @query("b5_area_centre", f"WITH {DET} SELECT image_id, det_id, (x2 - x1) * (y2 - y1) AS area, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, x2 - x1 AS w, y2 - y1 AS h FROM det")
@@ -212,10 +228,17 @@ def b15(spark, sf):
     return det(spark, sf).select("image_id", "det_id", b.x1.alias("x1"), b.y2.alias("y2"))
 
 
-@query("b16_b19_labels", "SELECT p_partkey, CASE WHEN p_size % 5 = 1 THEN 'ship' WHEN p_size % 5 = 2 THEN 'dam' ELSE 'class_' || (p_size % 5) END AS class, CASE WHEN p_size % 5 = 1 THEN 'ship（船舶）' WHEN p_size % 5 = 2 THEN 'dam（大坝）' ELSE 'class_' || (p_size % 5) END AS both, (p_size * 37) % 180 AS hue FROM part")
+_LABELS = dict(enumerate(T.CHINESE))  # class numbers in the vocabulary's order
+
+
+def _names_sql(label: str, rest: str, both: bool) -> str:
+    return f"CASE {label} " + " ".join(f"WHEN {i} THEN '{n}{f'（{T.CHINESE[n]}）' if both else ''}'" for i, n in _LABELS.items()) + f" ELSE {rest} END"
+
+
+@query("b16_b19_labels", f"SELECT p_partkey, {_names_sql('p_size % 23', "'class_' || (p_size % 23)", False)} AS class, {_names_sql('p_size % 23', "'class_' || (p_size % 23)", True)} AS both, (p_size * 37) % 180 AS hue FROM part")
 def b16(spark, sf):
-    label = (F.col("p_size") % 5).cast("int")
-    names = F.create_map(F.lit(1), F.lit("ship"), F.lit(2), F.lit("dam"))
+    label = (F.col("p_size") % 23).cast("int")
+    names = F.create_map(*[F.lit(x) for kv in _LABELS.items() for x in kv])
     p = table(spark, sf, "part").select("p_partkey", T.class_of(label, names).alias("class"), T.hue(F.col("p_size")).alias("hue"))
     return p.select("p_partkey", "class", T.bilingual(F.col("class")).alias("both"), "hue")
 
@@ -232,13 +255,16 @@ def b19(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.palette_index(F.col("p_name")).alias("colour"))
 
 
-@query("b21_deltas", f"WITH {_PAIR}, round(((g.x1 + g.x2) - (d.x1 + d.x2)) / 2 / (d.x2 - d.x1), 6) AS dx, round(ln((g.y2 - g.y1) / (d.y2 - d.y1)), 6) AS dh, g.x1 AS bx1, g.y2 AS by2, g.x1 AS tx1, g.y1 AS ty1, round(((d.y1 + d.y2) / 2 - g.y1) / (d.y2 - d.y1) / 4, 6) AS top {_ON}")
+_DELTAS = {"dx": "((g.x1 + g.x2) - (d.x1 + d.x2)) / 2 / (d.x2 - d.x1)", "dh": "ln((g.y2 - g.y1) / (d.y2 - d.y1))", "bx1": "g.x1", "by2": "g.y2", "tx1": "g.x1", "ty1": "g.y1", "top": "((d.y1 + d.y2) / 2 - g.y1) / (d.y2 - d.y1) / 4"}
+
+
+@query("b21_deltas", by_image_sql(**_DELTAS))
 def b21(spark, sf):
     p, g = G.box(), G.box("g_")
     d = G.deltas(p, g)
     b, t = G.from_deltas(p, d), G.tblr(p, g)
     back = G.from_tblr(p, t)
-    return pairs(spark, sf).select("image_id", "det_id", "gt_id", _ROUND(d[0], "dx"), _ROUND(d[3], "dh"), _ROUND(b.x1, "bx1"), _ROUND(b.y2, "by2"), _ROUND(back.x1, "tx1"), _ROUND(back.y1, "ty1"), _ROUND(t[0], "top"))
+    return by_image(pairs(spark, sf), dx=d[0], dh=d[3], bx1=b.x1, by2=b.y2, tx1=back.x1, ty1=back.y1, top=t[0])
 
 
 @query("b22_grid_priors", "SELECT l AS level, r, c, a AS anchor, c * s - 4.0 * a AS x1, r * s + 4.0 * a AS y2 FROM (SELECT unnest([0, 1]) AS l), (SELECT unnest(range(40)) AS r), (SELECT unnest(range(40)) AS c), (SELECT unnest([1, 2]) AS a), LATERAL (SELECT 8 * (l + 1) AS s, 40 // (l + 1) AS n) WHERE r < n AND c < n")
@@ -282,7 +308,7 @@ def c5(spark, sf):
     return R.unambiguous(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", "o_orderkey").select("o_orderkey")
 
 
-@query("c6_gt_classes", f"WITH {BOTH} SELECT image_id, det_id FROM det SEMI JOIN gt USING (image_id, cls)")
+@query("c6_gt_classes", f"WITH {BOTH} SELECT DISTINCT image_id, det_id FROM det SEMI JOIN gt USING (image_id, cls)")
 def c6(spark, sf):
     return det(spark, sf).join(gt(spark, sf).select("image_id", "cls").distinct(), ["image_id", "cls"], "left_semi").select("image_id", "det_id")
 

@@ -60,9 +60,9 @@ def gt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("image_id", i.alias("gt_id"), "cls", (F.col("x1") + i % 5 - 2 + off).alias("x1"), (F.col("y1") + i % 7 - 3).alias("y1"), (F.col("x2") + i % 3 + off).alias("x2"), (F.col("y2") - i % 4).alias("y2"))
 
 
-DET = """det AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS det_id, cls, score, CAST(a AS DOUBLE) AS x1, CAST(b AS DOUBLE) AS y1, CAST(a + 40 + q % 30 AS DOUBLE) AS x2, CAST(b + 40 + l_linenumber * 4 AS DOUBLE) AS y2
+DET = """det AS MATERIALIZED (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS det_id, cls, score, CAST(a AS DOUBLE) AS x1, CAST(b AS DOUBLE) AS y1, CAST(a + 40 + q % 30 AS DOUBLE) AS x2, CAST(b + 40 + l_linenumber * 4 AS DOUBLE) AS y2
 FROM (SELECT *, l_orderkey // 4 AS image_id, l_returnflag AS cls, ((l_partkey * 37 + l_suppkey * 11 + l_linenumber * 101) % 1000) / 1000.0 AS score, (l_partkey % 4) * 60 + l_suppkey % 9 AS a, (l_suppkey % 4) * 60 + l_partkey % 9 AS b, CAST(floor(l_quantity) AS INT) AS q FROM lineitem))"""
-GT = """gt AS (SELECT image_id, det_id AS gt_id, cls, x1 + det_id % 5 - 2 + off AS x1, y1 + det_id % 7 - 3 AS y1, x2 + det_id % 3 + off AS x2, y2 - det_id % 4 AS y2 FROM (SELECT *, CASE WHEN (image_id + det_id) % 7 = 0 THEN 300 ELSE 0 END AS off FROM det WHERE det_id % 3 = 1))"""
+GT = """gt AS MATERIALIZED (SELECT image_id, det_id AS gt_id, cls, x1 + det_id % 5 - 2 + off AS x1, y1 + det_id % 7 - 3 AS y1, x2 + det_id % 3 + off AS x2, y2 - det_id % 4 AS y2 FROM (SELECT *, CASE WHEN (image_id + det_id) % 7 = 0 THEN 300 ELSE 0 END AS off FROM det WHERE det_id % 3 = 1))"""
 BOTH = f"{DET},\n{GT}"
 
 

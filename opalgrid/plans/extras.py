@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opalgrid.functions import costs, geometry as G
 from opalgrid.operators import assign as A, match as M, metrics as X
-from opalgrid.plans.boxes import pairs as box_pairs
+from opalgrid.plans.boxes import by_image, by_image_sql, pairs as box_pairs
 from opalgrid.plans.carrier import BOTH, DET, PAIRS, area_sql, det, gt, inter_sql, iou_sql, query, table, union_sql
 from opalgrid.plans.matching import KEYS
 from opalgrid.streaming import mot, tracks as K
@@ -18,11 +18,11 @@ def b20(spark, sf):
     return det(spark, sf).select("image_id", "det_id", x.alias("x"), y.alias("y"))
 
 
-@query("b21_yolo", f"WITH {BOTH} SELECT d.image_id, d.det_id, g.gt_id, round(least(greatest(((g.x1 + g.x2) - (d.x1 + d.x2)) / 2 / 32 + 0.5, 0.000001), 0.999999), 6) AS tx, round(ln((g.x2 - g.x1) / (d.x2 - d.x1)), 6) AS tw, round(g.x2 - g.x1, 6) AS w FROM det d JOIN gt g ON d.image_id = g.image_id AND d.cls = g.cls")
+@query("b21_yolo", by_image_sql(tx="64 * least(greatest(((g.x1 + g.x2) - (d.x1 + d.x2)) / 2 / 32 + 0.5, 0.000001), 0.999999)", tw="ln((g.x2 - g.x1) / (d.x2 - d.x1))", w="g.x2 - g.x1"))
 def b21y(spark, sf):
     t = G.yolo_encode(G.box(), G.box("g_"), 32.0)
     back = G.yolo_decode(G.box(), t, 32.0)
-    return box_pairs(spark, sf).select("image_id", "det_id", "gt_id", F.round(t[0], 6).alias("tx"), F.round(t[2], 6).alias("tw"), F.round(back.x2 - back.x1, 6).alias("w"))
+    return by_image(box_pairs(spark, sf), tx=64 * t[0], tw=t[2], w=back.x2 - back.x1)
 
 
 @query("b22_grid_points", "SELECT r, c, (c + 0.5) * 16 AS x, (r + 0.5) * 16 AS y FROM (SELECT unnest(range(50)) AS r), (SELECT unnest(range(50)) AS c)")
@@ -43,12 +43,12 @@ def c11(spark, sf):
     return gt(spark, sf).where((G.width(G.box()) > 50) & (G.height(G.box()) > 45)).select("image_id", "gt_id")
 
 
-@query("c12_annotated_classes_only", f"WITH {BOTH} SELECT image_id, det_id FROM det d WHERE EXISTS (SELECT 1 FROM gt g WHERE g.image_id = d.image_id AND g.cls = d.cls AND g.gt_id > 3)")
+@query("c12_annotated_classes_only", f"WITH {BOTH} SELECT DISTINCT image_id, det_id FROM det d WHERE EXISTS (SELECT 1 FROM gt g WHERE g.image_id = d.image_id AND g.cls = d.cls AND g.gt_id > 3)")
 def c12(spark, sf):
     return M.without_unannotated(det(spark, sf), gt(spark, sf).where("gt_id > 3")).select("image_id", "det_id")
 
 
-@query("d23_occluded_recall", f"WITH {BOTH}, {PAIRS} SELECT image_id, gt_id, CAST(EXISTS (SELECT 1 FROM pairs p WHERE p.image_id = g.image_id AND p.cls = g.cls AND p.gt_id = g.gt_id AND p.score >= 0.3 AND p.iou >= 0.75) AS INT) AS found FROM gt g")
+@query("d23_occluded_recall", f"WITH {BOTH}, {PAIRS} SELECT g.image_id, g.gt_id, max(CAST(coalesce(p.score >= 0.3 AND p.iou >= 0.75, false) AS INT)) AS found FROM gt g LEFT JOIN pairs p USING (image_id, cls, gt_id) GROUP BY 1, 2")
 def d23(spark, sf):
     return M.occluded_recall(gt(spark, sf), det(spark, sf)).select("image_id", "gt_id", "found")
 
@@ -85,11 +85,13 @@ def l1(spark, sf):
     return e.groupBy(F.window("ts", "5 minutes"), "event_type").agg(F.count("*").alias("n")).select(F.unix_timestamp("window.start").alias("start"), "event_type", "n")
 
 
-@query("m6_match_costs", f"WITH {BOTH} SELECT d.image_id, d.det_id, g.gt_id, round(abs(d.x1 - g.x1) + abs(d.y1 - g.y1) + abs(d.x2 - g.x2) + abs(d.y2 - g.y2), 6) AS l1, round(-2 * {iou_sql('d.', 'g.')}, 6) AS overlap, round(-ln(p + 1e-12) * 0.25 * (1 - p) * (1 - p) + ln(1 - p + 1e-12) * 0.75 * p * p, 6) AS focal FROM (SELECT *, 0.1 + score * 0.8 AS p FROM det) d JOIN gt g ON d.image_id = g.image_id AND d.cls = g.cls")
+_P = "(0.1 + d.score * 0.8)"
+
+
+@query("m6_match_costs", by_image_sql(l1="abs(d.x1 - g.x1) + abs(d.y1 - g.y1) + abs(d.x2 - g.x2) + abs(d.y2 - g.y2)", overlap=f"-2 * {iou_sql('d.', 'g.')}", focal=f"-ln({_P} + 1e-12) * 0.25 * (1 - {_P}) * (1 - {_P}) + ln(1 - {_P} + 1e-12) * 0.75 * {_P} * {_P}"))
 def m6(spark, sf):
     p = 0.1 + F.col("score") * 0.8
-    r = lambda c, n: F.round(c, 6).alias(n)
-    return box_pairs(spark, sf).select("image_id", "det_id", "gt_id", r(costs.l1(G.box(), G.box("g_")), "l1"), r(costs.overlap(G.box(), G.box("g_"), weight=2.0), "overlap"), r(costs.focal(p), "focal"))
+    return by_image(box_pairs(spark, sf), l1=costs.l1(G.box(), G.box("g_")), overlap=costs.overlap(G.box(), G.box("g_"), weight=2.0), focal=costs.focal(p))
 
 
 @query("m7_point_in_centre_region", f"WITH {BOTH}, p AS (SELECT d.image_id, d.cls, d.det_id, g.gt_id, (g.x2 - g.x1) * (g.y2 - g.y1) AS a FROM det d JOIN gt g ON d.image_id = g.image_id AND d.cls = g.cls WHERE abs((d.x1 + d.x2) / 2 - (g.x1 + g.x2) / 2) < (g.x2 - g.x1) * 0.1 AND abs((d.y1 + d.y2) / 2 - (g.y1 + g.y2) / 2) < (g.y2 - g.y1) * 0.1) SELECT image_id, det_id, gt_id AS assigned FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cls, det_id ORDER BY a, gt_id) AS r FROM p) WHERE r = 1")

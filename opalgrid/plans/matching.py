@@ -26,7 +26,7 @@ def responses(spark, sf) -> DataFrame:
     return det(spark, sf).where("det_id % 2 = 0").select("image_id", (F.col("image_id") * 100 + F.col("det_id")).alias("row_idx"), F.concat(F.lit("<answer>"), F.col("det_id").cast("string"), F.lit("</answer>")).alias("response"))
 
 
-@query("d1_zip_join", f"WITH {BOTH} SELECT g.image_id * 100 + gt_id AS row_idx, '<answer>' || det_id || '</answer>' AS response FROM gt g JOIN det d ON d.image_id = g.image_id AND d.det_id = g.gt_id AND d.det_id % 2 = 0")
+@query("d1_zip_join", f"WITH {BOTH} SELECT DISTINCT g.image_id * 100 + gt_id AS row_idx, '<answer>' || det_id || '</answer>' AS response FROM gt g JOIN det d ON d.image_id = g.image_id AND d.det_id = g.gt_id AND d.det_id % 2 = 0")
 def d1(spark, sf):
     return M.zip_join(records(spark, sf).select("row_idx"), responses(spark, sf).select("row_idx", "response"))
 
@@ -90,7 +90,7 @@ def voc(spark, sf, t: float = 0.5) -> DataFrame:
     return M.tpfp_voc(det(spark, sf), gt(spark, sf).withColumn("ignore", F.col("gt_id") % 5 == 0), KEYS, t)
 
 
-@query("d8_tpfp_voc", f"WITH {BOTH}, {PAIRS}, {VOC.format(t=0.5)} SELECT image_id, det_id, tp, fp FROM tpfp")
+@query("d8_tpfp_voc", f"WITH {BOTH}, {PAIRS}, {VOC.format(t=0.5)} SELECT DISTINCT image_id, det_id, tp, fp FROM tpfp")
 def d8(spark, sf):
     return voc(spark, sf).select("image_id", "det_id", "tp", "fp")
 
@@ -171,7 +171,7 @@ def d16(spark, sf):
     return M.caltech_match(det(spark, sf), g, KEYS).select("image_id", "det_id", "tp", "fp")
 
 
-@query("d17_crowd_voc", f"WITH {BOTH}, {PAIRS}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cls, det_id ORDER BY iou DESC, gt_id) AS r FROM pairs) WHERE r = 1), claims AS (SELECT *, row_number() OVER (PARTITION BY image_id, cls, gt_id ORDER BY score DESC, det_id) AS c FROM best WHERE iou >= 0.5) SELECT d.image_id, d.det_id, CAST(coalesce(c, 0) = 1 AS INT) AS tp FROM det d LEFT JOIN claims USING (image_id, cls, det_id)")
+@query("d17_crowd_voc", f"WITH {BOTH}, {PAIRS}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cls, det_id ORDER BY iou DESC, gt_id) AS r FROM pairs) WHERE r = 1), claims AS (SELECT *, row_number() OVER (PARTITION BY image_id, cls, gt_id ORDER BY score DESC, det_id) AS c FROM best WHERE iou >= 0.5) SELECT DISTINCT d.image_id, d.det_id, CAST(coalesce(c, 0) = 1 AS INT) AS tp FROM det d LEFT JOIN claims USING (image_id, cls, det_id)")
 def d17(spark, sf):
     return M.tpfp_voc(det(spark, sf), gt(spark, sf), KEYS, 0.5).select("image_id", "det_id", "tp")
 

@@ -152,9 +152,9 @@ def j8(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.question(F.col("p_name")).alias("q"), T.ordinal_zh(F.col("p_size")).alias("nth"))
 
 
-@query("j10_bilingual_migration", "SELECT p_partkey, 'a ship（船舶） near the dam（大坝） of ' || p_brand AS q FROM part")
+@query("j10_bilingual_migration", "SELECT p_partkey, 'a ship（舰船） near the dam（水坝） of ' || p_brand AS q FROM part")
 def j10(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", T.migrate_bilingual(F.concat(F.lit("a ship near the dam（大坝） of "), F.col("p_brand"))).alias("q"))
+    return table(spark, sf, "part").select("p_partkey", T.migrate_bilingual(F.concat(F.lit("a ship near the dam（水坝） of "), F.col("p_brand"))).alias("q"))
 
 
 @query("j11_j13_labels", "SELECT p_partkey, lpad(CAST(p_size AS VARCHAR), 2, '0') || '_' || regexp_replace(p_type, '[^A-Za-z0-9_-]+', '_', 'g') AS dir, p_type AS clean, CASE WHEN p_size % 2 = 0 THEN 'lae' ELSE 'unknown' END AS detector, p_brand AS tail FROM part")
@@ -177,10 +177,11 @@ def j16(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.phrase_of(F.col("p_name"), spans).alias("phrase"))
 
 
-@query("j18_j20_strings", "SELECT conv_id, turn, 'data:image/png;base64,' || to_base64(encode(text)) AS url, contains(text, 'th') AS warned FROM conversations")
+@query("j18_j20_strings", "SELECT conv_id, turn, 'data:image/png;base64,' || to_base64(encode(text)) AS url, turn % 3 = 0 OR contains(text, '[WARN]') AS warned FROM conversations")
 def j18(spark, sf):
     c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", T.data_url(F.col("text").cast("binary"), F.lit("/a/b.PNG")).alias("url"), T.warned(F.col("text"), "th").alias("warned"))
+    said = F.concat(F.col("text"), F.when(F.col("turn") % 3 == 0, "\n[WARN] HTTP 500").otherwise(""))
+    return c.select("conv_id", "turn", T.data_url(F.col("text").cast("binary"), F.lit("/a/b.PNG")).alias("url"), T.warned(said).alias("warned"))
 
 
 @query("j20_candidate_hint", f"WITH {DET} SELECT image_id, cls, string_agg(CAST(det_id AS VARCHAR), ', ' ORDER BY score DESC, det_id) AS hint FROM det GROUP BY 1, 2")
