@@ -10,6 +10,7 @@ table is needed for training, so every page is treated alike.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from opalgrid.llm.common import column_of, tune
-from opalgrid.llm.html_blocks import PATHS, WORDS, Block, _bucket, blocks_of
+from opalgrid.llm.html_blocks import PATHS, WORDS, Block, Page, _bucket, blocks_of
 
-TRAIN_PAGES, STEPS, SEED = 1500, 500, 11
+TRAIN_PAGES, STEPS, SEED = 1500, 300, 11
 HIDDEN, PATH_DIM, WORD_DIM, FIGURES = 16, 24, 8, 7
 INPUT = PATH_DIM + WORD_DIM + FIGURES
 
@@ -50,18 +51,18 @@ class _Maker:
     """Random pages with a label for each block (``data-main`` would be cheating: texts are marked)."""
 
     def __init__(self, seed: int):
-        self.r = np.random.default_rng(seed)
-        self.syllables = ["".join(self.r.choice(list("bcdfghlmnprstvw"), 1)) + "".join(self.r.choice(list("aeiouéü"), 1)) + "".join(self.r.choice(list("nrstlm "), 1)).strip() for _ in range(90)]
+        self.r = random.Random(seed)
+        self.syllables = ["".join(map(self.r.choice, ("bcdfghlmnprstvw", "aeiouéü", "nrstlm "))).strip() for _ in range(90)]
         self.k = 0
 
     def pick(self, options: list[str]) -> str:
-        return options[int(self.r.integers(len(options)))]
+        return options[int(self.r.random() * len(options))]
 
     def words(self, low: int, high: int, said: str = "") -> str:
         known = said.split()
         out = []
-        for _ in range(int(self.r.integers(low, high))):
-            out.append(self.pick(known) if known and self.r.random() < 0.3 else "".join(self.pick(self.syllables) for _ in range(int(self.r.integers(1, 4)))))
+        for _ in range(self.r.randrange(low, high)):
+            out.append(self.pick(known) if known and self.r.random() < 0.3 else "".join(self.pick(self.syllables) for _ in range(self.r.randrange(1, 4))))
             if self.r.random() < 0.15:
                 out[-1] += self.pick([".", ",", "."])
         text = " ".join(out)
@@ -80,7 +81,7 @@ class _Maker:
         return f' {self.pick(["class", "class", "id"])}="{self.pick(NAMES[kind].split())}"'
 
     def links(self, kind: str) -> str:
-        n = int(self.r.integers(2, 8))
+        n = self.r.randrange(2, 8)
         item = self.pick(["<li><a href='/x'>{}</a></li>", "<li><a href='/x'>{}</a>", "<div><a href='/x'>{}</a></div>"])
         inner = "".join(item.format(self.said(False, 1, 4, _SAID[kind])) for _ in range(n))
         return f"<ul>{inner}</ul>" if "<li>" in item else inner
@@ -93,11 +94,11 @@ class _Maker:
             inner = self.links(kind)
         elif kind == "comments":
             one = self.pick(["<li>{}</li>", "<div class='comment'>{}</div>", "<p>{}</p>", "<article class='comment'><p>{}</p></article>"])
-            inner = f"<h3>{self.said(False, 1, 3, _SAID[kind])}</h3>" * (self.r.random() < 0.5) + "".join(one.format(self.said(False, 3, 40, _SAID[kind])) for _ in range(int(self.r.integers(1, 5))))
+            inner = f"<h3>{self.said(False, 1, 3, _SAID[kind])}</h3>" * (self.r.random() < 0.5) + "".join(one.format(self.said(False, 3, 40, _SAID[kind])) for _ in range(self.r.randrange(1, 5)))
         elif shape < 0.6:
             inner = self.said(False, 2, 25, _SAID[kind])
         else:
-            inner = "".join(f"<p>{self.said(False, 2, 30, _SAID[kind])}</p>" for _ in range(int(self.r.integers(1, 3))))
+            inner = "".join(f"<p>{self.said(False, 2, 30, _SAID[kind])}</p>" for _ in range(self.r.randrange(1, 3)))
         return f"<{tag}{attrs}>{inner}</{tag}>"
 
     def form(self) -> str:
@@ -105,25 +106,28 @@ class _Maker:
 
     def body(self) -> str:
         out = []
-        for _ in range(int(self.r.integers(1, 9))):
+        if self.r.random() < 0.05:  # a long text that says the same over and over
+            tag, t, n = self.pick(["p", "p", "div", "li"]), self.said(True, 1, 12), self.r.randrange(8, 120)
+            out.append("".join(f"<{tag}>{t}</{tag}>" for _ in range(n)))
+        for _ in range(self.r.randrange(1, 9)):
             k = self.r.random()
             t = self.said(True, 1, 120)
             if k < 0.6:
                 out.append(self.pick([f"<p>{t}</p>", f"<p>{t}</p>", f"<p>{t}", f"<p><b>{t}<br>", f"<div>{t}</div>"]))
             elif k < 0.72:
-                out.append(f"<h2>{self.said(True, 1, 9)}</h2>")
+                out.append(f"<{(h := self.pick(['h2', 'h2', 'h3', 'h4']))}>{self.said(True, 1, 9)}</{h}>")
             elif k < 0.8:
-                out.append("<ul>" + "".join(f"<li>{self.said(True, 2, 15)}</li>" for _ in range(3)) + "</ul>")
+                out.append(f"<{(l := self.pick(['ul', 'ul', 'ol']))}>" + "".join(f"<li>{self.said(True, 1, 15)}</li>" for _ in range(self.r.randrange(1, 6))) + f"</{l}>")
             elif k < 0.86:
-                out.append(f"<blockquote><p>{t}</p></blockquote>")
+                out.append(self.pick([f"<blockquote><p>{t}</p></blockquote>", f"<blockquote>{t}</blockquote>"]))
             elif k < 0.9:
                 out.append(f"<table><tr><td>{self.said(True, 1, 5)}</td><td>{self.said(True, 1, 5)}</td></tr></table>")
             elif k < 0.93:
                 out.append(f"<pre>{t}</pre>")
-            elif k < 0.96:
+            elif k < 0.955:
                 out.append(f"<figure><img src='x'><figcaption>{self.said(True, 2, 12)}</figcaption></figure>")
             else:
-                out.append(self.part(self.pick(["ad", "ad", "side", "notice"])))
+                out.append(self.part(self.pick(["ad", "ad", "side", "side", "notice"])))
         return "".join(out)
 
     def page(self) -> str:
@@ -162,43 +166,76 @@ def figures(b: Block, n_words: int) -> tuple[float, ...]:
     return (np.log1p(n) / 5, np.log1p(n_words) / 3, b.linked, min(1.0, 5 * marks / max(1, n_words)), float(b.text[-1] in ".!?"), float(b.heading), min(2.0, b.depth / 8))
 
 
+def _summed(table: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the table rows ``at``, the first n[0] of them, the next n[1] and so on."""
+    total = np.zeros((len(n), table.shape[1]), np.float32)
+    some = n > 0
+    if some.any():
+        total[some] = np.add.reduceat(table[at], (np.cumsum(n) - n)[some], axis=0)
+    return total
+
+
+def _spread(grad: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """Adds each row of ``values`` to the row ``at`` of ``grad``."""
+    for k in range(grad.shape[1]):
+        grad[:, k] += np.bincount(at, values[:, k], len(grad)).astype(np.float32)
+
+
 class Encoded:
-    """Pages as flat arrays: path and word buckets with offsets, figures, blocks per page."""
+    """Pages as flat arrays: what each block says, and the elements that open and close around the
+    blocks. A path is a running sum over those, so a page costs no more for being deep."""
 
-    def __init__(self, pages: list[list[Block]], words: WordBuckets):
-        path, word, self.sizes = [], [], np.array([len(p) for p in pages], np.int64)
-        path_n, word_n, rows = [], [], []
+    ARRAYS = ("sizes", "steps", "at", "word", "word_n", "figures", "event_sizes", "token", "token_n", "sign")
+
+    def __init__(self, pages: list[Page], words: WordBuckets):
+        word, word_n, rows, steps, at = [], [], [], [], []
         for page in pages:
             for b in page:
                 found = [words[w] for w in b.text.split()]
-                path.extend(b.path)
                 word.extend(found)
-                path_n.append(len(b.path))
                 word_n.append(len(found))
                 rows.append(figures(b, len(found)))
-        self.path, self.word = np.array(path, np.int64), np.array(word, np.int64)
-        self.path_n, self.word_n = np.array(path_n, np.int64), np.array(word_n, np.int64)
+                steps.append(b.steps)
+                at.append(b.at)
+        events = [e for p in pages for e in p.events]
+        self.sizes, self.event_sizes = (np.array(x, np.int64) for x in ([len(p) for p in pages], [len(p.events) for p in pages]))
+        self.steps, self.at = np.array(steps, np.int64).reshape(-1, 2), np.array(at, np.int64)
+        self.word, self.word_n = np.array(word, np.int64), np.array(word_n, np.int64)
         self.figures = np.array(rows, np.float32).reshape(-1, FIGURES)
+        self.token_n = np.array([len(e) for e in events], np.int64)
+        self.token = np.fromiter((t for e in events for t in e), np.int64, int(self.token_n.sum()))
+        self.sign = np.array([s for p in pages for s in p.signs], np.float32)
 
     @classmethod
     def joined(cls, parts: list[Encoded]) -> Encoded:
         out = cls.__new__(cls)
-        for name in ("sizes", "path", "word", "path_n", "word_n", "figures"):
+        for name in cls.ARRAYS:
             setattr(out, name, np.concatenate([getattr(p, name) for p in parts]))
         return out
 
-    def vectors(self, w: dict) -> np.ndarray:
-        def summed(table: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-            if not len(n):
-                return np.zeros((0, table.shape[1]), np.float32)
-            total = np.zeros((len(n), table.shape[1]), np.float32)
-            some = n > 0
-            if some.any():
-                total[some] = np.add.reduceat(table[at], (np.cumsum(n) - n)[some], axis=0)
-            return total
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each block how many events of all pages stand before its page, and before it."""
+        base = np.repeat(np.cumsum(self.event_sizes) - self.event_sizes, self.sizes)
+        return base, base + self.at
 
-        words = summed(w["word"], self.word, self.word_n) / np.maximum(1, self.word_n)[:, None].astype(np.float32)
-        return np.concatenate([summed(w["path"], self.path, self.path_n), words, self.figures], axis=1)
+    def vectors(self, w: dict) -> np.ndarray:
+        running = np.zeros((len(self.sign) + 1, PATH_DIM))
+        np.cumsum(_summed(w["path"], self.token, self.token_n) * self.sign[:, None], axis=0, dtype=np.float64, out=running[1:])
+        base, at = self.places()
+        path = (running[at] - running[base]).astype(np.float32) + w["path"][self.steps].sum(axis=1)
+        words = _summed(w["word"], self.word, self.word_n) / np.maximum(1, self.word_n)[:, None].astype(np.float32)
+        return np.concatenate([path, words, self.figures], axis=1)
+
+    def path_gradient(self, d: np.ndarray, grad: np.ndarray) -> None:
+        """Adds to ``grad`` what the path parts ``d`` of the blocks give: an event counts for all blocks
+        of its page that come after it."""
+        running = np.zeros((len(d) + 1, PATH_DIM))
+        np.cumsum(d, axis=0, dtype=np.float64, out=running[1:])
+        last = np.repeat(np.cumsum(self.sizes), self.event_sizes)
+        first = np.minimum(np.searchsorted(self.places()[1], np.arange(len(self.sign)), side="right"), last)
+        own = (running[last] - running[first]) * self.sign[:, None]
+        _spread(grad, self.token, np.repeat(own, self.token_n, axis=0))
+        _spread(grad, self.steps.ravel(), np.repeat(d, 2, axis=0))
 
 
 def padded(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,8 +252,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def lstm(x: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, list]:
-    """x: pages x steps x 4H, the inputs' share of the gates. States of all steps, and what backward needs."""
+def lstm(x: np.ndarray, u: np.ndarray, learning: bool) -> tuple[np.ndarray, list]:
+    """x: pages x steps x 4H, the inputs' share of the gates. States of all steps, and what backward
+    needs (kept only when ``learning``)."""
     pages, steps, _ = x.shape
     h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
     out, kept = np.empty((pages, steps, HIDDEN), np.float32), []
@@ -230,7 +268,8 @@ def lstm(x: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, list]:
         th = np.tanh(c)
         h = o * th
         out[:, t] = h
-        kept.append((i, f, o, g, th, *before))
+        if learning:
+            kept.append((i, f, o, g, th, *before))
     return out, kept
 
 
@@ -260,12 +299,12 @@ def start_weights(seed: int = SEED) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def forward(e: Encoded, w: dict) -> tuple[np.ndarray, tuple]:
+def forward(e: Encoded, w: dict, learning: bool = True) -> tuple[np.ndarray, tuple]:
     """Logit of each block, and the parts that backward needs."""
     x = e.vectors(w)
     ahead, back, mask = padded(e.sizes)
-    ha, ka = lstm((x @ w["wa"] + w["ca"])[ahead], w["ua"])
-    hb, kb = lstm((x @ w["wb"] + w["cb"])[back], w["ub"])
+    ha, ka = lstm((x @ w["wa"] + w["ca"])[ahead], w["ua"], learning)
+    hb, kb = lstm((x @ w["wb"] + w["cb"])[back], w["ub"], learning)
     fa, fb = np.empty((len(x), HIDDEN), np.float32), np.empty((len(x), HIDDEN), np.float32)
     fa[ahead[mask]], fb[back[mask]] = ha[mask], hb[mask]
     both = np.concatenate([fa, fb], axis=1)
@@ -284,17 +323,18 @@ def gradients(e: Encoded, w: dict, d: np.ndarray, parts: tuple) -> dict[str, np.
         grad[f"w{name}"], grad[f"c{name}"] = x.T @ dz, dz.sum(axis=0)
         dx += dz @ w[f"w{name}"].T
     grad["path"], grad["word"] = np.zeros_like(w["path"]), np.zeros_like(w["word"])
-    np.add.at(grad["path"], e.path, np.repeat(dx[:, :PATH_DIM], e.path_n, axis=0))
-    np.add.at(grad["word"], e.word, np.repeat(dx[:, PATH_DIM : PATH_DIM + WORD_DIM] / np.maximum(1, e.word_n)[:, None], e.word_n, axis=0))
+    e.path_gradient(dx[:, :PATH_DIM], grad["path"])
+    _spread(grad["word"], e.word, np.repeat(dx[:, PATH_DIM : PATH_DIM + WORD_DIM] / np.maximum(1, e.word_n)[:, None], e.word_n, axis=0))
     return grad
 
 
-def training_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[list[Block], np.ndarray]]:
+def training_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[Page, np.ndarray]]:
     maker, out = _Maker(seed), []
     for _ in range(n):
         blocks = blocks_of(maker.page())
         y = np.array([b.text[0] == "\ue001" for b in blocks], np.float32)
-        out.append(([b._replace(text=b.text.replace("\ue001", "").replace("\ue000", "") or ".") for b in blocks], y))
+        plain = [b._replace(text=b.text.replace("\ue001", "").replace("\ue000", "") or ".") for b in blocks]
+        out.append((Page(plain, blocks.events, blocks.signs), y))
     return [x for x in out if x[0]]
 
 
@@ -323,17 +363,19 @@ def trained() -> dict[str, np.ndarray]:
     return w
 
 
-def label_pages(pages: list[list[Block]], w: dict, words: WordBuckets, cells: int = 30_000) -> list[np.ndarray]:
-    """Whether each block is main text; pages of like length are read together."""
+def label_pages(pages: list[Page], w: dict, words: WordBuckets, cells: int = 30_000) -> list[np.ndarray]:
+    """Whether each block is main text. Pages of like length are read together, as many as ``cells``
+    blocks (padding included) and ten times as many events hold; a larger page is read alone."""
     out: list[np.ndarray] = [np.empty(0, bool)] * len(pages)
     order = [i for i in sorted(range(len(pages)), key=lambda i: len(pages[i])) if pages[i]]
     at = 0
     while at < len(order):
-        stop = at + 1
-        while stop < len(order) and (stop + 1 - at) * len(pages[order[stop]]) <= cells:
+        stop, events = at + 1, len(pages[order[at]].events)
+        while stop < len(order) and (stop + 1 - at) * len(pages[order[stop]]) <= cells and events + len(pages[order[stop]].events) <= 10 * cells:
+            events += len(pages[order[stop]].events)
             stop += 1
         mine = order[at:stop]
-        logit, _ = forward(Encoded([pages[i] for i in mine], words), w)
+        logit, _ = forward(Encoded([pages[i] for i in mine], words), w, learning=False)
         for i, part in zip(mine, np.split(logit, np.cumsum([len(pages[i]) for i in mine])[:-1]), strict=True):
             out[i] = part > 0
         at = stop
@@ -344,8 +386,9 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without its html, with text (main text, blocks joined by a line break; empty if
     none) and n_chars (its code points). Columns of these names are replaced.
 
-    A null or empty page gives an empty text; broken markup is read as far as it goes. Rows that
-    repeat give equal texts; an empty table gives an empty result.
+    A null or empty page gives an empty text; broken markup is read as far as it goes. Time and
+    memory grow with the length of a page, however deep it nests. Rows that repeat give equal
+    texts; an empty table gives an empty result.
     """
     tune(pages.sparkSession)
     w = trained()

@@ -386,7 +386,7 @@ def test_gradients_by_differences():
 
     z, parts = H.forward(e, w)
     g = H.gradients(e, w, (1 / (1 + np.exp(-z)) - y).astype(np.float32), parts)
-    for name, at in (("out", (3,)), ("ua", (2, 7)), ("wb", (4, 20)), ("cb", (9,)), ("path", (int(e.path[0]), 2)), ("skip", (1,))):
+    for name, at in (("out", (3,)), ("ua", (2, 7)), ("wb", (4, 20)), ("cb", (9,)), ("path", (int(e.token[0]), 2)), ("path", (int(e.steps[0, 1]), 5)), ("word", (int(e.word[0]), 1)), ("skip", (1,))):
         v = {k: x.copy() for k, x in w.items()}
         v[name][at] += 1e-2
         up = loss(v)
