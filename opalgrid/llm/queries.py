@@ -36,6 +36,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def benchmark_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The broadcast form of op3: spans of 20 words and more that the benchmark holds leave the documents."""
+    from opalgrid.llm.substring_dedup import remove_reference
+
+    out = remove_reference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opalgrid.llm.mixing import mix
 
@@ -91,7 +99,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_substring_dedup, op4_mixing, op5_exact_dedup, op6_ngram_join, op7_packing, op8_html_extraction, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_substring_dedup, op4_mixing, op5_exact_dedup, op6_ngram_join, op7_packing, op8_html_extraction, op9_token_counts, op10_toxicity, benchmark_spans)}
 
 _CONTROL = ["[TURN] ", "[/TURN]", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 
@@ -103,19 +111,32 @@ def _escapes(text: str) -> str:
 
 _SPLIT = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
+#: SQL: windows of 20 words and their hashes; the words that the windows ``late`` cover, and the rest.
+_LEADS = ", ".join(f"lead(h, {j}) OVER v" for j in range(1, 20))
+_WINDOWS = f"""w AS MATERIALIZED (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS ws FROM documents),
+word AS MATERIALIZED (SELECT doc_id, p, t, hash(t) AS h FROM (SELECT doc_id, generate_subscripts(ws, 1) AS p, unnest(ws) AS t FROM w)),
+k AS MATERIALIZED (SELECT doc_id, p AS i, hash(h, {_LEADS}) AS h FROM word WINDOW v AS (PARTITION BY doc_id ORDER BY p) QUALIFY lead(h, 19) OVER v IS NOT NULL)"""
+_WITHOUT = """gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
+rest AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS t FROM (SELECT * FROM word SEMI JOIN removed USING (doc_id)) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)"""
+
 ORACLES = {
     "op6_ngram_join": f"""
-WITH RECURSIVE w AS (
+WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, {_SPLIT.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
-sh AS (SELECT DISTINCT doc_id, g FROM (
-  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w)),
-n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
-common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-link AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
-both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+one AS MATERIALIZED (SELECT ws, min(doc_id) AS r FROM w GROUP BY ws),
+word AS MATERIALIZED (SELECT r, p, hash(t) AS h FROM (SELECT r, generate_subscripts(ws, 1) AS p, unnest(ws) AS t FROM one WHERE len(ws) >= 4)),
+sh AS MATERIALIZED (SELECT DISTINCT r, g FROM (
+  SELECT r, hash(h, lead(h, 1) OVER v, lead(h, 2) OVER v, lead(h, 3) OVER v) AS g FROM word WINDOW v AS (PARTITION BY r ORDER BY p) QUALIFY lead(h, 3) OVER v IS NOT NULL
+  UNION ALL SELECT r, hash(ws) FROM one WHERE len(ws) BETWEEN 1 AND 3)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM sh GROUP BY 1),
+part AS MATERIALIZED (SELECT sh.r, g, n FROM sh JOIN n USING (r) WHERE g IN (SELECT g FROM sh GROUP BY g HAVING count(*) > 1)),
+common AS (SELECT a.r AS x, b.r AS y, any_value(a.n + b.n) AS total, count(*) AS c FROM part a JOIN part b ON a.g = b.g AND a.r < b.r AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2),
+link AS (SELECT x, y FROM common WHERE 100 * c >= 85 * (total - c)),
+same AS (SELECT one.r AS x, w.doc_id AS y FROM one JOIN w USING (ws) WHERE len(ws) > 0 AND w.doc_id <> one.r),
+both_ways AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link UNION ALL SELECT x, y FROM same UNION ALL SELECT y, x FROM same),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON x = r)
-SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.r) AS component_id FROM reach JOIN w USING (doc_id) JOIN one USING (ws) LEFT JOIN n ON n.r = one.r GROUP BY doc_id""",
     "op2_chat_format": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -127,16 +148,20 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(7 + sum(15 + length(role) + length(text) + {_escapes("text")} + {_escapes("role")} + length(role) - length(replace(role, chr(10), ''))) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id""",
     "op3_substring_dedup": f"""
-WITH w AS (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS ws FROM documents),
-g AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w WHERE len(ws) >= 20),
-k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h FROM g),
-late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM k) WHERE r > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
-lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY 1),
-word AS (SELECT w.doc_id, generate_subscripts(ws, 1) AS p, unnest(ws) AS t FROM w),
-kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
-SELECT w.doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
-FROM w LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+WITH {_WINDOWS},
+late AS (SELECT doc_id, i FROM k QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+{_WITHOUT}
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(CASE WHEN n > 0 THEN coalesce(t, '') ELSE array_to_string(ws, ' ') END) AS kept_sha256
+FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN rest USING (doc_id)""",
+    "benchmark_spans": f"""
+WITH {_WINDOWS},
+b AS (SELECT item_id, {_SPLIT.format("coalesce(text, '')")} AS bs FROM benchmark),
+bword AS (SELECT item_id, p, hash(t) AS h FROM (SELECT item_id, generate_subscripts(bs, 1) AS p, unnest(bs) AS t FROM b)),
+bk AS (SELECT hash(h, {_LEADS}) AS h FROM bword WINDOW v AS (PARTITION BY item_id ORDER BY p) QUALIFY lead(h, 19) OVER v IS NOT NULL),
+late AS (SELECT doc_id, i FROM k WHERE h IN (SELECT h FROM bk)),
+{_WITHOUT}
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(CASE WHEN n > 0 THEN coalesce(t, '') ELSE array_to_string(ws, ' ') END) AS kept_sha256
+FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN rest USING (doc_id)""",
     "op5_exact_dedup": """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256

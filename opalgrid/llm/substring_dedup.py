@@ -10,9 +10,14 @@ distinct contexts of an anchor stream, in order of document and position, throug
 automaton of those before them, and a window whose matching statistic reaches ``window``
 starts earlier. Then the context itself enters the automaton.
 
-An anchor with more than ``hot`` distinct contexts would make one long task: its windows are
-compared one by one by 128-bit key instead, with partial aggregates. A reference of bounded
-size (a benchmark, a licence list) is broadcast as automata: ``remove_reference``.
+A shard is bounded: the windows of an anchor with more than ``shard`` distinct contexts are
+dealt anew, by anchors of twice the length and a word, and pass through the same steps. The
+windows of a long anchor that is still too common get the longest one there is, the window
+itself, whose one distinct context is the window: its first occurrence stays. A reference of
+bounded size (a benchmark, a licence list) is broadcast as automata: ``remove_reference``.
+
+A row is an identifier and the hash of its text, so rows of one identifier, or of none, with
+different texts are documents of their own, in the order of that hash.
 """
 
 from __future__ import annotations
@@ -102,6 +107,7 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 def runs_of(h: np.ndarray, window: int, gram: int = GRAM) -> Runs:
+    """The contexts of a text of word hashes ``h``."""
     n = len(h) - window + 1
     if n <= 0:
         empty = np.empty(0, np.int64)
@@ -118,66 +124,115 @@ def runs_of(h: np.ndarray, window: int, gram: int = GRAM) -> Runs:
     return Runs(first, count, g[at[first]].view(np.int64), content.view(np.int64))
 
 
+ROW = ["id", "key", "start"]
+_POSTINGS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64())])
+_SPANS = pa.schema([*_POSTINGS, ("words", pa.binary()), ("deep", pa.bool_())])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def _occurrences(texts: DataFrame, window: int) -> DataFrame:
+    """The contexts of all texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found, ids = [], []
-            for i, text in zip(column_of(batch, "id").to_pylist(), column_bytes(column_of(batch, "text")), strict=True):
-                r = runs_of(hashes.of(text.split()), window)
-                if len(r.start):
-                    found.append(r)
-                    ids.append(np.full(len(r.start), i, np.int64))
-            if found:
-                s, c, a, k = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(s.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(a), pa.array(k)], names=["id", "start", "count", "anchor", "content"])
-
-    return texts.mapInArrow(run, "id long, start int, count int, anchor long, content long")
-
+            found, sizes = [], []
+            for text in column_bytes(column_of(batch, "text")):
+                found.append(runs_of(hashes.of(text.split()), window))
+                sizes.append(len(found[-1].start))
+            if sum(sizes):
+                rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                start, count, anchor, content = (np.concatenate([f[k] for f in found if len(f[k])]) for k in range(4))
+                yield pa.RecordBatch.from_arrays([column_of(batch, "id").take(rows), column_of(batch, "key").take(rows), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor), pa.array(content)], schema=_POSTINGS)
 
-_SPANS = pa.schema([("anchor", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+    return texts.mapInArrow(run, _ddl(_POSTINGS))
 
 
 def _spans(wanted: DataFrame, window: int) -> DataFrame:
-    """Word hashes of the wanted contexts; for those of hot anchors one keyed row per window."""
+    """The wanted contexts with their words; those of a ``wide`` anchor cut anew by long anchors (``deep``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
             out: list[tuple] = []
-            for i, text, starts, hot in zip(column_of(batch, "id").to_pylist(), column_bytes(column_of(batch, "text")), column_of(batch, "starts").to_pylist(), column_of(batch, "hot").to_pylist(), strict=True):
+            columns = (column_of(batch, c).to_pylist() for c in ("id", "key", "starts", "wide"))
+            for i, k, starts, wide, text in zip(*columns, column_bytes(column_of(batch, "text")), strict=True):
+                if (i, k) in seen:
+                    continue  # a row that repeats
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen.add((i, k))
                 h = hashes.of(text.split())
                 r = runs_of(h, window)
-                keys = None
-                for s, is_hot in zip(starts, hot, strict=True):
-                    k = int(np.searchsorted(r.start, s))
-                    if k == len(r.start) or r.start[k] != s:
-                        continue  # a row of the same identifier with another text
-                    n, a = int(r.count[k]), int(r.anchor[k])
-                    if is_hot:
-                        keys = mixed(window_hashes(h, window)).view(np.int64) if keys is None else keys
-                        out += [(a, int(keys[s + j]), i, s + j, None) for j in range(n)]
-                    else:
-                        out.append((a, None, i, s, h[s : s + n + window - 1].tobytes()))
+                for at, is_wide in zip(np.searchsorted(r.start, starts).tolist(), wide, strict=True):
+                    s, n = int(r.start[at]), int(r.count[at])
+                    own = h[s : s + n + window - 1]
+                    if not is_wide:
+                        out.append((i, k, s, n, int(r.anchor[at]), int(r.content[at]), own.tobytes(), False))
+                        continue
+                    for s2, n2, a2, c2 in zip(*(x.tolist() for x in runs_of(own, window, long_gram(window))), strict=True):
+                        out.append((i, k, s + s2, n2, a2, c2, own[s2 : s2 + n2 + window - 1].tobytes(), True))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SPANS, strict=True)], schema=_SPANS)
+                yield _batch(_SPANS, out)
+
+    return wanted.mapInArrow(run, _ddl(_SPANS))
+
+
+def long_gram(window: int) -> int:
+    return min(2 * GRAM + 1, window)
 
-    return wanted.mapInArrow(run, "anchor long, key long, id long, start int, words binary")
+
+def _windows(spans: DataFrame, window: int) -> DataFrame:
+    """The single windows of contexts: each is its own anchor and its own content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i, k, s, a, words in zip(*(column_of(batch, c).to_pylist() for c in ("id", "key", "start", "anchor", "words")), strict=True):
+                keys = mixed(window_hashes(np.frombuffer(words, np.uint64), window)).view(np.int64).tolist()
+                out += [(i, k, s + j, 1, a, own) for j, own in enumerate(keys)]
+            if out:
+                yield _batch(_POSTINGS, out)
+
+    return spans.mapInArrow(run, _ddl(_POSTINGS))
+
+
+def _collapsed(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first occurrence of each context (written, so that a join can split a common anchor), and
+    the marks of all later ones."""
+    first = stash(postings.groupBy("anchor", "content").agg(F.min(F.struct(*ROW)).alias("f")).select("anchor", "content", *[F.col(f"f.{c}").alias(c) for c in ROW]))
+    copies = postings.join(first.select("anchor", "content", *[F.col(c).alias(f"f_{c}") for c in ROW]), ["anchor", "content"])
+    copies = copies.where(" or ".join(f"{c} <> f_{c}" for c in ROW))
+    return first, copies.select(*ROW, F.expr("shiftleft(1L, count) - 1L").alias("mask"))
+
+
+def _distinct_contexts(first: DataFrame, shard: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts of anchors that have several, with ``wide``: more than ``shard`` of them; and those anchors."""
+    kinds = stash(first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds >= 2").select("anchor", (F.col("kinds") > shard).alias("wide")))
+    return first.join(kinds, "anchor"), kinds
 
 
 def _earlier(spans: DataFrame, window: int) -> DataFrame:
-    """id, start, mask: which windows of each context start earlier (bit j: the window at start + j)."""
+    """id, key, start, mask: which windows of each context start earlier (bit j: the window at start + j)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor = last = shard = None
         for batch in batches:
-            ids, starts, masks = [], [], []
-            for a, i, s, words in zip(*(column_of(batch, c).to_pylist() for c in ("anchor", "id", "start", "words")), strict=True):
+            out: list[tuple] = []
+            for a, i, k, s, words in zip(*(column_of(batch, c).to_pylist() for c in ("anchor", *ROW, "words")), strict=True):
                 if a != anchor:
                     anchor, last, shard = a, None, SuffixAutomaton()
-                if (i, s) == last:
+                if (i, k, s) == last:
                     continue  # the same occurrence, from a repeated row
-                last = (i, s)
+                last = (i, k, s)
                 span = np.frombuffer(words, np.uint64).tolist()
                 mask = 0
                 if len(shard.next) > 1:
@@ -185,13 +240,12 @@ def _earlier(spans: DataFrame, window: int) -> DataFrame:
                         mask |= (n >= window) << j
                 shard.insert(span)
                 if mask:
-                    ids.append(i)
-                    starts.append(s)
-                    masks.append(mask)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(masks, pa.int32())], names=["id", "start", "mask"])
+                    out.append((i, k, s, mask))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[*ROW, "mask"])
 
-    return spans.select("anchor", "id", "start", "words").repartition("anchor").sortWithinPartitions("anchor", "id", "start").mapInArrow(run, "id long, start int, mask int")
+    dealt = spans.select("anchor", *ROW, "words").repartition("anchor").sortWithinPartitions("anchor", *ROW)
+    return dealt.mapInArrow(run, "id long, key long, start int, mask long")
 
 
 def covered_words(n: int, starts: np.ndarray, masks: np.ndarray, window: int) -> np.ndarray:
@@ -222,44 +276,51 @@ def _kept(joined: DataFrame, window: int) -> DataFrame:
                 kept.append(b" ".join(rest))
             yield pa.RecordBatch.from_arrays([column_of(batch, "id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
 
+    joined = joined.select("id", "text", "starts", "masks")
     return joined.mapInArrow(run, "id long, n_words long, n_removed long, kept_text string")
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, hot: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, shard: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words, one space between) for every row.
 
     A word goes when a window over it starts earlier: in a smaller identifier, or earlier in the
     same document; windows are judged on the input. Null texts count as empty; texts shorter
     than a window keep all. A row repeated in full is the same occurrence, so both rows keep
-    what one would. A null identifier sorts before all others and comes back as null. An
-    empty table gives an empty result. ``window`` is at most 24.
+    what one would. Rows of one identifier with different texts are documents of their own, in
+    the order of a hash of the text. A null identifier sorts before all others and comes back as
+    null. An empty table gives an empty result; other columns are left out. ``window`` is 6 to 60.
     """
+    if not GRAM <= window <= 60:
+        raise ValueError("window must be from 6 to 60 words")
     spark = docs.sparkSession
     tune(spark)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     every = stash(_occurrences(texts, window))
     # aggregates are written before they are joined: a join right above one keeps its partitioning,
     # and Spark can't split the task of a very common anchor there
     twice = stash(every.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen >= 2").select("anchor"))
     repeated = stash(every.join(twice, "anchor"))
     release(spark, every, twice)
-    contexts = stash(repeated.groupBy("anchor", "content").agg(F.min("id").alias("first_id")))
-    # the first start inside the first document, then how many contexts the anchor has
-    first = repeated.join(contexts, ["anchor", "content"]).where("id = first_id").groupBy("anchor", "content", "id").agg(F.min("start").alias("start"))
-    first = stash(first)
-    many = first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds >= 2")
-    wanted = first.join(many, "anchor").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("kinds") > hot).alias("hot")))).alias("w")).select("id", F.col("w.start").alias("starts"), F.col("w.hot").alias("hot"))
-    spans = stash(_spans(texts.join(wanted, "id"), window))
-    later = repeated.join(first.select("anchor", "content", F.col("id").alias("i"), F.col("start").alias("s")), ["anchor", "content"]).where((F.col("id") != F.col("i")) | (F.col("start") != F.col("s")))
-    later = later.select("id", "start", F.expr("shiftleft(1, count) - 1").alias("mask"))
-    single = spans.where("key is not null")
-    lowest = single.groupBy("anchor", "key").agg(F.min("id").alias("i"))
-    lowest = single.join(lowest, ["anchor", "key"]).where("id = i").groupBy("anchor", "key", "i").agg(F.min("start").alias("s"))
-    alone = single.join(lowest, ["anchor", "key"]).where((F.col("id") != F.col("i")) | (F.col("start") != F.col("s"))).select("id", "start", F.lit(1).alias("mask"))
-    marks = later.unionByName(_earlier(spans.where("key is null"), window)).unionByName(alone)
-    marks = stash(marks.groupBy("id").agg(F.collect_list(F.struct("start", "mask")).alias("m")).select("id", F.col("m.start").alias("starts"), F.col("m.mask").alias("masks")))
-    release(spark, repeated, contexts, first, spans)
-    out = _kept(texts.join(marks, "id", "left"), window)
+    first, marks = _collapsed(repeated)
+    distinct, kinds = _distinct_contexts(first, shard)
+    wanted = distinct.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "wide"))).alias("w")).select("id", "key", F.col("w.start").alias("starts"), F.col("w.wide").alias("wide"))
+    spans = stash(_spans(texts.join(wanted, ["id", "key"]), window))
+    shards, done = spans.where("not deep"), [repeated, first, kinds, spans]
+    if not kinds.where("wide").isEmpty():
+        # contexts cut by long anchors: the same steps again, and after that the windows themselves
+        first2, marks2 = _collapsed(spans.where("deep"))
+        distinct2, kinds2 = _distinct_contexts(first2, shard)
+        held = stash(spans.where("deep").join(distinct2, ["anchor", "content", *ROW]))
+        single = stash(_windows(held.where("wide"), window))
+        first3, marks3 = _collapsed(single)
+        marks = marks.unionByName(marks2).unionByName(marks3)
+        shards = shards.unionByName(held.where("not wide").select(shards.columns))
+        done += [first2, kinds2, held, single, first3]
+    marks = marks.unionByName(_earlier(shards, window))
+    # equal marks of repeated rows fall together before they are gathered by document
+    marks = stash(marks.groupBy("id", "key").agg(F.collect_set(F.struct("start", "mask")).alias("m")).select("id", "key", F.col("m.start").alias("starts"), F.col("m.mask").alias("masks")))
+    release(spark, *done)
+    out = _kept(texts.join(marks, ["id", "key"], "left"), window)
     return out.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text")
 
 

@@ -141,28 +141,52 @@ def test_components(spark):
 
 
 def brute_spans(rows, window):
-    seen, gone = set(), collections.defaultdict(set)
-    for i, t in sorted(((i, t) for i, t in rows), key=lambda x: x[0]):
-        w = split(t)
+    """rows: (id or None, text, order among the texts of an identifier); repeated rows are one occurrence."""
+    seen, gone = set(), {}
+    for i, _, t in sorted({(-1 if i is None else i, k, t or "") for i, t, k in rows}):
+        w, mine = split(t), set()
         for s in range(len(w) - window + 1):
             k = tuple(w[s : s + window])
             if k in seen:
-                gone[i] |= set(range(s, s + window))
+                mine |= set(range(s, s + window))
             seen.add(k)
-    return sorted((i, len(split(t)), len(gone[i]), b" ".join(w for p, w in enumerate(split(t)) if p not in gone[i]).decode()) for i, t in rows)
+        gone[i, t] = mine
+    own = lambda i, t: gone[-1 if i is None else i, t or ""]
+    return sorted(((i, len(split(t)), len(own(i, t)), b" ".join(w for p, w in enumerate(split(t)) if p not in own(i, t)).decode()) for i, t, _ in rows), key=str)
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 1000), (2, 1), (3, 3)])
-def test_substring_dedup(spark, seed, hot):
+@pytest.mark.parametrize(("seed", "shard"), [(1, 1000), (2, 1), (3, 3)])
+def test_substring_dedup(spark, seed, shard):
     r = random.Random(seed)
     passages = [words(r, n) for n in (19, 20, 21, 60, 400)]
     texts = [" ".join(r.choice([words(r, r.randrange(30)), r.choice(passages)]) for _ in range(r.randrange(6))) for _ in range(60)]
     texts += [None, "", "the " * 300, "the " * 300, "a b " * 200, texts[0], words(r, 5)]
-    got = sorted(tuple(x) for x in SD.substring_dedup(docs(spark, texts).withColumn("n_words", F.lit(1)), hot=hot).collect())
-    assert got == brute_spans(list(enumerate(texts)), 20)
+    got = sorted(tuple(x) for x in SD.substring_dedup(docs(spark, texts).withColumn("n_words", F.lit(1)), shard=shard).collect())
+    assert sorted(got, key=str) == brute_spans([(i, t, 0) for i, t in enumerate(texts)], 20)
     assert any(g[2] for g in got)
 
 
+@pytest.mark.parametrize("shard", [1000, 2])
+def test_substring_dedup_tells_texts_of_one_identifier_apart(spark, shard):
+    t, u, v, p = (" ".join(f"{c}{i}" for i in range(30)) for c in "tuvp")
+    rows = [(1, t), (2, t), (2, u), (None, p + " x " + p), (None, v), (None, None), (3, p), (3, v + " " + u), (3, v + " " + u), (9, "z " * 50), (9, "z " * 51)]
+    df = docs(spark, [x for _, x in rows], [i for i, _ in rows])
+    keys = {x.text: x.k for x in df.select("text", F.xxhash64("text").alias("k")).collect()}
+    got = [tuple(x) for x in SD.substring_dedup(df, shard=shard).collect()]
+    assert sorted(got, key=str) == brute_spans([(i, x, keys[x]) for i, x in rows], 20)
+    assert (2, 30, 0, u) in got and (None, 30, 0, v) in got
+
+
+def test_substring_dedup_of_a_passage_in_many_contexts(spark):
+    """Anchors with more distinct contexts than a shard holds, at the first and the second length."""
+    r = random.Random(4)
+    core = words(r, 24, 10**6)
+    texts = [f"{words(r, r.randrange(12), 10**6)} {core} {words(r, r.randrange(12), 10**6)}" for _ in range(40)] + [core, f"{core} {core}"] * 2
+    for shard in (1, 5):
+        got = [tuple(x) for x in SD.substring_dedup(docs(spark, texts), shard=shard).collect()]
+        assert sorted(got, key=str) == brute_spans([(i, t, 0) for i, t in enumerate(texts)], 20)
+
+
 def test_substring_dedup_edges(spark):
     t = " ".join(f"k{i}" for i in range(30))
     assert SD.substring_dedup(docs(spark, [])).count() == 0
