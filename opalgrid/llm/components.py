@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from opalgrid.llm.common import stash
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is the smallest node
     reachable. Neighbourhoods are never gathered: each star is a minimum by key and a join, so a
     node with millions of links only makes a partial aggregate. Rounds grow with the logarithm
-    of the longest path; each is written to the shared folder."""
+    of the longest path, until nothing changes; each is written to the shared folder."""
     e = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -28,4 +28,3 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if tuple(now) == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = tuple(now)
-    raise RuntimeError("components did not settle")

@@ -47,6 +47,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def size_band(n: Column, percent: int) -> Column:
+    """A number such that sets which may be similar differ in it by one at most."""
+    return F.floor(F.ln(n.cast("double")) / float(np.log(100 / percent)) * (1 - 1e-9)).cast("int")
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -164,12 +169,13 @@ def _row_components(docs: DataFrame, k: int, percent: int, id_col: str, text_col
     release(spark)
     # lists that still hold several components: the members outside the largest meet the others
     labelled = grouped.join(known, F.col("id") == F.col("node"), "left").select("id", "gid", F.coalesce("component", "id").alias("c"))
-    lists = stash(postings.join(labelled, "gid").select("s", "id", "n", "pos", "c"))
+    lists = stash(postings.join(labelled, "gid").select("s", "id", "n", "pos", size_band(F.col("n"), percent).alias("band"), "c"))
     sizes = lists.groupBy("s", "c").agg(F.count("*").alias("m"))
     major = sizes.groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").select("s", "major")
     left = stash(lists.join(major, "s"))
-    minor = left.where("c <> major").select("s", F.col("id").alias("i1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("c").alias("c1"))
-    meets = minor.join(left, "s").where((F.col("c1") != F.col("c")) & meet(F.col("n1"), F.col("p1"), F.col("n"), F.col("pos")) & ((F.col("c") == F.col("major")) | (F.col("i1") < F.col("id"))))
+    # members meet those of their own and the next size bands only, each band of an element for itself
+    minor = left.where("c <> major").select("s", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), F.col("id").alias("i1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("c").alias("c1"))
+    meets = minor.join(left, ["s", "band"]).where((F.col("c1") != F.col("c")) & meet(F.col("n1"), F.col("p1"), F.col("n"), F.col("pos")) & ((F.col("c") == F.col("major")) | (F.col("i1") < F.col("id"))))
     pairs = meets.select(F.least("i1", "id").alias("a"), F.greatest("i1", "id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = _verified(pairs, whole_sets, percent)
     final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
