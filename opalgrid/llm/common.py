@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 import uuid
@@ -26,10 +27,13 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one on a local master
+    (tests); on a cluster each executor would write to its own disk, so that raises."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="opalgrid-"))
     return _own_dir[0]
@@ -74,6 +78,19 @@ def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return rows.orderBy("__h", key).limit(most).drop("__h")
 
 
+def spread(df: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """``df``, just written and read back, with ``__salt``: 0, but for rows that agree in ``columns`` more
+    than ``most`` times; those are dealt over as many salts as bring ``most`` of them together, by
+    their place in the files, which retried tasks find again."""
+    n = df.groupBy(*columns).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
+    n = n.select(*[F.col(c).alias(f"__{c}") for c in columns], F.ceil(F.col("__n") / most).cast("long").alias("__parts"))
+    on = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns])
+    rows = df.withColumn("__place", F.monotonically_increasing_id()).join(n, on, "left")
+    # the low bits of a place count rows of a file, the high ones files: both enter the salt
+    salt = F.pmod(F.xxhash64("__place"), F.coalesce("__parts", F.lit(1).cast("long")))
+    return rows.withColumn("__salt", salt).select(*df.columns, "__salt")
+
+
 def column_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]

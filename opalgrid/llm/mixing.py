@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from opalgrid.llm.common import stash, tune
+from opalgrid.llm.common import spread, stash, tune
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -117,12 +117,14 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
 
     ``row_key`` is a hash of the columns of documents and tells rows of one identifier apart.
     A null text has size 0, a null source is a source of its own (last). Documents of size 0
-    take no words. Rows that repeat are rounded each for itself. An empty table gives an empty
+    take no words. Rows that repeat are rounded each for itself, and many of them in many leaves. An empty table gives an empty
     result. Sources are a dimension: one aggregated row for each goes to the driver.
     """
     tune(docs.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.xxhash64(F.col("text"), F.col("source"), F.col("lang")).alias("row_key"), size.alias("size")))
+    # rows that are equal in all would share a leaf, however many there are
+    rows = spread(rows, ["doc_id", "row_key"], max(1, leaf_rows // 16))
     spark = docs.sparkSession
     sums = [(r.source, r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     target = fill_targets(sums, weights, share, most)
@@ -136,7 +138,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     open_rows = stash(rows.where("p > 0").groupBy("src").agg(F.count("*").alias("n")).select(F.col("src").alias("__src"), F.ceil(F.col("n") / leaf_rows).cast("long").alias("parts")))
     nodes = open_rows.agg(F.max("parts")).first()[0] or 1
     rows = rows.join(open_rows, F.col("src") == F.col("__src"), "left")
-    node = F.pmod(F.xxhash64("doc_id", "row_key", F.lit(seed)), F.coalesce("parts", F.lit(1)))
+    node = F.pmod(F.xxhash64("doc_id", "row_key", "__salt", F.lit(seed)), F.coalesce("parts", F.lit(1)))
     columns = ["doc_id", "row_key", "size", "src", "source_size", "target", "whole", "node", "p"]
     rows = rows.withColumn("node", node).select(columns)
     sure = (F.col("p") == 0) | (F.col("p") == 1)

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from opalgrid.llm.common import column_of, stash, tune
+from opalgrid.llm.common import column_of, spread, stash, tune
 from opalgrid.llm.tokens import encoder
 
 END_ID = 1
@@ -88,13 +88,14 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, group_piece
     """The pieces of ``docs`` with sequence_id and offset.
 
     A null or empty text is one piece: the closing id. Rows that repeat are packed each for
-    itself; a null identifier is packed like any other. An empty table gives an empty result.
+    itself, and many of them go to many groups; a null identifier is packed like any other. An empty table gives an empty result.
     Only the lengths travel; with ``with_ids`` the ids do too.
     """
     cut = stash(pieces(docs, tokenizer_path, capacity, with_ids))
     groups = max(1, -(-cut.count() // group_pieces))
-    # equal rows may be a large share of all: crc and lengths spread rows of one identifier
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # rows of one identifier part by their crc; rows that are equal in all, by their places
+    dealt = spread(cut, ["doc_id", "start", "ids_crc32"], max(1, group_pieces // 16))
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "__salt"), F.lit(groups))).drop("__salt")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
