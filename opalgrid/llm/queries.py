@@ -77,7 +77,8 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of words and subwords over all documents, by signed deltas over the whole table: every
     document is inserted under its word count in both versions, the subword version is revised to
-    its own counts, all documents are deleted and inserted again. Replays change nothing."""
+    its own counts, all documents are deleted and inserted again, and the batches are folded into
+    one. Replays change nothing."""
     import uuid
 
     from opalgrid.llm.common import shared_dir, stash
@@ -85,11 +86,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = stash(token_counts(table(spark, sf_dir, "documents"), {"word_bpe_49k": tokenizer_path()}))
     rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.delete_on_exit()
     words, subwords = counts.where(F.col("tokenizer") == WORDS), counts.where(F.col("tokenizer") != WORDS)
     stale = words.withColumn("tokenizer", F.lit("word_bpe_49k"))
     changes = [inserts(words.unionByName(stale)), revisions(stale, subwords), deletes(counts), inserts(counts)]
     for batch in (0, 1, 2, 3, 1, 2):
         rollup.commit(batch, changes[batch])
+    rollup.compact()
     return rollup.totals()
 
 

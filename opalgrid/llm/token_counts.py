@@ -2,9 +2,12 @@
 
 A change is an insert, a delete or a revised count of one document. It becomes one or two
 signed rows (a revision takes the old count back and adds the new one), summed by source,
-language and tokenizer version before anything is written. A batch is committed as one folder
-by rename, so it is there whole or not at all, and a batch number that is there already is
-left alone: replays change nothing. Totals are the sum over committed batches.
+language and tokenizer version before anything is written. The sums of a batch go to a folder of
+their own; the batch is committed by a small file under its number that names the folder. That
+file is written in full elsewhere and renamed without overwriting, which stores decide for one
+writer, so a batch is there whole or not at all, and a number that is there already is left
+alone: replays and races change nothing. Totals are the sum over committed batches; ``compact``
+folds those into one.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opalgrid.llm.common import column_bytes, column_of, tune
@@ -26,7 +30,8 @@ WORDS = "words"
 
 def token_counts(docs: DataFrame, tokenizer_paths: dict[str, str]) -> DataFrame:
     """doc_id, source, lang, tokenizer, tokens: a row for each document and version. Whole texts;
-    null counts as empty."""
+    null counts as empty. Null identifiers, sources and languages stay null; rows that repeat are
+    counted each; an empty table gives an empty result; other columns are left out."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,39 +62,111 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Additive totals under ``path``, in any store that Spark's Hadoop client can rename in."""
+    """Additive totals under ``path``, in any store that Spark's Hadoop client can rename files in.
+
+    Keys may be null; rows of equal keys, in one batch or several, add up. An empty batch is
+    committed like any other."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs
 
     def _at(self, name: str):
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        place = self._fs.Path(f"{self.path}/{name}")
         return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def delete_on_exit(self) -> None:
+        """For totals that only this session reads."""
+        place, fs = self._at("")
+        fs.deleteOnExit(place)
+
+    def _publish(self, name: str, text: str) -> bool:
+        """A file ``name`` that holds ``text``, unless there is one already."""
+        (own, fs), (target, _) = self._at(f"_open-{uuid.uuid4().hex}"), self._at(name)
+        out = fs.create(own, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        context = self._fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        plain = self.spark.sparkContext._gateway.new_array(getattr(self._fs, "Options$Rename"), 0)
+        try:
+            context.rename(own, target, plain)
+        except Py4JJavaError as error:
+            fs.delete(own, False)
+            if "FileAlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def _published(self, kind: str) -> dict[int, str]:
+        """number -> text of the files ``kind=number``."""
+        place, fs = self._at("")
+        if not fs.exists(place):
+            return {}
+        out = {}
+        for status in fs.listStatus(place):
+            name = status.getPath().getName()
+            if name.startswith(f"{kind}="):
+                stream = fs.open(status.getPath())
+                out[int(name.split("=")[1])] = bytes(stream.readAllBytes()).decode()
+                stream.close()
+        return out
+
+    def _write(self, deltas: DataFrame) -> str:
+        name = f"sums-{uuid.uuid4().hex}"
+        summed = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        summed.coalesce(16).write.parquet(f"{self.path}/{name}")
+        return name
+
     def committed(self, batch: int) -> bool:
         place, fs = self._at(f"batch={batch}")
         return fs.exists(place)
 
     def commit(self, batch: int, deltas: DataFrame) -> bool:
-        """Whether the batch was new. A run that dies before the rename leaves no trace in totals."""
+        """Whether the batch was new. A run that dies before the last step leaves no trace in totals."""
         if self.committed(batch):
             return False
-        summed = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        name = f"_open-{uuid.uuid4().hex}"
-        summed.coalesce(16).write.parquet(f"{self.path}/{name}")
-        (source, fs), (target, _) = self._at(name), self._at(f"batch={batch}")
-        if not fs.exists(target) and fs.rename(source, target):
+        name = self._write(deltas)
+        if self._publish(f"batch={batch}", name):
             return True
-        fs.delete(source, True)  # another writer was first
+        place, fs = self._at(name)  # another writer was first
+        fs.delete(place, True)
         return False
 
     def batches(self) -> list[int]:
-        place, fs = self._at("")
-        return sorted(int(s.getPath().getName()[6:]) for s in fs.listStatus(place) if s.getPath().getName().startswith("batch=")) if fs.exists(place) else []
+        return sorted(self._published("batch"))
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens of groups that hold a document. Keys may be null."""
-        if not self.batches():
+    def _state(self) -> tuple[int, str | None, set[int], dict[int, str]]:
+        """Number and folder of the last compaction, the batches in it, and the folders of the others."""
+        bases, batches = self._published("base"), self._published("batch")
+        last = max(bases, default=-1)
+        folder, held = (bases[last].split(" ")[0], {int(b) for b in bases[last].split(" ")[1:]}) if bases else (None, set())
+        return last, folder, held, {b: f for b, f in batches.items() if b not in held}
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], DELTAS)
-        rows = self.spark.read.schema(DELTAS).parquet(*[f"{self.path}/batch={b}" for b in self.batches()])
+        return self.spark.read.schema(DELTAS).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def compact(self) -> list[int]:
+        """Fold all committed batches into one folder; the numbers it now holds, none if there was nothing
+        new. Numbers stay committed. Of writers that race one wins; the folders that it folded in
+        are deleted, so compact when no reader is between ``totals`` and its action."""
+        last, folder, held, open_ = self._state()
+        if not open_:
+            return []
+        name = self._write(self._rows([*([folder] if folder else []), *open_.values()]))
+        numbers = sorted(held | set(open_))
+        if not self._publish(f"base={last + 1}", " ".join([name, *map(str, numbers)])):
+            place, fs = self._at(name)
+            fs.delete(place, True)
+            return []
+        for old in [*([folder] if folder else []), *open_.values()]:
+            place, fs = self._at(old)
+            fs.delete(place, True)
+        return numbers
+
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, n_docs, n_tokens of groups that hold a document."""
+        _, folder, _, open_ = self._state()
+        rows = self._rows([*([folder] if folder else []), *open_.values()])
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
