@@ -1,6 +1,7 @@
 """Toxicity by weak supervision.
 
-Voters are words and word beginnings found in labelled training rows. A generative label model knows only their votes: expectation maximisation estimates the
+Voters are words (a mined lexicon) and word beginnings (patterns) found in labelled training
+rows. A generative label model knows only their votes: expectation maximisation estimates the
 class balance and each voter's firing rate in either class, and excess agreement of two voters
 inside a class (their correlation) shrinks the weight of both. The posterior labels train a
 linear classifier over the hashed features that are voters, whose scale the training labels
@@ -18,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from opalgrid.llm.common import column_bytes, column_of, hash_sample, tune
+from opalgrid.llm.common import column_bytes, column_of, hash_sample, stash, tune
 
 #: Most labelled rows to learn from, those with the smallest hashes of their identifier.
 TRAIN_ROWS = 12_000
@@ -79,17 +80,19 @@ class Model(NamedTuple):
     weights: dict[int, float]
 
 
-def voters(rows: list[np.ndarray], y: np.ndarray, most: int = 400, least: int = 3, purity: float = 20.0) -> np.ndarray:
-    """Buckets far likelier in toxic training rows than in the others: the ``most`` of best evidence
-    among those in ``least`` toxic rows, however many rows there are."""
-    every, at = np.unique(np.concatenate(rows), return_inverse=True)
-    toxic = np.repeat(y, [len(r) for r in rows])
-    pos, neg = np.bincount(at, toxic, len(every)), np.bincount(at, ~toxic, len(every))
-    p, n = max(1, y.sum()), max(1, len(y) - y.sum())
-    ratio = ((pos + 0.5) / (p + 1)) / ((neg + 0.5) / (n + 1))
-    found = np.flatnonzero((pos >= least) & (ratio >= purity))
-    order = np.lexsort((every[found], -(pos[found] * np.log(ratio[found]))))
-    return every[found[order]][:most]
+#: Voters: how many at most, in how many toxic rows at least, and how many times likelier there than in others.
+MOST_VOTERS, LEAST_ROWS, PURITY = 400, 3, 20.0
+
+
+def voters(rows: DataFrame, most: int = MOST_VOTERS, least: int = LEAST_ROWS, purity: float = PURITY) -> list[int]:
+    """Buckets far likelier in toxic rows than in the others: the ``most`` of best evidence among those in
+    ``least`` toxic rows, however many rows there are. ``rows``: found (array of buckets), toxic. Counts
+    are aggregates; at most ``most`` buckets leave the executors."""
+    n = rows.agg(F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("n")).first()
+    counts = rows.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.count_if("toxic").alias("pos"), F.count_if(~F.col("toxic")).alias("neg"))
+    ratio = ((F.col("pos") + 0.5) / (max(1, n.p) + 1)) / ((F.col("neg") + 0.5) / (max(1, n.n) + 1))
+    best = counts.withColumn("ratio", ratio).where((F.col("pos") >= least) & (F.col("ratio") >= purity))
+    return [r.f for r in best.orderBy(F.desc(F.round(F.col("pos") * F.ln("ratio"), 9)), "f").limit(most).collect()]
 
 
 def label_model(votes: np.ndarray, prior: float, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,37 +153,47 @@ def calibrated(model: Model, rows: list[np.ndarray], y: np.ndarray, steps: int =
     return Model(float(model.bias * t[0] + t[1]), {f: w * float(t[0]) for f, w in model.weights.items()})
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
-    if not len(rows) or not y.any():
-        return Model(-5.0, {})
-    wanted = voters(rows, y)
-    if not len(wanted):
+def fit(rows: list[np.ndarray], y: np.ndarray, wanted: np.ndarray) -> Model:
+    """``rows``: the voters that fire in each training row."""
+    if not len(rows) or not y.any() or not len(wanted):
         return Model(-5.0, {})
     column = {int(f): i for i, f in enumerate(wanted)}
     votes = np.zeros((len(rows), len(wanted)), bool)
     for k, r in enumerate(rows):
-        votes[k, [column[f] for f in r.tolist() if f in column]] = True
+        votes[k, [column[f] for f in r.tolist()]] = True
     posterior, _, _ = label_model(votes, float(y.mean()))
     return calibrated(linear(rows, posterior, wanted), rows, y)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features of a bounded sample of labelled rows that are not held out. The sample is drawn
-    from the labels alone (two columns), so one filtered pass reads its texts."""
-    known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out_column()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, toxic, found: features of a bounded sample of labelled rows that are not held out, one row
+    for each identifier (of several texts the one of the smallest hash), written to the shared
+    folder. The sample is drawn from the labels alone (two columns), so one filtered pass reads its texts."""
+    known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out_column()).groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
     sample = hash_sample(known, "doc_id", most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            found = [np.array(sorted(features.of(t)), "<i4").tobytes() for t in column_bytes(column_of(batch, "text"))]
+            found = [sorted(features.of(t)) for t in column_bytes(column_of(batch, "text"))]
             if found:
-                yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), column_of(batch, "toxic").cast(pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "toxic", "found"])
+                yield pa.RecordBatch.from_arrays([column_of(batch, c) for c in ("doc_id", "text_key", "toxic")] + [pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "text_key", "toxic", "found"])
+
+    # at most ``most`` rows of two values: a bound on what is broadcast
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text_key", "toxic", "text")
+    got = joined.mapInArrow(run, "doc_id long, text_key long, toxic boolean, found array<int>")
+    one = got.groupBy("doc_id").agg(F.min(F.struct("text_key", "toxic", "found")).alias("r"))
+    return stash(one.select("doc_id", "r.toxic", "r.found"))
+
 
-    # at most ``most`` rows of two numbers: a bound on what is broadcast
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    got = sorted(joined.mapInArrow(run, "doc_id long, toxic int, found binary").collect(), key=lambda r: (r.doc_id, bytes(r.found)))
-    return [np.frombuffer(r.found, "<i4") for r in got], np.array([r.toxic == 1 for r in got], bool)
+def learnt(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
+    """The model of a bounded sample. The driver gets the voters that fire in each row: at most ``most``
+    rows of ``MOST_VOTERS`` numbers."""
+    rows = training_rows(docs, labels, most)
+    wanted = voters(rows)
+    fired = F.filter("found", lambda f: f.isin(wanted)) if wanted else F.slice("found", 1, 0)
+    got = sorted((r.doc_id, r.toxic, r.fired) for r in rows.select("doc_id", "toxic", fired.alias("fired")).toLocalIterator())
+    return fit([np.array(f, np.int64) for _, _, f in got], np.array([t for _, t, _ in got], bool), np.array(wanted, np.int64))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -191,7 +204,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     gives an empty result.
     """
     tune(docs.sparkSession)
-    model = fit(*training_rows(docs, labels, train_rows))
+    model = learnt(docs, labels, train_rows)
     weights = {f: w for f, w in model.weights.items() if w}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
