@@ -299,7 +299,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, shard: int = 1000, id_col
     # aggregates are written before they are joined: a join right above one keeps its partitioning,
     # and Spark can't split the task of a very common anchor there
     twice = stash(every.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen >= 2").select("anchor"))
-    repeated = stash(every.join(twice, "anchor"))
+    # dealt anew by place, so that no file holds all of a common anchor
+    repeated = stash(every.join(twice, "anchor").repartition("id", "start"))
     release(spark, every, twice)
     first, marks = _collapsed(repeated)
     distinct, kinds = _distinct_contexts(first, shard)
