@@ -448,6 +448,26 @@ def test_rollup(spark, path, tmp_path):
     assert roll.commit(2, TC.revisions(w.where("doc_id = 3"), new)) and not roll.commit(1, TC.inserts(w))
     assert sorted(tuple(r)[:1] + tuple(r)[3:] for r in roll.totals().collect()) == [("x", 3, 7)]
     assert roll.batches() == [0, 1, 2]
+    before = sorted(map(tuple, roll.totals().collect()))
+    assert roll.compact() == [0, 1, 2] and sorted(map(tuple, roll.totals().collect())) == before
+    assert not roll.commit(1, TC.inserts(w)) and roll.commit(5, TC.inserts(w)) and roll.commit(3, TC.deletes(w))
+    assert sorted(map(tuple, roll.totals().collect())) == before and roll.compact() == [0, 1, 2, 3, 5] and roll.compact() == []
+    assert sorted(map(tuple, roll.totals().collect())) == before and not roll.commit(5, TC.deletes(w))
+
+
+def test_rollup_of_writers_that_race(spark, tmp_path):
+    a, b = (TC.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    row = spark.createDataFrame([("s", "en", "words", 1, 4)], TC.DELTAS)
+    a.committed = b.committed = lambda batch: False  # both looked before either wrote
+    assert a.commit(4, row) and not b.commit(4, row) and not a.commit(4, row)
+    assert [tuple(r) for r in a.totals().collect()] == [("s", "en", "words", 1, 4)]
+
+
+def test_token_counts_of_odd_rows(spark, path):
+    df = docs(spark, [None, "", "w " * 50_000, "x", "x"], [None, 1, 2, 3, 3], source=None).withColumns({"tokens": F.lit("clash"), "tokenizer": F.lit(0)})
+    got = collections.Counter((r.doc_id, r.tokens) for r in TC.token_counts(df, {}).collect())
+    assert got == collections.Counter([(None, 0), (1, 0), (2, 50_000), (3, 1), (3, 1)])
+    assert TC.token_counts(docs(spark, []), {"bpe": path}).count() == 0
 
 
 def test_op9_commits_deletes_and_revisions_of_the_whole_table(spark, tmp_path, monkeypatch, path):
@@ -538,9 +558,18 @@ def test_label_model_keeps_a_minority_language():
     assert (q[320:350] > 0.5).all() and (q[:320] > 0.5).all() and (q[~y] < 0.5).mean() > 0.99
 
 
-def test_voters_need_rows_not_a_share():
-    rows = [np.array([1] if i < 600 else [2] if i < 605 else [3] if i < 607 else [9]) for i in range(4000)]
-    assert T.voters(rows, np.arange(4000) < 1000).tolist() == [1, 2]  # 5 of 1000 toxic rows are enough, 2 are not
+def test_voters_need_rows_not_a_share(spark):
+    rows = [([1] if i < 600 else [2] if i < 605 else [3] if i < 607 else [9], i < 1000) for i in range(4000)]
+    df = spark.createDataFrame(rows, "found array<int>, toxic boolean")
+    assert T.voters(df) == [1, 2]  # 5 of 1000 toxic rows are enough, 2 are not
+    assert T.voters(df, most=1) == [1] and T.voters(df.limit(0)) == []
+
+
+def test_training_rows_are_bounded_however_often_an_identifier_repeats(spark):
+    df = docs(spark, ["a b"] * 300 + ["c", None, "x " * 100_000], [7] * 300 + [8, 7, 11])
+    labels = spark.createDataFrame([(7, 1), (8, 0), (8, None), (11, 0), (None, 1)], "doc_id long, toxic int")
+    got = T.training_rows(df, labels).collect()
+    assert sorted((r.doc_id, r.toxic) for r in got) == [(i, t) for i, t in ((7, True), (8, False), (11, False)) if not T.held_out(i)]
 
 
 def test_hash_sample(spark):
