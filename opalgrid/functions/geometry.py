@@ -268,3 +268,24 @@ def corner_by_hash(key: Column, b: Box, clearance: float = 2.0) -> tuple[Column,
     cluster. (A seeded generator per row would need Python; the choice only has to be even.)"""
     k = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % 4
     return F.when(k % 2 == 0, b.x1 + clearance).otherwise(b.x2 - clearance), F.when(k < 2, b.y1 + clearance).otherwise(b.y2 - clearance)
+
+
+def bucket_encode(p: Box, g: Box, buckets: int = 14, scale: float = 3.0) -> dict[str, tuple[Column, Column]]:
+    """left, top, right, bottom of ``g`` as bucket number and offset: the proposal, widened by ``scale``, is
+    cut in ``buckets`` along each axis, a side is looked for in the half next to it, and the offset is
+    that of the bucket's centre in bucket widths."""
+    wide, half = resize_about_centre(p, scale, scale), -(-buckets // 2)
+    out = {}
+    for name, edge, side, size, sign in (("left", wide.x1, g.x1, wide.x2 - wide.x1, 1), ("top", wide.y1, g.y1, wide.y2 - wide.y1, 1), ("right", wide.x2, g.x2, wide.x2 - wide.x1, -1), ("bottom", wide.y2, g.y2, wide.y2 - wide.y1, -1)):
+        step = size / buckets
+        k = F.greatest(F.lit(0), F.least(F.lit(half - 1), F.floor(sign * (side - edge) / step)))
+        out[name] = (k, (edge + sign * (k + 0.5) * step - side) / step)
+    return out
+
+
+def bucket_decode(p: Box, code: dict[str, tuple[Column, Column]], buckets: int = 14, scale: float = 3.0) -> Box:
+    """The box that bucket_encode was given."""
+    wide = resize_about_centre(p, scale, scale)
+    w, h = (wide.x2 - wide.x1) / buckets, (wide.y2 - wide.y1) / buckets
+    back = lambda edge, step, sign, c: edge + sign * (c[0] + 0.5) * step - c[1] * step
+    return Box(back(wide.x1, w, 1, code["left"]), back(wide.y1, h, 1, code["top"]), back(wide.x2, w, -1, code["right"]), back(wide.y2, h, -1, code["bottom"]))

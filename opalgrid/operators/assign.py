@@ -190,6 +190,36 @@ def aligned_assign(priors: DataFrame, gts: DataFrame, keys: list[str], prior: st
     return near.groupBy(*keys, prior).agg(F.max(F.struct("iou", (-F.col(gt)).alias("n"))).alias("b")).select(*keys, prior, (-F.col("b.n")).cast("long").alias("assigned"))
 
 
+def uniform_assign(priors: DataFrame, gts: DataFrame, keys: list[str], prior: str = "det_id", gt: str = "gt_id", k: int = 4, least: float = 0.15) -> DataFrame:
+    """Every ground truth takes the k priors nearest in centre and size (L1), so small boxes get as many as
+    large ones; a prior wanted by several goes to the largest id; those that overlap by less than
+    ``least`` count as neither (-1)."""
+    pairs = _with_boxes(priors, gts, keys, prior, gt)
+    a, b = box(), box("g_")
+    away = sum((F.abs((a[i] + a[i + 2]) / 2 - (b[i] + b[i + 2]) / 2) + F.abs((a[i + 2] - a[i]) - (b[i + 2] - b[i])) for i in (0, 1)), F.lit(0.0))
+    near = pairs.withColumn("d", away).withColumn("r", F.row_number().over(W.partitionBy(*keys, gt).orderBy("d", prior))).where(F.col("r") <= k)
+    best = near.groupBy(*keys, prior).agg(F.max(F.struct(F.col(gt).cast("long").alias("g"), "iou")).alias("b"))
+    return best.select(*keys, prior, F.when(F.col("b.iou") < least, F.lit(-1)).otherwise(F.col("b.g")).cast("long").alias("assigned"))
+
+
+def sample_iou_balanced(negatives: DataFrame, keys: list[str], prior: str = "det_id", number: int = 6, bins: int = 3, most_iou: float = 0.4, seed: int = 3) -> DataFrame:
+    """Up to ``number`` negatives of each group, the same share from each bin of their best IoU (column iou);
+    what a bin lacks is filled from the others. Drawn by hash, so reruns agree. Adds ``bin``."""
+    bin_ = F.least(F.floor(F.col("iou") / most_iou * bins), F.lit(bins - 1)).cast("int")
+    draw = F.xxhash64(*keys, prior, F.lit(seed))
+    rows = negatives.withColumn("bin", bin_)
+    rows = rows.withColumn("__r", F.row_number().over(W.partitionBy(*keys, "bin").orderBy(draw, prior)))
+    late = (F.col("__r") > number // bins).cast("int")
+    return rows.withColumn("__q", F.row_number().over(W.partitionBy(*keys).orderBy(late, draw, prior))).where(F.col("__q") <= number).drop("__r", "__q")
+
+
+def sample_per_instance(assigned: DataFrame, keys: list[str], prior: str = "det_id", number: int = 6, seed: int = 3) -> DataFrame:
+    """Up to ``number`` positives of each group, dealt in turns over the ground truths they belong to."""
+    draw = F.xxhash64(*keys, prior, F.lit(seed))
+    rows = assigned.where("assigned > 0").withColumn("__r", F.row_number().over(W.partitionBy(*keys, "assigned").orderBy(draw, prior)))
+    return rows.withColumn("__q", F.row_number().over(W.partitionBy(*keys).orderBy("__r", "assigned"))).where(F.col("__q") <= number).drop("__r", "__q")
+
+
 def sample_balanced(assigned: DataFrame, keys: list[str], prior: str = "det_id", number: int = 16, positive_share: float = 0.25, seed: int = 3) -> DataFrame:
     """Up to share * number positives and the rest negatives of each group, drawn by hash (reruns agree)."""
     kind = F.when(F.col("assigned") > 0, 1).when(F.col("assigned") == 0, 0)

@@ -7,9 +7,13 @@ does not depend on other rows (best ground truth per detection) it is an aggrega
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from opalgrid.functions.geometry import Box, area, box, intersection, iou, safe_ratio
+from opalgrid.operators.groups import per_group
+
+BOX = ["x1", "y1", "x2", "y2"]
 
 
 def occurrence(df: DataFrame, key: str, order: str, name: str = "occ") -> DataFrame:
@@ -140,6 +144,59 @@ def coco_match(dets: DataFrame, gts: DataFrame, keys: list[str], threshold: floa
     return rows.select(*keys, F.inline(out)).withColumnRenamed("id", det)
 
 
+def _ordered_take(overlaps: np.ndarray, crowd: np.ndarray, ignored: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """Which ground truth each detection takes under each setting (-1: none). ``overlaps``: detections by
+    falling score, ground truths by falling id; ``ignored``: settings by ground truths."""
+    taken = np.zeros(ignored.shape, bool)
+    out = np.full((len(overlaps), len(thresholds)), -1)
+    rows = np.arange(len(thresholds))
+    for k, o in enumerate(overlaps):
+        open_ = (o[None] >= thresholds[:, None]) & (~taken | crowd[None])
+        worth = np.where(open_, o[None] + 2.0 * ~ignored, -1.0)  # a real one before any ignored one
+        best = worth.argmax(axis=1)
+        ok = worth[rows, best] >= 0
+        out[k, ok] = best[ok]
+        taken[rows[ok], best[ok]] = True
+    return out
+
+
+def coco_match_all(dets: DataFrame, gts: DataFrame, keys: list[str], settings: list[tuple[float, str, float, float]], det: str = "det_id", gt: str = "gt_id", score: str = "score") -> DataFrame:
+    """coco_match for many settings at once: (IoU threshold, name and bounds of an area range); ground
+    truths outside a range count as ignored. keys, threshold, range, det, score, area, place (from 1, by
+    falling score, in its group), matched, dt_ignore. Overlaps of a group are computed once."""
+    number = lambda c: F.col(c).cast("double").alias(c)
+    d = dets.select(*keys, F.lit(0).alias("kind"), F.col(det).cast("long").alias("id"), F.col(score).cast("double").alias("score"), *map(number, BOX), F.lit(0).alias("ignore"), F.lit(0).alias("iscrowd"))
+    g = gts.select(*keys, F.lit(1).alias("kind"), F.col(gt).cast("long").alias("id"), F.lit(0.0).alias("score"), *map(number, BOX), F.col("ignore").cast("int").alias("ignore"), F.col("iscrowd").cast("int").alias("iscrowd"))
+    thresholds = np.array([s[0] for s in settings])
+    lows, highs = (np.array([float(s[i]) for s in settings]) for i in (2, 3))
+
+    def solve(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        mine, theirs = np.flatnonzero(c["kind"] == 0), np.flatnonzero(c["kind"] == 1)
+        mine = mine[np.lexsort((c["id"][mine], -c["score"][mine]))]
+        theirs = theirs[np.argsort(-c["id"][theirs])]
+        b = np.stack([c[x] for x in BOX], axis=1)
+        size = np.clip(b[:, 2] - b[:, 0], 0, None) * np.clip(b[:, 3] - b[:, 1], 0, None)
+        p, q, crowd = b[mine][:, None], b[theirs][None], c["iscrowd"][theirs] == 1
+        both = np.clip(np.minimum(p[..., 2:], q[..., 2:]) - np.maximum(p[..., :2], q[..., :2]), 0, None).prod(axis=2)
+        whole = np.where(crowd[None], size[mine][:, None], size[mine][:, None] + size[theirs][None] - both)
+        overlaps = np.divide(both, whole, out=np.zeros_like(both), where=whole > 0)
+        outside = (size[theirs][None] < lows[:, None]) | (size[theirs][None] >= highs[:, None])
+        ignored = outside | (c["ignore"][theirs] == 1)[None]
+        if len(theirs):
+            got = _ordered_take(overlaps, crowd, ignored, thresholds)
+        else:
+            got = np.full((len(mine), len(settings)), -1)
+        n, hit = len(mine), got >= 0
+        ids = np.append(c["id"][theirs], 0)
+        dropped = hit & np.append(ignored, np.zeros((len(settings), 1), bool), axis=1)[np.arange(len(settings))[None], got]
+        own = lambda x: np.repeat(x, len(settings))
+        return {"threshold": np.tile(thresholds, n), "range": np.tile(np.array([s[1] for s in settings], object), n), det: own(c["id"][mine]), "score": own(c["score"][mine]), "area": own(size[mine]), "place": own(np.arange(1, n + 1)), "matched": np.where(hit, ids[got], None).ravel(), "dt_ignore": dropped.astype(int).ravel()}
+
+    kinds = dict(dets.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", threshold double, range string, {det} long, score double, area double, place int, matched long, dt_ignore int"
+    return per_group(d.unionByName(g), keys, ["kind", "id", "score", *BOX, "ignore", "iscrowd"], solve, schema)
+
+
 def tpfp_imagenet(dets: DataFrame, gts: DataFrame, keys: list[str], threshold: float = 0.5, det: str = "det_id", gt: str = "gt_id", score: str = "score") -> DataFrame:
     """By falling score, each detection takes the free ground truth it overlaps most, if by that
     box's own threshold: min(w h / ((w + 10) (h + 10)), threshold), so small boxes ask for less."""
@@ -246,3 +303,18 @@ def occluded_recall(gts: DataFrame, dets: DataFrame, threshold: float = 0.75, le
     d = dets.where(F.col("score") >= least_score)
     p = pairs_of(gts, d, [image, cls], gt=gt).where(F.col("iou") >= threshold).select(image, cls, gt).distinct().withColumn("found", F.lit(1))
     return gts.join(p, [image, cls, gt], "left").withColumn("found", F.coalesce("found", F.lit(0)))
+
+
+def take_by_score(dets: DataFrame, pairs: DataFrame, keys: list[str], threshold: float, det: str = "det_id", gt: str = "gt_id", score: str = "score") -> DataFrame:
+    """matched of each detection: by falling score it takes the free ground truth of highest ``iou`` in
+    ``pairs`` (keys, det, gt, iou), if that reaches the threshold; null: none."""
+    near = pairs.where(F.col("iou") >= threshold).groupBy(*keys, det).agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("k"), F.col(gt).cast("bigint").alias("id")))).alias("near"))
+    rows = dets.select(*keys, det, score).join(near, [*keys, det], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("k"), F.col(det).cast("bigint").alias("id"), F.col(score).cast("double").alias("score"), "near"))).alias("d"))
+    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<id:bigint,score:double,matched:bigint>>").alias("out"))
+
+    def step(acc: Column, d: Column) -> Column:
+        m = F.get(F.filter(d["near"], lambda g: ~F.array_contains(acc["used"], g["id"])), F.lit(0))["id"]
+        row = F.struct(d["id"].alias("id"), d["score"].alias("score"), m.alias("matched"))
+        return F.struct(F.when(m.isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(m))).alias("used"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    return rows.select(*keys, F.inline(F.aggregate("d", start, step, lambda acc: acc["out"]))).withColumnsRenamed({"id": det, "score": score})

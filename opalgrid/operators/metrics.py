@@ -35,30 +35,49 @@ def grounding_metrics(rows: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6
     )
 
 
+def score_block(score: Column, blocks: int = 512) -> Column:
+    """Number of the score's block, rising with the score; null is before all. Detectors give most of
+    their candidates low scores, so blocks are finer there; scores outside 0 to 1 are the last ones."""
+    place = F.pow(F.greatest(F.least(score.cast("double"), F.lit(1.0)), F.lit(0.0)), F.lit(0.25))
+    return F.coalesce(F.floor(place * blocks).cast("int"), F.lit(-1))
+
+
 def precision_recall(tpfp: DataFrame, n_gts: DataFrame, keys: list[str], score: str = "score", ties: tuple[str, ...] = ("det_id",)) -> DataFrame:
-    """Running precision and recall of each detection, in falling order of score, per group."""
-    w = W.partitionBy(*keys).orderBy(F.desc(score), *ties).rowsBetween(W.unboundedPreceding, 0)
-    run = tpfp.withColumns({"ctp": F.sum("tp").over(w), "cfp": F.sum("fp").over(w), "rank": F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(score), *ties))})
+    """Running precision and recall of each detection, in falling order of score, per group.
+
+    No task sorts a whole group: rows are counted inside blocks of like score, and the blocks of a
+    group are offset by a table of their sums (groups times 512 rows at most). ``block`` stays."""
+    rows = tpfp.withColumn("block", score_block(F.col(score)))
+    w = W.partitionBy(*keys, "block").orderBy(F.desc(score), *ties)
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    run = rows.withColumns({"ctp": F.sum("tp").over(so_far), "cfp": F.sum("fp").over(so_far), "rank": F.row_number().over(w)})
+    sums = rows.groupBy(*keys, "block").agg(F.sum("tp").alias("t"), F.sum("fp").alias("f"), F.count("*").alias("n"))
+    higher = W.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(*keys, "block", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"__{c}") for c in ("t", "f", "n")])
+    run = run.join(before, [*keys, "block"]).withColumns({"ctp": F.col("ctp") + F.col("__t"), "cfp": F.col("cfp") + F.col("__f"), "rank": F.col("rank") + F.col("__n")}).drop("__t", "__f", "__n")
     both = F.col("ctp") + F.col("cfp")
     return run.join(n_gts, keys).withColumns({"precision": F.when(both > 0, F.col("ctp") / both).otherwise(0.0), "recall": safe_ratio(F.col("ctp"), F.col("n_gt"))})
 
 
 def average_precision(curve: DataFrame, n_gts: DataFrame, keys: list[str], mode: str = "area") -> DataFrame:
     """keys, n_gt, ap: area under the precision envelope, or the mean at 11 (or 101) recalls.
-    Groups without detections have ap 0; those without ground truth are left out."""
-    back = W.partitionBy(*keys).orderBy("rank")
-    # a running maximum from the end: a frame that reaches forward would be evaluated anew for every row
-    ahead = W.partitionBy(*keys).orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0)
-    best = curve.withColumns({"envelope": F.max("precision").over(ahead), "gain": F.col("recall") - F.coalesce(F.lag("recall").over(back), F.lit(0.0))})
+    Groups without detections have ap 0; those without ground truth are left out. As in
+    precision_recall, the envelope is a running maximum inside blocks, from the end, and the
+    maximum of the blocks after."""
+    ahead = W.partitionBy(*keys, "block").orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0)
+    lower = W.partitionBy(*keys).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    tops = curve.groupBy(*keys, "block").agg(F.max("precision").alias("top"))
+    tops = tops.select(*keys, "block", F.coalesce(F.max("top").over(lower), F.lit(0.0)).alias("__later"))
+    best = curve.withColumn("envelope", F.max("precision").over(ahead)).join(tops, [*keys, "block"]).where("tp > 0").withColumn("envelope", F.greatest("envelope", "__later"))
     if mode == "area":
-        ap = best.groupBy(*keys).agg(F.sum(F.col("envelope") * F.col("gain")).alias("ap"))
+        ap = best.groupBy(*keys).agg((F.sum(F.col("envelope") * F.col("tp")) / F.first("n_gt")).alias("ap"))
     else:
         n = {"11points": 11, "101points": 101}[mode]
-        steps = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        # each detection holds the recall steps it is the first to reach
-        prior = F.lag("recall").over(W.partitionBy(*keys).orderBy("rank"))
-        reached = best.where("gain > 0").withColumn("before", F.coalesce(prior, F.lit(-1.0))).withColumn("step", steps).where((F.col("step") / (n - 1) <= F.col("recall") + 1e-12) & (F.col("step") / (n - 1) > F.col("before") + 1e-12))
-        ap = reached.groupBy(*keys).agg((F.sum("envelope") / n).alias("ap"))
+        # each hit holds the recall steps it is the first to reach
+        before = F.when(F.col("ctp") > F.col("tp"), (F.col("ctp") - F.col("tp")) / F.col("n_gt")).otherwise(F.lit(-1.0))
+        held = best.withColumn("before", before).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        held = held.where((F.col("step") / (n - 1) <= F.col("recall") + 1e-12) & (F.col("step") / (n - 1) > F.col("before") + 1e-12))
+        ap = held.groupBy(*keys).agg((F.sum("envelope") / n).alias("ap"))
     return n_gts.where("n_gt > 0").join(ap, keys, "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
 
 
@@ -120,19 +139,32 @@ def cosine(a: Column, b: Column, temperature: float = 1.0) -> Column:
     return safe_ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))) / temperature
 
 
+#: Most queries that one pass of ``retrieval`` holds against all rows, and so the most it broadcasts.
+QUERY_BLOCK = 4096
+
+
 def retrieval(features: DataFrame, queries: DataFrame, ranks: tuple[int, ...] = (1, 5, 10), key: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
     """mAP and CMC at ranks of each query against all other features, by L2 distance.
 
-    ``queries`` is a stated set; blocks of it meet all rows (a nested-loop join with the query
-    side broadcast after its size is known to be small, as query sets are).
+    ``queries`` is a stated set; blocks of at most about ``QUERY_BLOCK`` of it, by hash, are broadcast
+    one after the other and meet all rows.
     """
     q = queries.select(F.col(key).alias("qid"), F.col(label).alias("ql"), F.col(vector).alias("qv"))
-    pairs = features.join(F.broadcast(q) if q.count() <= 10_000 else q, F.col(key) != F.col("qid"))
+    blocks = -(-q.count() * 5 // (4 * QUERY_BLOCK)) or 1  # a quarter of room, as hashes are uneven
+    parts = [_query_scores(features, q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k), key, label, vector) for k in range(blocks)]
+    per = parts[0]
+    for p in parts[1:]:
+        per = per.unionByName(p)
+    return per.agg(F.avg(F.col("s") / F.col("n")).alias("map"), *[F.avg((F.col("first") <= r).cast("double")).alias(f"cmc_{r}") for r in ranks], F.count("*").alias("n_queries"))
+
+
+def _query_scores(features: DataFrame, q: DataFrame, key: str, label: str, vector: str) -> DataFrame:
+    """qid, n (relevant rows), s (sum of precisions at them), first (rank of the nearest)."""
+    pairs = features.join(F.broadcast(q), F.col(key) != F.col("qid"))
     pairs = pairs.select("qid", F.col(key).alias("gid"), (F.col("ql") == F.col(label)).cast("int").alias("same"), squared_distance(F.col("qv"), F.col(vector)).alias("d"))
     w = W.partitionBy("qid").orderBy("d", "gid")
     ranked = pairs.withColumns({"rank": F.row_number().over(w), "hits": F.sum("same").over(w.rowsBetween(W.unboundedPreceding, 0))})
-    per = ranked.groupBy("qid").agg(F.sum("same").alias("n"), F.sum(F.when(F.col("same") == 1, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("s"), F.min(F.when(F.col("same") == 1, F.col("rank"))).alias("first")).where("n > 0")
-    return per.agg(F.avg(F.col("s") / F.col("n")).alias("map"), *[F.avg((F.col("first") <= r).cast("double")).alias(f"cmc_{r}") for r in ranks], F.count("*").alias("n_queries"))
+    return ranked.groupBy("qid").agg(F.sum("same").alias("n"), F.sum(F.when(F.col("same") == 1, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("s"), F.min(F.when(F.col("same") == 1, F.col("rank"))).alias("first")).where("n > 0")
 
 
 def robustness(table: DataFrame, clean_severity: int = 0) -> DataFrame:
@@ -168,3 +200,115 @@ def sequence_iou(rows: DataFrame, keys: list[str]) -> DataFrame:
     i = F.when(both, intersection(a, b)).otherwise(0.0)
     u = F.when(both, union(a, b)).when(a.x1.isNotNull(), area(a)).otherwise(area(b))
     return rows.groupBy(*keys).agg(safe_ratio(F.sum(i), F.sum(u)).alias("iou"))
+
+
+def multi_target_scores(images: DataFrame) -> DataFrame:
+    """Figures of expressions with any number of targets, none included. ``images``: n_gt, n_pred, hits
+    (one-to-one). f1_rate: the share of images answered without any fault; t_acc: images with targets that
+    get a prediction; n_acc: images without targets that get none."""
+    faultless = F.when(F.col("n_gt") == 0, F.col("n_pred") == 0).otherwise((F.col("hits") == F.col("n_gt")) & (F.col("hits") == F.col("n_pred")))
+    target = F.col("n_gt") > 0
+    share = lambda a, b: safe_ratio(F.count_if(a & b).cast("double"), F.count_if(b))
+    return images.agg(F.avg(faultless.cast("double")).alias("f1_rate"), share(F.col("n_pred") > 0, target).alias("t_acc"), share(F.col("n_pred") == 0, ~target).alias("n_acc"))
+
+
+def frequency_groups(images_per_class: DataFrame, rare: int = 10, common: int = 100, n: str = "n_images") -> DataFrame:
+    """Classes with their frequency group: r up to ``rare`` images, c up to ``common``, else f."""
+    group = F.when(F.col(n) <= rare, "r").when(F.col(n) <= common, "c").otherwise("f")
+    return images_per_class.withColumn("frequency", group)
+
+
+def trapezoid_ap(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ap: area under the plain curve by trapezoids between neighbouring detections. Inside a block
+    of like score neighbours are windowed; the last point of the block before is looked up in a small table."""
+    w = W.partitionBy(*keys, "block").orderBy("rank")
+    ends = curve.groupBy(*keys, "block").agg(F.max(F.struct("rank", "recall", "precision")).alias("e"))
+    higher = W.partitionBy(*keys).orderBy(F.desc("block"))
+    ends = ends.select(*keys, "block", F.lag("e").over(higher).alias("e"))
+    rows = curve.withColumns({"r0": F.lag("recall").over(w), "p0": F.lag("precision").over(w)}).join(ends, [*keys, "block"])
+    r0 = F.coalesce("r0", "e.recall", F.lit(0.0))
+    p0 = F.coalesce("p0", "e.precision", F.lit(1.0))
+    return rows.groupBy(*keys).agg(F.sum((F.col("recall") - r0) * (F.col("precision") + p0) / 2).alias("ap"))
+
+
+#: The twelve figures of the COCO summary: name, kind, threshold (None: all), range, detections of an image and class.
+COCO_FIGURES = [
+    ("AP", "ap", None, "all", 100), ("AP50", "ap", 0.5, "all", 100), ("AP75", "ap", 0.75, "all", 100), ("AP_small", "ap", None, "small", 100), ("AP_medium", "ap", None, "medium", 100), ("AP_large", "ap", None, "large", 100),
+    ("AR_1", "ar", None, "all", 1), ("AR_10", "ar", None, "all", 10), ("AR_100", "ar", None, "all", 100), ("AR_small", "ar", None, "small", 100), ("AR_medium", "ar", None, "medium", 100), ("AR_large", "ar", None, "large", 100),
+]
+COCO_THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
+
+
+def coco_table(dets: DataFrame, gts: DataFrame, image: str, cls: str, ranges: dict[str, tuple[float, float]], thresholds: tuple[float, ...] = COCO_THRESHOLDS, most: int = 100, ties: tuple[str, ...] = ("image_id", "det_id")) -> DataFrame:
+    """cls, threshold, range, n_gt, ap (101 points), ar_1, ar_10, ar_100 by the COCO rule. ``gts`` has ignore
+    and iscrowd. Groups are made once; thresholds and ranges are exploded inside them."""
+    from opalgrid.operators.match import coco_match_all
+    from opalgrid.operators.rank import first_n
+    from opalgrid.sources.sinks import written
+
+    bounds = {k: (float(lo), float(hi)) for k, (lo, hi) in ranges.items()}
+    d = first_n(dets, [image, cls], [F.desc("score"), F.col("det_id")], most)
+    # read several times below, so written once
+    m = written(coco_match_all(d, gts, [image, cls], [(t, n, *b) for t in thresholds for n, b in bounds.items()]))
+    lo = F.element_at(F.create_map(*[F.lit(x) for n, b in bounds.items() for x in (n, b[0])]), F.col("range"))
+    hi = F.element_at(F.create_map(*[F.lit(x) for n, b in bounds.items() for x in (n, b[1])]), F.col("range"))
+    outside = F.col("matched").isNull() & ((F.col("area") < lo) | (F.col("area") >= hi))
+    kept = m.where((F.col("dt_ignore") == 0) & ~outside).withColumns({"tp": F.col("matched").isNotNull().cast("int"), "fp": F.col("matched").isNull().cast("int")})
+    size = area(box())
+    counts = [F.count_if((F.col("ignore") == 0) & (size >= b[0]) & (size < b[1])).alias(n) for n, b in bounds.items()]
+    n = gts.groupBy(cls).agg(*counts).select(cls, F.explode(F.array(*[F.struct(F.lit(n).alias("range"), F.col(n).alias("n_gt")) for n in bounds])).alias("r")).select(cls, "r.*")
+    n = n.where("n_gt > 0").withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    keys = [cls, "threshold", "range"]
+    ap = average_precision(precision_recall(kept, n, keys, ties=ties), n, keys, "101points")
+    found = kept.groupBy(*keys).agg(*[F.count_if((F.col("tp") == 1) & (F.col("place") <= k)).alias(f"h{k}") for k in (1, 10, 100)])
+    out = ap.join(found, keys, "left")
+    return out.select(*keys, "n_gt", "ap", *[(F.coalesce(f"h{k}", F.lit(0)) / F.col("n_gt")).alias(f"ar_{k}") for k in (1, 10, 100)])
+
+
+def coco_summary(table: DataFrame) -> DataFrame:
+    """name, value of the twelve figures; null where no class has ground truth of a range."""
+    items = []
+    for name, kind, t, r, k in COCO_FIGURES:
+        own = (F.col("range") == r) & (F.lit(True) if t is None else F.abs(F.col("threshold") - t) < 1e-9)
+        items.append(F.struct(F.lit(name).alias("name"), F.avg(F.when(own, F.col("ap" if kind == "ap" else f"ar_{k}"))).alias("value")))
+    return table.agg(F.array(*items).alias("r")).select(F.inline("r"))
+
+
+def track_pairs(gts: DataFrame, preds: DataFrame, keys: list[str], frame: str = "frame_id", gt: str = "gt_id", det: str = "det_id") -> DataFrame:
+    """keys, gt, det, iou of tracks that overlap in some frame: intersections summed over frames, over the
+    sum of all boxes of both less those."""
+    name = lambda df, i, p: df.select(*keys, frame, i, *[F.col(c).alias(p + c) for c in ("x1", "y1", "x2", "y2")])
+    both = name(preds, det, "").join(name(gts, gt, "g_"), [*keys, frame]).groupBy(*keys, gt, det).agg(F.sum(intersection(box(), box("g_"))).alias("i")).where("i > 0")
+    whole = lambda df, i, n: df.groupBy(*keys, i).agg(F.sum(area(box())).alias(n))
+    p = both.join(whole(gts, gt, "__g"), [*keys, gt]).join(whole(preds, det, "__p"), [*keys, det])
+    return p.select(*keys, gt, det, (F.col("i") / (F.col("__g") + F.col("__p") - F.col("i"))).alias("iou"))
+
+
+def video_ap(gts: DataFrame, preds: DataFrame, threshold: float = 0.5, video: str = "video", cls: str = "cls", frame: str = "frame_id", gt: str = "gt_id", det: str = "det_id") -> DataFrame:
+    """cls, n_gt, ap (101 points) of predicted tracks; a track's score is the mean of its boxes', to nine
+    places, so that tracks of equal boxes tie."""
+    from opalgrid.operators.match import take_by_score
+
+    keys = [video, cls]
+    tracks = preds.groupBy(*keys, det).agg(F.round(F.avg("score"), 9).alias("score"))
+    m = take_by_score(tracks, track_pairs(gts, preds, keys, frame, gt, det), keys, threshold, det, gt)
+    m = m.withColumns({"tp": F.col("matched").isNotNull().cast("int"), "fp": F.col("matched").isNull().cast("int")})
+    n = gts.select(*keys, gt).distinct().groupBy(cls).agg(F.count("*").alias("n_gt"))
+    return average_precision(precision_recall(m, n, [cls], ties=(video, det)), n, [cls], "101points")
+
+
+def error_shares(dets: DataFrame, gts: DataFrame, groups: DataFrame, image: str = "image_id", cls: str = "cls", det: str = "det_id", gt: str = "gt_id") -> DataFrame:
+    """kind, n. Detections by the first scenario that would forgive them: strict and loose overlap (c75,
+    c50), any place (loc), a class of the same super-category (sim), any class (oth), background (bg);
+    and fn: ground truths that no detection of their class overlaps. ``groups``: class, supercategory, a
+    dimension table."""
+    group = lambda df, n: df.join(groups.select(F.col(cls), F.col("supercategory").alias(n)), cls, "left")
+    g = group(gts, "gs").select(image, F.col(gt), F.col(cls).alias("gc"), "gs", *[F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")])
+    o = safe_ratio(intersection(box(), box("g_")), union(box(), box("g_")))
+    pairs = group(dets, "ds").join(g, image, "left").withColumn("o", o)
+    best = lambda when, n: F.max(F.when(when, F.col("o"))).alias(n)
+    b = pairs.groupBy(image, det).agg(best(F.col(cls) == F.col("gc"), "own"), best(F.col("ds") == F.col("gs"), "sim"), best(F.col("gc").isNotNull(), "any"))
+    kind = F.when(F.col("own") >= 0.75, "c75").when(F.col("own") >= 0.5, "c50").when(F.col("own") >= 0.1, "loc").when(F.col("sim") >= 0.1, "sim").when(F.col("any") >= 0.1, "oth").otherwise("bg")
+    found = pairs.where((F.col(cls) == F.col("gc")) & (F.col("o") >= 0.1)).select(image, gt).distinct()
+    missed = gts.join(found, [image, gt], "left_anti").agg(F.lit("fn").alias("kind"), F.count("*").alias("n"))
+    return b.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).unionByName(missed)

@@ -186,7 +186,11 @@ def g10(spark, sf):
     return K.interpolate(event_tracks(spark, sf)).select("video", "track_id", "frame_id", F.round("x1", 5).alias("x1"), "score")
 
 
-@query("d27_link_tracklets")
+@query("d27_link_tracklets", """WITH t AS (SELECT user_id AS video, event_type, CAST(date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS BIGINT) AS f, arg_max(value, event_id) AS v FROM events GROUP BY 1, 2, 3),
+s AS (SELECT video, event_type || '/' || (f // 10) AS track, min(f) AS f0, arg_min(v, f) AS v0, max(f) AS f1, arg_max(v, f) AS v1 FROM t GROUP BY 1, 2),
+p AS (SELECT a.video, a.track AS a, b.track AS b, b.f0 - a.f1 AS gap, sqrt((b.v0 - a.v1) ** 2 + (2 * b.v0 - 2 * a.v1) ** 2) AS away FROM s a JOIN s b ON a.video = b.video AND a.track <> b.track AND b.f0 > a.f1 AND b.f0 - a.f1 <= 30),
+r AS (SELECT *, row_number() OVER (PARTITION BY video, a ORDER BY gap, away, b) AS ra, row_number() OVER (PARTITION BY video, b ORDER BY gap, away, a) AS rb FROM p WHERE away <= 500)
+SELECT video, a, b, gap FROM r WHERE ra = 1 AND rb = 1""")
 def d27(spark, sf):
     t = event_tracks(spark, sf).withColumn("track_id", F.concat(F.col("track_id"), F.lit("/"), F.expr("frame_id div 10").cast("string")))
     return K.link_tracklets(t, max_frames=30, max_distance=500.0)
@@ -236,12 +240,21 @@ def m1(spark, sf):
     return A.max_iou_assign(class_pairs(spark, sf), KEYS, least=0.2).select("image_id", "det_id", "assigned")
 
 
-@query("m2_atss_assign")
+_ALL = f"p AS (SELECT d.image_id, d.cls, d.det_id, d.score, g.gt_id, {iou_sql('d.', 'g.')} AS iou, (d.x1 + d.x2) / 2 AS px, (d.y1 + d.y2) / 2 AS py, g.x1 AS gx1, g.y1 AS gy1, g.x2 AS gx2, g.y2 AS gy2 FROM det d JOIN gt g ON d.image_id = g.image_id AND d.cls = g.cls)"
+
+
+@query("m2_atss_assign", f"""WITH {BOTH}, {_ALL},
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cls, gt_id ORDER BY (px - (gx1 + gx2) / 2) ** 2 + (py - (gy1 + gy2) / 2) ** 2, det_id) AS r FROM p) WHERE r <= 5),
+t AS (SELECT *, avg(iou) OVER w + coalesce(stddev_samp(iou) OVER w, 0) AS t FROM n WINDOW w AS (PARTITION BY image_id, cls, gt_id))
+SELECT image_id, cls, det_id, gt_id AS assigned FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cls, det_id ORDER BY iou DESC, gt_id) AS q FROM t WHERE iou >= t - 1e-12 AND px > gx1 AND px < gx2 AND py > gy1 AND py < gy2) WHERE q = 1""")
 def m2(spark, sf):
     return A.atss_assign(det(spark, sf), gt(spark, sf), KEYS, k=5).select("image_id", "cls", "det_id", "assigned")
 
 
-@query("m3_dynamic_k_assign")
+@query("m3_dynamic_k_assign", f"""WITH {BOTH}, {_ALL}, c AS (SELECT *, -ln(greatest(score, 1e-7)) - 3.0 * ln(greatest(iou, 1e-7)) AS cost FROM p WHERE iou > 0),
+r AS (SELECT *, row_number() OVER (w ORDER BY iou DESC, det_id) AS ri, row_number() OVER (w ORDER BY cost, det_id) AS rc FROM c WINDOW w AS (PARTITION BY image_id, cls, gt_id)),
+k AS (SELECT *, greatest(1, floor(sum(CASE WHEN ri <= 10 THEN iou ELSE 0 END) OVER (PARTITION BY image_id, cls, gt_id) + 1e-9)) AS k FROM r)
+SELECT image_id, cls, det_id, gt_id AS assigned FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cls, det_id ORDER BY cost, gt_id) AS q FROM k WHERE rc <= k) WHERE q = 1""")
 def m3(spark, sf):
     return A.dynamic_k_assign(det(spark, sf), gt(spark, sf), KEYS).select("image_id", "cls", "det_id", "assigned")
 
@@ -253,7 +266,12 @@ def m4(spark, sf):
     return A.aligned_assign(det(spark, sf), gt(spark, sf), KEYS, k=3).select("image_id", "det_id", "assigned")
 
 
-@query("m8_balanced_sampler")
+_MAX_IOU = """o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cls, det_id ORDER BY iou DESC, gt_id) AS r FROM pairs) WHERE r = 1),
+f AS (SELECT image_id, cls, det_id, max(gt_id) AS f FROM (SELECT *, max(iou) OVER (PARTITION BY image_id, cls, gt_id) AS top FROM pairs) WHERE iou = top AND top > 0 GROUP BY 1, 2, 3),
+a AS (SELECT o.image_id, o.cls, o.det_id, o.iou, coalesce(f.f, CASE WHEN iou >= 0.5 THEN gt_id WHEN iou < 0.4 THEN 0 ELSE -1 END) AS assigned FROM o LEFT JOIN f USING (image_id, cls, det_id))"""
+
+
+@query("m8_balanced_sampler", f"WITH {BOTH}, {PAIRS}, {_MAX_IOU} SELECT image_id, least(p, 2) AS positives, least(p, 2) + least(n, 8 - least(p, 2)) AS n FROM (SELECT image_id, count(*) FILTER (WHERE assigned > 0) AS p, count(*) FILTER (WHERE assigned = 0) AS n FROM a GROUP BY 1) WHERE p + n > 0")
 def m8(spark, sf):
     a = A.max_iou_assign(class_pairs(spark, sf), KEYS)
     return A.sample_balanced(a, ["image_id"], number=8).groupBy("image_id").agg(F.count_if(F.col("assigned") > 0).alias("positives"), F.count("*").alias("n"))

@@ -114,7 +114,14 @@ def d9(spark, sf):
     return M.tpfp_imagenet(det(spark, sf), gt(spark, sf), KEYS).select("image_id", "det_id", "tp")
 
 
-@query("d10_tpfp_openimages")
+_SINGLE = VOC.format(t=0.5).replace("c.gt_id % 5 <> 0", "true").replace("c.gt_id % 5 = 0", "false").replace("FROM pairs)", "FROM pairs WHERE gt_id % 4 <> 0)")
+
+
+@query("d10_tpfp_openimages", f"""WITH {BOTH}, {PAIRS}, {_SINGLE},
+inside AS (SELECT d.image_id, d.cls, d.det_id, d.score, g.gt_id, {inter_sql('d.', 'g.')} / {area_sql('d.')} AS ioa FROM (SELECT det.* FROM det JOIN tpfp USING (image_id, cls, det_id) WHERE fp = 1) d JOIN gt g ON d.image_id = g.image_id AND d.cls = g.cls WHERE g.gt_id % 4 = 0),
+own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cls, det_id ORDER BY ioa DESC, gt_id) AS r FROM inside) WHERE r = 1 AND ioa >= 0.5),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, cls, gt_id ORDER BY score DESC, det_id) AS q FROM own)
+SELECT DISTINCT image_id, det_id, CAST(CASE WHEN q = 1 THEN 1 ELSE tp END AS INT) AS tp, CAST(CASE WHEN q = 1 THEN 0 ELSE fp END AS INT) AS fp FROM tpfp LEFT JOIN (SELECT image_id, cls, det_id, q FROM ranked) USING (image_id, cls, det_id) WHERE q IS NULL OR q = 1""")
 def d10(spark, sf):
     g = gt(spark, sf).withColumn("is_group_of", F.col("gt_id") % 4 == 0)
     return M.tpfp_openimages(det(spark, sf), g, KEYS).select("image_id", "det_id", "tp", "fp")
@@ -176,18 +183,28 @@ def d17(spark, sf):
     return M.tpfp_voc(det(spark, sf), gt(spark, sf), KEYS, 0.5).select("image_id", "det_id", "tp")
 
 
-@query("d18_max_matching")
+def _partial(where: str, worth: str) -> str:
+    """SQL: every way to give the ground truths of a group a detection each, or none: n pairs, their worth."""
+    return f"""e AS (SELECT image_id, cls, det_id, {worth} AS w, dense_rank() OVER (PARTITION BY image_id, cls ORDER BY gt_id) AS k FROM pairs WHERE {where}),
+choice AS (SELECT image_id, cls, k, det_id, w, 1 AS one FROM e UNION ALL SELECT DISTINCT image_id, cls, k, NULL, 0.0, 0 FROM e),
+ways(image_id, cls, k, used, n, w) AS (
+  SELECT DISTINCT image_id, cls, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM e
+  UNION ALL SELECT v.image_id, v.cls, c.k, CASE WHEN one = 1 THEN list_append(used, det_id) ELSE used END, n + one, v.w + c.w
+  FROM ways v JOIN choice c ON c.image_id = v.image_id AND c.cls = v.cls AND c.k = v.k + 1 AND (one = 0 OR NOT list_contains(used, det_id)))"""
+
+
+@query("d18_max_matching", f"WITH RECURSIVE {BOTH}, {PAIRS}, {_partial('iou >= 0.5', '0.0')} SELECT image_id, cls, max(n) AS n_matched FROM ways GROUP BY 1, 2")
 def d18(spark, sf):
     return A.max_matching(class_pairs(spark, sf).where("iou >= 0.5"), KEYS, "gt_id", "det_id")
 
 
-@query("d19_hungarian")
+@query("d19_hungarian", f"WITH RECURSIVE {BOTH}, {PAIRS}, {_partial('iou > 0', '1 - iou')}, best AS (SELECT image_id, cls, n, min(w) AS w FROM ways GROUP BY 1, 2, 3 QUALIFY n = max(n) OVER (PARTITION BY image_id, cls)) SELECT image_id, CAST(sum(n) AS BIGINT) AS n, round(sum(w), 6) AS cost FROM best GROUP BY 1")
 def d19(spark, sf):
     p = class_pairs(spark, sf).where("iou > 0").withColumn("cost", 1 - F.col("iou"))
     return A.hungarian(p, KEYS, "gt_id", "det_id", "cost").groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
 
 
-@query("d20_assignment_with_limit")
+@query("d20_assignment_with_limit", f"WITH RECURSIVE {BOTH}, {PAIRS}, {_partial('iou > 0', '1 - iou')}, best AS (SELECT image_id, cls, arg_min(n, w - 0.7 * n) AS n, arg_min(w, w - 0.7 * n) AS w FROM ways GROUP BY 1, 2) SELECT image_id, CAST(sum(n) AS BIGINT) AS n, round(sum(w), 6) AS cost FROM best GROUP BY 1 HAVING sum(n) > 0")
 def d20(spark, sf):
     p = class_pairs(spark, sf).where("iou > 0").withColumn("cost", 1 - F.col("iou"))
     return A.hungarian(p, KEYS, "gt_id", "det_id", "cost", limit=0.7).groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
@@ -281,7 +298,18 @@ def e7(spark, sf):
     return S.matrix_nms(det(spark, sf), KEYS).select("image_id", "det_id", F.round("decayed", 6).alias("decayed"))
 
 
-@query("e8_weighted_boxes_fusion")
+_FUSED = f"""o AS (SELECT *, score * CASE WHEN det_id % 2 = 0 THEN 2.0 ELSE 1.0 END AS s, row_number() OVER (PARTITION BY image_id, cls ORDER BY score * CASE WHEN det_id % 2 = 0 THEN 2.0 ELSE 1.0 END DESC, det_id) AS k FROM det),
+walk(image_id, cls, k, c) AS (
+  SELECT image_id, cls, CAST(1 AS BIGINT), [{{'x1': x1 * greatest(s, 1e-12), 'y1': y1 * greatest(s, 1e-12), 'x2': x2 * greatest(s, 1e-12), 'y2': y2 * greatest(s, 1e-12), 'm': greatest(s, 1e-12), 't': s, 'n': 1}}] FROM o WHERE k = 1
+  UNION ALL SELECT w.image_id, w.cls, o.k, CASE WHEN top > 0.55
+      THEN list_transform(c, lambda b, i: CASE WHEN i = nearest THEN {{'x1': b.x1 + o.x1 * greatest(s, 1e-12), 'y1': b.y1 + o.y1 * greatest(s, 1e-12), 'x2': b.x2 + o.x2 * greatest(s, 1e-12), 'y2': b.y2 + o.y2 * greatest(s, 1e-12), 'm': b.m + greatest(s, 1e-12), 't': b.t + s, 'n': b.n + 1}} ELSE b END)
+      ELSE list_append(c, {{'x1': o.x1 * greatest(s, 1e-12), 'y1': o.y1 * greatest(s, 1e-12), 'x2': o.x2 * greatest(s, 1e-12), 'y2': o.y2 * greatest(s, 1e-12), 'm': greatest(s, 1e-12), 't': s, 'n': 1}}) END
+  FROM walk w JOIN o ON o.image_id = w.image_id AND o.cls = w.cls AND o.k = w.k + 1,
+  LATERAL (SELECT list_transform(list_transform(c, lambda b: {{'x1': b.x1 / b.m, 'y1': b.y1 / b.m, 'x2': b.x2 / b.m, 'y2': b.y2 / b.m}}), lambda b: {iou_sql('b.', 'o.').replace('coalesce', 'ifnull')}) AS ious), LATERAL (SELECT list_max(ious) AS top, list_position(ious, list_max(ious)) AS nearest)),
+fused AS (SELECT image_id, cls, unnest(c) AS b FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cls ORDER BY k DESC) AS r FROM walk) WHERE r = 1)"""
+
+
+@query("e8_weighted_boxes_fusion", f"WITH RECURSIVE {DET}, {_FUSED} SELECT image_id, count(*) AS n, round(sum(b.t / b.n * least(b.n, 2) / 3.0), 6) AS score, round(sum((b.x1 + b.y2) / b.m), 4) AS place FROM fused GROUP BY 1")
 def e8(spark, sf):
     d = det(spark, sf).withColumn("model", (F.col("det_id") % 2).cast("int"))
     out = S.weighted_boxes_fusion(d, "image_id", "cls", [2.0, 1.0], 0.55)

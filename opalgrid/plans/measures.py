@@ -85,28 +85,20 @@ def f5(spark, sf):
     return X.mean_ap(X.average_precision(curve(spark, sf), n_gts(spark, sf), ["cls"])).withColumn("map", F.round("map", 6))
 
 
-@query("f6_coco_101_point_ap")
-def f6(spark, sf):
-    """COCO rule at thresholds .5 to .95, 101 recalls, by class and area range, best 100 detections of an image."""
-    from opalgrid.operators.rank import first_n
+def crowded(spark, sf) -> DataFrame:
+    """Ground truth whose every ninth box is a crowd."""
+    crowd = (F.col("gt_id") % 9 == 0).cast("int")
+    return gt(spark, sf).withColumns({"ignore": crowd, "iscrowd": crowd})
+
 
-    d = first_n(det(spark, sf), KEYS, [F.desc("score"), F.col("det_id")], 100)
-    ranges = {"all": (0.0, 1e10), "small": (0.0, 2600.0), "medium": (2600.0, 3400.0), "large": (3400.0, 1e10)}
-    parts = []
-    for name, (lo, hi) in ranges.items():
-        g = gt(spark, sf).withColumn("outside", ((G.area(G.box()) < lo) | (G.area(G.box()) >= hi)).cast("int")).withColumns({"ignore": F.greatest((F.col("gt_id") % 9 == 0).cast("int"), F.col("outside")), "iscrowd": (F.col("gt_id") % 9 == 0).cast("int")})
-        n = g.where("ignore = 0").groupBy("cls").agg(F.count("*").alias("n_gt"))
-        for t in (0.5, 0.75):
-            m = M.coco_match(d, g, KEYS, t)
-            size = d.select(*KEYS, "det_id", G.area(G.box()).alias("a"))
-            m = m.join(size, [*KEYS, "det_id"]).withColumn("drop", (F.col("dt_ignore") == 1) | (F.col("matched").isNull() & ((F.col("a") < lo) | (F.col("a") >= hi))))
-            kept = m.where(~F.col("drop")).withColumns({"tp": F.col("matched").isNotNull().cast("int"), "fp": F.col("matched").isNull().cast("int")})
-            ap = X.average_precision(X.precision_recall(kept, n, ["cls"], ties=("image_id", "det_id")), n, ["cls"], "101points")
-            parts.append(ap.select("cls", F.lit(name).alias("area"), F.lit(t).alias("threshold"), F.round("ap", 6).alias("ap")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+#: Areas of small, medium and large boxes of the synthetic tables.
+RANGES = {"all": (0.0, 1e10), "small": (0.0, 2600.0), "medium": (2600.0, 3400.0), "large": (3400.0, 1e10)}
+
+
+@query("f6_coco_summary")
+def f6(spark, sf):
+    """The twelve COCO figures: thresholds .5 to .95, 101 recalls, area ranges, 1, 10 and 100 detections."""
+    return X.coco_summary(X.coco_table(det(spark, sf), crowded(spark, sf), "image_id", "cls", RANGES)).select("name", F.round("value", 6).alias("value"))
 
 
 @query("f7_classwise_table", f"WITH {BOTH}, {PAIRS}, {VOC.format(t=0.5)}, {_CURVE}, {_AREA} SELECT round(max(CASE WHEN cls = 'A' THEN ap END), 6) AS \"A\", round(max(CASE WHEN cls = 'N' THEN ap END), 6) AS \"N\", round(max(CASE WHEN cls = 'R' THEN ap END), 6) AS \"R\" FROM (SELECT cls, sum(e * gain) AS ap FROM env GROUP BY cls)")
@@ -140,22 +132,55 @@ def f10(spark, sf):
     return h.groupBy("cls").agg(*[F.round(F.avg(f"p{k}"), 6).alias(f"p{k}") for k in (1, 5, 10)])
 
 
-@query("f12_multi_target", f"WITH {BOTH}, b AS (SELECT d.image_id, d.det_id, max({iou_sql('d.', 'g.')}) AS iou FROM det d LEFT JOIN gt g ON d.image_id = g.image_id AND d.cls = g.cls WHERE d.score >= 0.9 GROUP BY 1, 2), i AS (SELECT i.image_id, coalesce(g.n, 0) AS ng, coalesce(p.n, 0) AS np FROM (SELECT DISTINCT image_id FROM det) i LEFT JOIN (SELECT image_id, count(*) AS n FROM gt WHERE gt_id >= 8 GROUP BY 1) g USING (image_id) LEFT JOIN (SELECT image_id, count(*) AS n FROM b WHERE iou >= 0.5 GROUP BY 1) p USING (image_id)) SELECT round(count(*) FILTER (WHERE ng > 0 AND np > 0) / count(*) FILTER (WHERE ng > 0), 6) AS n_acc, round(count(*) FILTER (WHERE ng = 0 AND np = 0) / count(*) FILTER (WHERE ng = 0), 6) AS t_acc FROM i")
+@query("f12_multi_target", f"""WITH RECURSIVE {BOTH}, t AS (SELECT * FROM gt WHERE gt_id >= 8), p AS (SELECT * FROM det WHERE score >= 0.9),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY iou DESC, gt_id DESC, det_id DESC) AS k FROM (SELECT p.image_id, t.gt_id, p.det_id, {iou_sql('p.', 't.')} AS iou FROM p JOIN t ON p.image_id = t.image_id) WHERE iou >= 0.5),
+walk(image_id, k, gs, ds, took) AS (
+  SELECT image_id, CAST(1 AS BIGINT), [gt_id], [det_id], true FROM r WHERE k = 1
+  UNION ALL SELECT w.image_id, r.k, CASE WHEN free THEN list_append(gs, gt_id) ELSE gs END, CASE WHEN free THEN list_append(ds, det_id) ELSE ds END, free
+  FROM walk w JOIN r ON w.image_id = r.image_id AND r.k = w.k + 1, LATERAL (SELECT NOT list_contains(gs, gt_id) AND NOT list_contains(ds, det_id) AS free)),
+i AS (SELECT image_id, coalesce(ng, 0) AS ng, coalesce(np, 0) AS np, coalesce(h, 0) AS h FROM (SELECT DISTINCT image_id FROM det) LEFT JOIN (SELECT image_id, count(*) AS ng FROM t GROUP BY 1) USING (image_id) LEFT JOIN (SELECT image_id, count(*) AS np FROM p GROUP BY 1) USING (image_id) LEFT JOIN (SELECT image_id, count(*) AS h FROM walk WHERE took GROUP BY 1) USING (image_id))
+SELECT round(avg(CASE WHEN ng = 0 THEN np = 0 ELSE h = ng AND h = np END::INT), 6) AS f1_rate, round(count(*) FILTER (WHERE ng > 0 AND np > 0) / count(*) FILTER (WHERE ng > 0), 6) AS t_acc, round(count(*) FILTER (WHERE ng = 0 AND np = 0) / count(*) FILTER (WHERE ng = 0), 6) AS n_acc FROM i""")
 def f12(spark, sf):
-    """Shares of target images with a hit and of no-target images without a prediction."""
-    good = class_pairs(spark, sf).where("score >= 0.9").groupBy("image_id", "det_id").agg(F.max("iou").alias("iou")).where("iou >= 0.5").groupBy("image_id").agg(F.count("*").alias("np"))
-    targets = gt(spark, sf).where("gt_id >= 8").groupBy("image_id").agg(F.count("*").alias("ng"))
-    i = det(spark, sf).select("image_id").distinct().join(targets, "image_id", "left").join(good, "image_id", "left").fillna(0)
-    share = lambda a, b: F.round(F.count_if(a & b) / F.count_if(b), 6)
-    return i.agg(share(F.col("np") > 0, F.col("ng") > 0).alias("n_acc"), share(F.col("np") == 0, F.col("ng") == 0).alias("t_acc"))
+    """Expressions of many targets or none: an image is one expression, its confident boxes the answer."""
+    p, t = det(spark, sf).where("score >= 0.9"), gt(spark, sf).where("gt_id >= 8")
+    hits = M.one_to_one(M.pairs_of(t, p, ["image_id"]), ["image_id"], 0.5).groupBy("image_id").agg(F.count("*").alias("hits"))
+    count = lambda df, n: df.groupBy("image_id").agg(F.count("*").alias(n))
+    i = det(spark, sf).select("image_id").distinct().join(count(t, "n_gt"), "image_id", "left").join(count(p, "n_pred"), "image_id", "left").join(hits, "image_id", "left").fillna(0)
+    out = X.multi_target_scores(i)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query("f13_f14_bucketed_means", "SELECT CASE WHEN w <= 3 THEN '1-3' WHEN w <= 6 THEN '4-6' WHEN w <= 9 THEN '7-9' ELSE '10+' END AS bucket, count(*) AS n, round(avg(p_retailprice), 6) AS mean FROM (SELECT len(list_filter(regexp_split_to_array(trim(p_name || ' ' || p_type), '\\s+'), lambda x: x <> '')) AS w, p_retailprice FROM part) GROUP BY 1")
+_LENGTH = "len(list_filter(regexp_split_to_array(trim(p_name || ' ' || p_type), '\\s+'), lambda x: x <> ''))"
+
+
+@query("f13_length_buckets", f"SELECT CASE WHEN w <= 3 THEN '1-3' WHEN w <= 6 THEN '4-6' WHEN w <= 9 THEN '7-9' ELSE '10+' END AS bucket, count(*) AS n, round(avg(p_retailprice), 6) AS mean FROM (SELECT {_LENGTH} AS w, p_retailprice FROM part) GROUP BY 1")
 def f13(spark, sf):
     p = table(spark, sf, "part")
     return p.groupBy(T.word_bucket(F.concat_ws(" ", "p_name", "p_type")).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 6).alias("mean"))
 
 
+@query("f14_base_and_novel", f"WITH {BOTH}, {PAIRS}, {VOC.format(t=0.5)}, {_CURVE}, {_AREA}, a AS (SELECT cls, sum(e * gain) AS ap FROM env GROUP BY cls) SELECT CASE WHEN cls = 'R' THEN 'novel' ELSE 'base' END AS split, round(avg(ap), 6) AS map, count(*) AS n_classes FROM a GROUP BY 1")
+def f14(spark, sf):
+    """Average precision of base classes and of a novel one."""
+    ap = X.average_precision(curve(spark, sf), n_gts(spark, sf), ["cls"]).withColumn("split", F.when(F.col("cls") == "R", "novel").otherwise("base"))
+    return X.mean_ap(ap, ["split"]).withColumn("map", F.round("map", 6))
+
+
+@query("f15_frequency_ap", f"""WITH {BOTH}, {PAIRS}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY score DESC, image_id, det_id) AS r FROM det) WHERE r <= 1000),
+{VOC.format(t=0.5).replace("FROM det d LEFT JOIN", "FROM top d LEFT JOIN")}, {_CURVE}, {_AREA}, f AS (SELECT cls, CASE WHEN n <= 10 THEN 'r' WHEN n <= 100 THEN 'c' ELSE 'f' END AS frequency FROM (SELECT cls, count(DISTINCT image_id) // 40 AS n FROM gt GROUP BY 1))
+SELECT frequency, round(avg(ap), 6) AS map, count(*) AS n_classes FROM (SELECT cls, sum(e * gain) AS ap FROM env GROUP BY cls) JOIN f USING (cls) GROUP BY 1""")
+def f15(spark, sf):
+    """Fixed AP: the best 1000 detections of a class over all images; classes by the number of their images."""
+    from opalgrid.operators.rank import first_n
+
+    best = first_n(det(spark, sf), ["cls"], [F.desc("score"), F.col("image_id"), F.col("det_id")], 1000).select("cls", "image_id", "det_id")
+    kept = voc(spark, sf).join(best, ["cls", "image_id", "det_id"], "left_semi")
+    n = n_gts(spark, sf)
+    ap = X.average_precision(X.precision_recall(kept, n, ["cls"], ties=("image_id", "det_id")), n, ["cls"])
+    images = gt(spark, sf).groupBy("cls").agg(F.expr("count(distinct image_id) div 40").alias("n_images"))
+    return X.mean_ap(ap.join(X.frequency_groups(images), "cls"), ["frequency"]).withColumn("map", F.round("map", 6))
+
+
 @query("f15_top_k_per_class", f"WITH {DET} SELECT cls, image_id, det_id FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY score DESC, image_id, det_id) AS r FROM det) WHERE r <= 1000")
 def f15(spark, sf):
     from opalgrid.operators.rank import first_n
@@ -174,6 +199,12 @@ def f16(spark, sf):
     return out.withColumn("mr", F.round("mr", 6))
 
 
+@query("f16_crowd_ap", f"WITH {BOTH}, {PAIRS}, {VOC.format(t=0.5)}, {_CURVE}, s AS (SELECT cls, r - coalesce(lag(r) OVER w, 0) AS dr, p + coalesce(lag(p) OVER w, 1) AS pp FROM curve WINDOW w AS (PARTITION BY cls ORDER BY k)) SELECT cls, round(sum(dr * pp / 2), 6) AS ap FROM s GROUP BY cls")
+def f16c(spark, sf):
+    """Area under the plain curve by trapezoids."""
+    return X.trapezoid_ap(curve(spark, sf), ["cls"]).withColumn("ap", F.round("ap", 6))
+
+
 @query("f17_panoptic_quality", "WITH px AS (SELECT l_orderkey // 4 AS image_id, l_partkey % 6 AS gt_id, CASE WHEN l_suppkey % 9 = 0 THEN 0 ELSE l_partkey % 6 END AS pred_id, sum(CAST(floor(l_quantity) AS BIGINT)) AS n FROM lineitem GROUP BY 1, 2, 3), g AS (SELECT image_id, gt_id, sum(n) AS gn FROM px GROUP BY 1, 2), p AS (SELECT image_id, pred_id, sum(n) AS pn FROM px GROUP BY 1, 2), m AS (SELECT gt_id AS c, count(*) AS tp, sum(n / (gn + pn - n)) AS s FROM px JOIN g USING (image_id, gt_id) JOIN p USING (image_id, pred_id) WHERE gt_id <> 0 AND pred_id <> 0 AND n / (gn + pn - n) > 0.5 GROUP BY 1), ng AS (SELECT gt_id AS c, count(*) AS ng FROM g WHERE gt_id <> 0 GROUP BY 1), np AS (SELECT pred_id AS c, count(*) AS np FROM p WHERE pred_id <> 0 GROUP BY 1) SELECT c AS category_id, round(s / (tp + 0.5 * (ng - tp) + 0.5 * (np - tp)), 6) AS pq, round(s / tp, 6) AS sq, round(tp / (tp + 0.5 * (ng - tp) + 0.5 * (np - tp)), 6) AS rq FROM ng JOIN np USING (c) JOIN m USING (c)")
 def f17(spark, sf):
     px = pixels(spark, sf)
@@ -215,15 +246,17 @@ def f25(spark, sf):
     return X.row_shares(cells).withColumn("percent", F.round("percent", 6))
 
 
-@query("f26_error_shares", f"""WITH {BOTH}, b AS (SELECT d.image_id, d.det_id, max(CASE WHEN d.cls = g.cls THEN {iou_sql('d.', 'g.')} END) AS own, max({iou_sql('d.', 'g.')}) AS any_cls FROM det d LEFT JOIN gt g ON d.image_id = g.image_id GROUP BY 1, 2)
-SELECT CASE WHEN own >= 0.75 THEN 'c75' WHEN own >= 0.5 THEN 'c50' WHEN own >= 0.1 THEN 'loc' WHEN any_cls >= 0.1 THEN 'oth' ELSE 'bg' END AS kind, count(*) AS n FROM b GROUP BY 1""")
+_GROUPS = "CASE WHEN {c} IN ('A', 'N') THEN 1 ELSE 2 END"
+
+
+@query("f26_error_shares", f"""WITH {BOTH}, b AS (SELECT d.image_id, d.det_id, max(CASE WHEN d.cls = g.cls THEN {iou_sql('d.', 'g.')} END) AS own, max(CASE WHEN {_GROUPS.format(c='d.cls')} = {_GROUPS.format(c='g.cls')} THEN {iou_sql('d.', 'g.')} END) AS sim, max({iou_sql('d.', 'g.')}) AS any_cls FROM det d LEFT JOIN gt g ON d.image_id = g.image_id GROUP BY 1, 2),
+m AS (SELECT g.image_id, g.gt_id, max({iou_sql('d.', 'g.')}) AS o FROM gt g LEFT JOIN det d ON d.image_id = g.image_id AND d.cls = g.cls GROUP BY 1, 2)
+SELECT CASE WHEN own >= 0.75 THEN 'c75' WHEN own >= 0.5 THEN 'c50' WHEN own >= 0.1 THEN 'loc' WHEN sim >= 0.1 THEN 'sim' WHEN any_cls >= 0.1 THEN 'oth' ELSE 'bg' END AS kind, count(*) AS n FROM b GROUP BY 1
+UNION ALL SELECT 'fn', count(*) FROM m WHERE coalesce(o, 0) < 0.1""")
 def f26(spark, sf):
-    """Detections by the first scenario that would forgive them."""
-    g = gt(spark, sf).select("image_id", F.col("cls").alias("gc"), *[F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")])
-    o = G.iou(G.box(), G.box("g_"))
-    b = det(spark, sf).join(g, "image_id", "left").groupBy("image_id", "det_id").agg(F.max(F.when(F.col("cls") == F.col("gc"), o)).alias("own"), F.max(F.when(F.col("gc").isNotNull(), o)).alias("any"))
-    kind = F.when(F.col("own") >= 0.75, "c75").when(F.col("own") >= 0.5, "c50").when(F.col("own") >= 0.1, "loc").when(F.col("any") >= 0.1, "oth").otherwise("bg")
-    return b.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    """Detections by the first scenario that would forgive them, and ground truths that nothing found."""
+    groups = spark.createDataFrame([("A", 1), ("N", 1), ("R", 2)], "cls string, supercategory int")
+    return X.error_shares(det(spark, sf), gt(spark, sf), groups)
 
 
 @query("f27_area_groups", f"WITH {BOTH} SELECT CASE WHEN a < 2600 THEN 'small' WHEN a < 3400 THEN 'medium' ELSE 'large' END AS size, CAST(floor(sqrt(a) / 2) AS BIGINT) AS bin, count(*) AS n FROM (SELECT {area_sql('')} AS a FROM gt) GROUP BY 1, 2")
@@ -255,7 +288,16 @@ def f30(spark, sf):
     return X.epoch_times(log).select("slowest", "fastest", F.round("mean_time", 6).alias("mean_time"), F.round("std_over_epochs", 6).alias("std_over_epochs"))
 
 
-@query("f31_anchor_kmeans")
+def _kmeans(start: list[tuple[float, float]], rounds: int) -> str:
+    """SQL: rounds of k-means over (w, h) of ground truth, by IoU at a common corner."""
+    parts = ["b AS (SELECT x2 - x1 AS w, y2 - y1 AS h FROM gt)", "k0 AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({w} AS DOUBLE), CAST({h} AS DOUBLE))" for i, (w, h) in enumerate(start)) + ") AS t(i, cw, ch))"]
+    for r in range(rounds):
+        near = f"SELECT b.w, b.h, arg_max(i, least(b.w, cw) * least(b.h, ch) / (b.w * b.h + cw * ch - least(b.w, cw) * least(b.h, ch)) - i * 1e-12) AS i FROM (SELECT *, row_number() OVER () AS r FROM b) b, k{r} GROUP BY r, b.w, b.h"
+        parts.append(f"n{r} AS (SELECT i, avg(w) AS w, avg(h) AS h FROM ({near}) GROUP BY i), k{r + 1} AS (SELECT k{r}.i, coalesce(w, cw) AS cw, coalesce(h, ch) AS ch FROM k{r} LEFT JOIN n{r} USING (i))")
+    return ", ".join(parts)
+
+
+@query("f31_anchor_kmeans", f"WITH {BOTH}, {_kmeans([(45.0, 45.0), (60.0, 60.0), (75.0, 60.0)], 4)} SELECT i AS anchor, round(cw, 4) AS w, round(ch, 4) AS h FROM k4")
 def f31(spark, sf):
     b = gt(spark, sf).select(G.width(G.box()).alias("w"), G.height(G.box()).alias("h"))
     got = X.anchor_kmeans(b, [(45.0, 45.0), (60.0, 60.0), (75.0, 60.0)], rounds=4)

@@ -37,17 +37,29 @@ def mot_lines(tracks: DataFrame) -> DataFrame:
 
 
 def shared_path(df: DataFrame, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir (a temporary one only where that is unset)."""
+    """A new path in the folder of spark.checkpoint.dir. Where that is unset, a temporary one on a local
+    master; on a cluster each executor would write to its own disk, so that raises."""
     import tempfile
 
     spark = df.sparkSession
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="opalgrid-")
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="opalgrid-")
     path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, which goes when the session ends."""
+    path = shared_path(df, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_round_trip(df: DataFrame) -> DataFrame:
     """``df`` through JSON lines and Parquet."""
     spark = df.sparkSession

@@ -50,6 +50,51 @@ def video_figures(part: pd.DataFrame, threshold: float) -> dict:
     return {"n_gt": int((part["kind"] == "g").sum()), "n_pred": int((part["kind"] == "p").sum()), "hits": hits, "misses": misses, "false_alarms": alarms, "switches": switches, "overlap": float(overlap), "id_hits": int(-m[r, c].sum())}
 
 
+#: Overlaps that HOTA averages over.
+LEVELS = np.arange(0.05, 0.99, 0.05)
+
+
+def hota_figures(part: pd.DataFrame) -> dict:
+    """HOTA, detection and association accuracy of one video, the mean over overlaps. Rows as in
+    video_figures. Pairs of a frame are assigned to favour tracks that agree over the whole video."""
+    frames = []
+    for _, f in part.groupby("frame_id", sort=True):
+        g, p = f[f["kind"] == "g"], f[f["kind"] == "p"]
+        frames.append((g["track_id"].to_numpy(), p["track_id"].to_numpy(), iou_matrix(g[BOX].to_numpy(float), p[BOX].to_numpy(float))))
+    own, theirs = (np.unique(np.concatenate([f[i] for f in frames])) for i in (0, 1))
+    n_own, n_theirs, alike = np.zeros(len(own)), np.zeros(len(theirs)), np.zeros((len(own), len(theirs)))
+    placed = [(np.searchsorted(own, a), np.searchsorted(theirs, b), o) for a, b, o in frames]
+    for a, b, o in placed:
+        n_own[a] += 1
+        n_theirs[b] += 1
+        total = o.sum(axis=0)[None] + o.sum(axis=1)[:, None] - o
+        alike[np.ix_(a, b)] += np.divide(o, total, out=np.zeros_like(o), where=total > 1e-12)
+    whole = n_own[:, None] + n_theirs[None] - alike
+    alike = np.divide(alike, whole, out=np.zeros_like(alike), where=whole > 0)
+    hits = np.zeros((len(LEVELS), len(own), len(theirs)))
+    for a, b, o in placed:
+        if not o.size:
+            continue
+        r, c = linear_assignment(-(alike[np.ix_(a, b)] * o))
+        for k, level in enumerate(LEVELS):
+            ok = o[r, c] >= level - 1e-12
+            np.add.at(hits[k], (a[r[ok]], b[c[ok]]), 1)
+    tp = hits.sum(axis=(1, 2))
+    det = tp / np.maximum(1, n_own.sum() + n_theirs.sum() - tp)
+    share = hits / np.maximum(1, n_own[None, :, None] + n_theirs[None, None] - hits)
+    ass = (hits * share).sum(axis=(1, 2)) / np.maximum(1, tp)
+    return {"hota": float(np.sqrt(det * ass).mean()), "det_a": float(det.mean()), "ass_a": float(ass.mean())}
+
+
+def hota(gts: DataFrame, preds: DataFrame, video: str = "video") -> DataFrame:
+    """video, hota, det_a, ass_a. A video is one task."""
+    columns = [video, "frame_id", "track_id", *BOX]
+    rows = gts.select(*columns, F.lit("g").alias("kind")).unionByName(preds.select(*columns, F.lit("p").alias("kind")))
+    ship(rows.sparkSession)
+    kind = dict(rows.dtypes)[video]
+    return rows.groupBy(video).applyInPandas(lambda p: pd.DataFrame([{video: p[video].iloc[0], **hota_figures(p)}]), f"{video} {kind}, hota double, det_a double, ass_a double")
+
+
 def figures(gts: DataFrame, preds: DataFrame, threshold: float = 0.5, video: str = "video") -> DataFrame:
     """Per video: counts, MOTA, MOTP and IDF1. A video is one task, as its matching is sequential."""
     columns = [video, "frame_id", "track_id", *BOX]
