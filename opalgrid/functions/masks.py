@@ -24,18 +24,18 @@ def mask_area(runs: Column) -> Column:
 
 def mask_box(runs: Column, height: int) -> Box:
     """The box around a mask; nulls for an empty one. A run over the end of a column fills whole columns."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>>").alias("out"))
-    pairs = F.transform(runs, lambda n, i: F.struct(n.cast("long").alias("n"), (i % 2 == 1).alias("on")))
+    sides = ("x1", "y1", "x2", "y2")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("on"), *[F.lit(None).cast("long").alias(c) for c in sides])
 
-    def step(acc: Column, r: Column) -> Column:
-        a, z = acc["at"], acc["at"] + r["n"] - 1
+    def step(acc: Column, n: Column) -> Column:
+        a, z, counts = acc["at"], acc["at"] + n - 1, acc["on"] & (n > 0)
         one = F.floor(a / height) == F.floor(z / height)
-        place = F.struct(F.floor(a / height).alias("x1"), F.when(one, a % height).otherwise(0).cast("bigint").alias("y1"), (F.floor(z / height) + 1).alias("x2"), F.when(one, z % height + 1).otherwise(height).cast("bigint").alias("y2"))
-        return F.struct((acc["at"] + r["n"]).alias("at"), F.when(r["on"] & (r["n"] > 0), F.concat(acc["out"], F.array(place))).otherwise(acc["out"]).alias("out"))
+        place = (F.floor(a / height), F.when(one, a % height).otherwise(0), F.floor(z / height) + 1, F.when(one, z % height + 1).otherwise(height))
+        wider = [F.when(counts, f(acc[c], p)).otherwise(acc[c]).cast("long").alias(c) for f, c, p in zip((F.least, F.least, F.greatest, F.greatest), sides, place, strict=True)]
+        return F.struct((acc["at"] + n).cast("long").alias("at"), (~acc["on"]).alias("on"), *wider)
 
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    side = lambda f, c: f(F.transform(spans, lambda s: s[c]))
-    return Box(side(F.array_min, "x1"), side(F.array_min, "y1"), side(F.array_max, "x2"), side(F.array_max, "y2"))
+    found = F.aggregate(runs, start, step)
+    return Box(*(found[c] for c in sides))
 
 
 def moved(points: Column, f: Callable[[Column, Column], tuple[Column, Column]]) -> Column:

@@ -39,7 +39,7 @@ def score_block(score: Column, blocks: int = 512) -> Column:
     """Number of the score's block, rising with the score; null is before all. Detectors give most of
     their candidates low scores, so blocks are finer there; scores outside 0 to 1 are the last ones."""
     place = F.pow(F.greatest(F.least(score.cast("double"), F.lit(1.0)), F.lit(0.0)), F.lit(0.25))
-    return F.coalesce(F.floor(place * blocks).cast("int"), F.lit(-1))
+    return F.when(score.isNull(), -1).otherwise(F.floor(place * blocks).cast("int"))
 
 
 def precision_recall(tpfp: DataFrame, n_gts: DataFrame, keys: list[str], score: str = "score", ties: tuple[str, ...] = ("det_id",)) -> DataFrame:

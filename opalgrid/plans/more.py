@@ -72,7 +72,7 @@ def b24m(spark, sf):
     """Boxes as run-length masks, their area and the boxes around them."""
     runs = det(spark, sf).select("image_id", "det_id", K.runs_of_box(G.box(), 400).alias("runs"))
     b = K.mask_box(F.col("runs"), 400)
-    return runs.select("image_id", "det_id", K.mask_area(F.col("runs")).alias("area"), *[v.alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), b, strict=True)])
+    return runs.select("image_id", "det_id", K.mask_area(F.col("runs")).alias("area"), F.struct(*[v.alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), b, strict=True)]).alias("b")).select("image_id", "det_id", "area", "b.*")
 
 
 @query("b25_polygons", f"WITH {DET} SELECT image_id, det_id, round((x2 - x1) * (y2 - y1) / 2 * 6, 6) AS area, 800 - (x1 + 5) * 2 AS x, (y1 - 3) * 3 AS y FROM det")
