@@ -132,18 +132,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its text has one; a group of null identifiers alone has keep_id null and stays. An empty
     table gives an empty result. Other columns pass through.
     """
-    base = docs.drop("keep_id", "group_size", "kept", "text_sha256", "__n", "__d")
+    base = docs.drop("keep_id", "group_size", "kept", "text_sha256")
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    base = base.withColumn("text_sha256", digest).withColumn("__n", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"))
-    groups = owned_texts(docs, id_col, text_col, keep).where("group_size > 1").select(F.col("n_bytes").alias("__gn"), F.lower(F.hex("digest")).alias("__gd"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
-    out = base.join(groups, (F.col("text_sha256") == F.col("__gd")) & (F.col("__n") == F.col("__gn")), "left")
-    own = F.col(id_col).cast("long")
-    keep_id = F.when(F.col("__size").isNull(), own).otherwise(F.col("__keep"))
-    return out.withColumns({"keep_id": keep_id, "group_size": F.coalesce("__size", F.lit(1).cast("long")), "kept": own.eqNullSafe(keep_id)}).drop("__n", "__gn", "__gd", "__keep", "__size")
+    own = F.struct(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n"), digest.alias("digest"))
+    base = base.withColumn("__exact_dedup", own)
+    groups = owned_texts(docs, id_col, text_col, keep).where("group_size > 1").select(F.struct("n_bytes", F.lower(F.hex("digest")).alias("digest"), "keep_id", "group_size").alias("__exact_dedup_group"))
+    mine, group = F.col("__exact_dedup"), F.col("__exact_dedup_group")
+    out = base.join(groups, (mine["digest"] == group["digest"]) & (mine["n"] == group["n_bytes"]), "left")
+    id_ = F.col(id_col).cast("long")
+    keep_id = F.when(group.isNull(), id_).otherwise(group["keep_id"])
+    out = out.withColumns({"keep_id": keep_id, "group_size": F.coalesce(group["group_size"], F.lit(1).cast("long")), "kept": id_.eqNullSafe(keep_id), "text_sha256": mine["digest"]})
+    return out.drop("__exact_dedup", "__exact_dedup_group")
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """Only the rows that stay, with the columns of ``docs``; full repeats of a row stay once."""
+    """Only the rows that stay, with the columns of ``docs``; full repeats of a row stay once. Nulls, empty
+    texts and ties as in exact_dedup; an empty table gives an empty result."""
     out = exact_dedup(docs, id_col, text_col, keep).where("kept")
     single = out.where("group_size = 1").select(docs.columns)
     return single.unionByName(out.where("group_size > 1").dropDuplicates([id_col, "text_sha256"]).select(docs.columns))
