@@ -68,14 +68,15 @@ def release(spark: SparkSession, *stashes: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows, those with the smallest hashes of ``key``. A first filter by hash, from
-    the count of rows, lets about that many leave the executors, however many tasks there are."""
+def hash_sample(df: DataFrame, key: str, most: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of ``key``, rows of equal keys in the order of
+    ``ties``. A first filter by hash, from the count of rows, lets about that many leave the
+    executors, however many tasks there are."""
     n, place = df.count(), F.pmod(F.xxhash64(key), F.lit(1 << 40))
     rows = df.withColumn("__h", place)
     if n > 2 * most:
         rows = rows.where(F.col("__h") < int(1.2 * most / n * (1 << 40)))
-    return rows.orderBy("__h", key).limit(most).drop("__h")
+    return rows.orderBy("__h", key, *ties).limit(most).drop("__h")
 
 
 def spread(df: DataFrame, columns: list[str], most: int) -> DataFrame:

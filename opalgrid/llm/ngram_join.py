@@ -208,7 +208,8 @@ def similarity_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col
 def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """The row of the smallest identifier of each component, with the columns of ``docs``. Of several
     texts of that identifier in one component the one of the smallest hash stays; texts without
-    words all stay."""
+    words all stay, and so do full repeats of a row that stays. Null identifiers sort before all
+    others; other columns pass through; an empty table gives an empty result."""
     out = _row_components(docs, k, percent, "doc_id", "text").where("id = component")
     linked = out.where("node is not null").groupBy("node", "id").agg(F.min("text_key").alias("text_key")).select("id", "text_key")
     kept = linked.unionByName(out.where("node is null").select("id", "text_key")).distinct().select(_back("id").alias("__id"), F.col("text_key").alias("__key"))

@@ -187,8 +187,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, train_rows: int = T
     rules: list = []
     if labels is not None:
         known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-        labelled = stats.where(~F.col("base_failed")).join(known, "doc_id").select("doc_id", "quality", *(feature(f).alias(f) for f in FEATURES))
-        rows = hash_sample(labelled, "doc_id", train_rows).toPandas()
+        labelled = stats.where(~F.col("base_failed")).join(known, "doc_id").select("doc_id", "row_key", "quality", *(feature(f).alias(f) for f in FEATURES))
+        rows = hash_sample(labelled, "doc_id", train_rows, ("row_key",)).toPandas()
         if len(rows):
             rules = learn(rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy() == 0)
     return stats.withColumn("rule", expression(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

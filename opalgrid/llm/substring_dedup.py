@@ -327,7 +327,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, shard: int = 1000, id_col
 
 def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 20, most_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", shard_words: int = 200_000) -> DataFrame:
     """Like substring_dedup against the texts of a bounded ``reference`` (column text): its words
-    are counted first and may be ``most_words`` at most; automata of ``shard_words`` are broadcast."""
+    are counted first and may be ``most_words`` at most (more raises); automata of ``shard_words`` are
+    broadcast. Null texts count as empty on either side; rows that repeat, also of one identifier or
+    of none, each lose what the reference holds; an empty table gives an empty result, an empty
+    reference removes nothing; other columns are left out."""
     spark = docs.sparkSession
     tune(spark)
     size = reference.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0

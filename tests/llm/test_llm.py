@@ -389,6 +389,29 @@ def test_quality_rules(spark):
     assert Q.quality_rules(docs(spark, []), labels).count() == 0
 
 
+def test_emitted_expression_equals_the_rules(spark):
+    r = np.random.default_rng(6)
+    counts = [dict(zip([*Q.COUNTS, *Q.MORE], r.integers(0, 30, len(Q.COUNTS) + len(Q.MORE)).tolist(), strict=True)) for _ in range(300)]
+    rules = [[(int(f), str(sign), float(t)) for f, sign, t in zip(r.integers(0, len(Q.FEATURES), k), r.choice(["<=", ">"], k), r.random(k) * 2, strict=True)] for k in (1, 2, 3, 2)]
+    x = np.array([[c[a] / max(1, c[b]) for a, b in Q.FEATURES.values()] for c in counts])
+    want = np.zeros(300, int)
+    for k, rule in reversed(list(enumerate(rules, 1))):
+        want[Q._covers(rule, x)] = k
+    df = spark.createDataFrame([(i, *c.values()) for i, c in enumerate(counts)], "i long, " + ", ".join(f"{n} long" for n in counts[0]))
+    got = {row.i: row.rule or 0 for row in df.select("i", Q.expression(rules).alias("rule")).collect()}
+    assert [got[i] for i in range(300)] == want.tolist()
+
+
+def test_rows_equal_in_all_are_spread(spark, path):
+    """A third of all rows the same: no group or leaf holds them all, and every row is packed and mixed once."""
+    df = docs(spark, ["a b c"] * 400 + [f"t{i} u v" for i in range(200)], [9] * 400 + list(range(100, 300)))
+    packed = P.pack(df, path, capacity=64, group_pieces=64).collect()
+    assert len(packed) == 600 and len({x.sequence_id >> 32 for x in packed if x.doc_id == 9}) > 3
+    mixed = MX.mix(df, leaf_rows=64).collect()
+    assert len(mixed) == 600 and abs(sum(x.taken for x in mixed) - mixed[0].target) <= 3
+    assert sorted(map(tuple, mixed)) == sorted(map(tuple, MX.mix(df, leaf_rows=64).collect()))
+
+
 # HTML --------------------------------------------------------------------------------------
 
 
