@@ -2,7 +2,12 @@
 
 Quality rules drop what they reject, exact dedup and the n-gram join keep one document of each
 group, mixing repeats or drops documents by source, packing lays out the rest in sequences.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents and leave out others.
+
+Null and empty texts are documents without words: the first stage rejects them, as it does all
+with fewer than 50 words. Null identifiers, sources and languages stay as they are. Of rows that
+repeat in full one stays; of rows of one identifier with different texts each counts. An empty
+table passes through every stage.
 """
 
 from __future__ import annotations
