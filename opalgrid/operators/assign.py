@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from opalgrid.functions.geometry import box, centre, holds_point
+from opalgrid.functions.geometry import area, box, centre, holds_point, resize_about_centre
 from opalgrid.operators.groups import per_group
 
 
@@ -202,6 +202,34 @@ def uniform_assign(priors: DataFrame, gts: DataFrame, keys: list[str], prior: st
     return best.select(*keys, prior, F.when(F.col("b.iou") < least, F.lit(-1)).otherwise(F.col("b.g")).cast("long").alias("assigned"))
 
 
+def approx_max_iou_assign(pairs: DataFrame, keys: list[str], prior: str = "det_id", gt: str = "gt_id", **rules: float | bool) -> DataFrame:
+    """``max_iou_assign`` for priors that stand for several boxes each: ``pairs`` has a row for each box of a
+    prior and ground truth, and the best box speaks for the prior. ``rules`` go on to ``max_iou_assign``."""
+    return max_iou_assign(pairs.groupBy(*keys, prior, gt).agg(F.max("iou").alias("iou")), keys, prior, gt, **rules)
+
+
+def centre_region_assign(priors: DataFrame, gts: DataFrame, keys: list[str], prior: str = "det_id", gt: str = "gt_id", core: float = 0.2, shadow: float = 0.5) -> DataFrame:
+    """keys, prior, assigned for all priors: the ground truth whose core (its box scaled about the centre)
+    holds the prior's centre, the smallest of several; -1 if only a shadow does, else 0."""
+    pairs = _with_boxes(priors, gts, keys, prior, gt)
+    px, py = centre(box())
+    holds = lambda scale: holds_point(resize_about_centre(box("g_"), scale, scale), px, py)
+    near = pairs.where(holds(max(core, shadow))).groupBy(*keys, prior).agg(F.min(F.when(holds(core), F.struct(area(box("g_")).alias("a"), F.col(gt).cast("long").alias("g"))))["g"].alias("__g"))
+    near = near.withColumn("__n", F.coalesce("__g", F.lit(-1)))
+    return priors.select(*keys, prior).join(near, [*keys, prior], "left").select(*keys, prior, F.coalesce("__n", F.lit(0)).cast("long").alias("assigned"))
+
+
+def sample_hard(assigned: DataFrame, keys: list[str], prior: str = "det_id", loss: str = "loss", number: int = 16, positive_share: float = 0.25) -> DataFrame:
+    """Of each group the positives of greatest loss, up to share * number, and the negatives of greatest loss
+    for the rest. Null losses come last; ties fall to the smaller id."""
+    rows = assigned.where("assigned >= 0").withColumn("__k", F.col("assigned") > 0)
+    most = int(number * positive_share)
+    rank = F.row_number().over(W.partitionBy(*keys, "__k").orderBy(F.desc_nulls_last(loss), prior))
+    n_pos = F.least(F.count_if("__k").over(W.partitionBy(*keys)), F.lit(most))
+    rows = rows.withColumns({"__r": rank, "__p": n_pos})
+    return rows.where(F.col("__r") <= F.when(F.col("__k"), F.lit(most)).otherwise(number - F.col("__p"))).drop("__k", "__r", "__p")
+
+
 def sample_iou_balanced(negatives: DataFrame, keys: list[str], prior: str = "det_id", number: int = 6, bins: int = 3, most_iou: float = 0.4, seed: int = 3) -> DataFrame:
     """Up to ``number`` negatives of each group, the same share from each bin of their best IoU (column iou);
     what a bin lacks is filled from the others. Drawn by hash, so reruns agree. Adds ``bin``."""

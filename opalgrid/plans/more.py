@@ -204,6 +204,45 @@ def m8p(spark, sf):
     return A.sample_per_instance(a, ["image_id"]).groupBy("image_id").agg(F.count("*").alias("n"), F.countDistinct("assigned").alias("instances"))
 
 
+@query("m7_approx_max_iou_assign", f"WITH {BOTH}, {PAIRS.replace('pairs AS', 'single AS', 1)}, pairs AS (SELECT image_id, cls, det_id // 2 AS det_id, gt_id, max(iou) AS iou FROM single GROUP BY 1, 2, 3, 4), {_MAX_IOU} SELECT image_id, cls, det_id AS prior, assigned FROM a")
+def m7a(spark, sf):
+    """Two detections stand for one prior."""
+    pairs = class_pairs(spark, sf).withColumn("prior", F.expr("det_id div 2"))
+    return A.approx_max_iou_assign(pairs, KEYS, "prior").select("image_id", "cls", "prior", F.col("assigned").cast("long").alias("assigned"))
+
+
+@query("m7_centre_region_assign", f"""WITH {BOTH}, p AS (SELECT d.image_id, d.cls, d.det_id, g.gt_id, (g.x2 - g.x1) * (g.y2 - g.y1) AS a, greatest(abs((d.x1 + d.x2) - (g.x1 + g.x2)) / (g.x2 - g.x1), abs((d.y1 + d.y2) - (g.y1 + g.y2)) / (g.y2 - g.y1)) AS off FROM det d JOIN gt g ON d.image_id = g.image_id AND d.cls = g.cls),
+n AS (SELECT image_id, cls, det_id, coalesce(arg_min(gt_id, (a, gt_id)) FILTER (WHERE off < 0.2), -1) AS assigned FROM p WHERE off < 0.5 GROUP BY 1, 2, 3)
+SELECT d.image_id, d.cls, d.det_id, coalesce(n.assigned, 0) AS assigned FROM det d LEFT JOIN n USING (image_id, cls, det_id)""")
+def m7c(spark, sf):
+    return A.centre_region_assign(det(spark, sf), gt(spark, sf), KEYS).select("image_id", "cls", "det_id", "assigned")
+
+
+@query("m8_hard_sampler", f"""WITH {BOTH}, {PAIRS}, {_MAX_IOU}, l AS (SELECT a.image_id, a.det_id, assigned > 0 AS pos, CASE WHEN assigned > 0 THEN 1 - score ELSE score END AS loss FROM a JOIN det USING (image_id, cls, det_id) WHERE assigned >= 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id, pos ORDER BY loss DESC, det_id) AS r, least(count(*) FILTER (WHERE pos) OVER (PARTITION BY image_id), 2) AS p FROM l)
+SELECT image_id, det_id, pos FROM r WHERE r <= CASE WHEN pos THEN 2 ELSE 8 - p END""")
+def m8h(spark, sf):
+    """Eight rows of an image whose scores are most at odds with what they were assigned."""
+    a = A.max_iou_assign(class_pairs(spark, sf), KEYS).join(det(spark, sf).select(*KEYS, "det_id", "score"), [*KEYS, "det_id"])
+    a = a.withColumn("loss", F.when(F.col("assigned") > 0, 1 - F.col("score")).otherwise(F.col("score")))
+    return A.sample_hard(a, ["image_id"], number=8).select("image_id", "det_id", (F.col("assigned") > 0).alias("pos"))
+
+
+@query("f31_anchor_evolution")
+def f31e(spark, sf):
+    """Three anchors by differential evolution, with the mean best IoU of all boxes."""
+    sizes = gt(spark, sf).select(G.width(G.box()).alias("w"), G.height(G.box()).alias("h"))
+    anchors, worth = X.anchor_evolution(sizes, 3, 8.0, 128.0, generations=10)
+    return spark.createDataFrame([(i, w, h, worth) for i, (w, h) in enumerate(anchors)], "anchor int, w double, h double, mean_iou double")
+
+
+@query("l9_smoothed_tracks")
+def l9s(spark, sf):
+    """Filled tracks, smoothed: a detection's number is its track."""
+    rows = det(spark, sf).select(F.expr("image_id div 10").alias("video"), F.col("det_id").alias("track_id"), (F.col("image_id") % 10).alias("frame_id"), "x1", "y1", "x2", "y2", "score")
+    return tracks.smooth_tracks(tracks.interpolate(rows))
+
+
 @query("n1_n2_metrics", f"""WITH {BOTH}, v AS (SELECT d.image_id % 2 AS half, d.cls, {inter_sql('d.', 'g.')} AS i, {union_sql('d.', 'g.')} AS u, {iou_sql('d.', 'g.')} AS iou FROM det d JOIN gt g ON d.image_id = g.image_id AND d.cls = g.cls AND d.det_id = g.gt_id),
 s AS (SELECT cls, avg(iou) AS a, avg((iou >= 0.8)::INT) AS h, sum(i) / sum(u) AS c FROM v GROUP BY 1)
 SELECT cls, 'set/' || unnest(['mean_iou', 'pr_80', 'cum_iou']) AS name, round(unnest([a, h, c]), 6) AS value FROM s""")

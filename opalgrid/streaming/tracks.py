@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from opalgrid.operators.assign import assignment_with_limit
+from opalgrid.operators.groups import per_group
 from opalgrid.session import ship
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -33,6 +34,27 @@ def interpolate(tracks: DataFrame, min_frames: int = 5, max_gap: int = 20, video
     return rows.select(video, track, (F.col(frame) + F.col("__s")).alias(frame), *[F.when(F.col("__s") == 0, F.col(c)).otherwise(F.col(c) + (F.col(f"__{c}") - F.col(c)) * at).alias(c) for c in BOX], F.when(F.col("__s") == 0, F.col("score")).otherwise(1.0).alias("score"))
 
 
+def smooth_tracks(tracks: DataFrame, length: float = 10.0, noise: float = 1.0, video: str = "video", track: str = "track_id", frame: str = "frame_id") -> DataFrame:
+    """Gaussian smoothing of tracks, best after ``interpolate``: each coordinate becomes the mean of a Gaussian
+    process over frames (squared exponential kernel of that length, noise relative to its variance) about the
+    track's line of least squares. Frames, scores and the number of rows stay. One track is one group."""
+
+    def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        at = g[frame].astype(float)
+        kernel = np.exp(-0.5 * ((at[:, None] - at[None, :]) / length) ** 2)
+        weigh = np.linalg.solve(kernel + noise * np.eye(len(at)), kernel).T
+        line = np.stack([np.ones_like(at), at - at.mean()], axis=1)
+        out = {frame: g[frame], "score": g["score"]}
+        for c in BOX:
+            trend = line @ np.linalg.lstsq(line, g[c].astype(float), rcond=None)[0]
+            out[c] = trend + weigh @ (g[c] - trend)
+        return out
+
+    kinds = dict(tracks.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (video, track, frame)) + "".join(f", {c} double" for c in [*BOX, "score"])
+    return per_group(tracks, [video, track], [frame, *BOX, "score"], solve, schema)
+
+
 class Kalman:
     """Constant-velocity filter over centre, aspect ratio and height."""
 

@@ -157,3 +157,52 @@ def test_size_of_a_track_pair(spark):
     b = a.where("frame_id < 2").withColumnRenamed("det_id", "gt_id").drop("score")
     assert [tuple(r) for r in X.track_pairs(b, a, ["video", "cls"]).collect()] == [(0, 0, 1, 1, pytest.approx(2 / 3))]
     assert X.video_ap(b, a, 0.5).first().ap == pytest.approx(1) and X.video_ap(b, a, 0.7).first().ap == 0
+
+
+def test_hard_samples_and_centre_regions(spark):
+    from opalgrid.operators import assign as A
+
+    rows = [(1, i, a, l) for i, (a, l) in enumerate([(1, 0.1), (2, 0.9), (3, 0.9), (0, 0.2), (0, None), (0, 0.7), (-1, 5.0)])]
+    got = A.sample_hard(spark.createDataFrame(rows, "g int, det_id int, assigned int, loss double"), ["g"], number=4, positive_share=0.5)
+    assert sorted(r.det_id for r in got.collect()) == [1, 2, 3, 5]
+    assert A.sample_hard(spark.createDataFrame([], "g int, det_id int, assigned int, loss double"), ["g"]).count() == 0
+    gts = spark.createDataFrame([(1, 1, 0.0, 0.0, 100.0, 100.0), (1, 2, 30.0, 30.0, 70.0, 70.0)], "g int, gt_id int, x1 double, y1 double, x2 double, y2 double")
+    at = lambda i, x: (1, i, x - 1, x - 1, x + 1, x + 1)
+    priors = spark.createDataFrame([at(1, 50.0), at(2, 57.0), at(3, 70.0), at(4, 95.0)], "g int, det_id int, x1 double, y1 double, x2 double, y2 double")
+    out = A.centre_region_assign(priors, gts, ["g"]).collect()
+    assert {r.det_id: r.assigned for r in out} == {1: 2, 2: 1, 3: -1, 4: 0}
+
+
+def test_approximations_speak_through_their_best(spark):
+    from opalgrid.operators import assign as A
+
+    pairs = spark.createDataFrame([(1, 1, 1, 0.2), (1, 1, 1, 0.7), (1, 2, 1, 0.45), (1, 3, 1, 0.1)], "g int, det_id int, gt_id int, iou double")
+    got = {r.det_id: r.assigned for r in A.approx_max_iou_assign(pairs, ["g"]).collect()}
+    assert got == {1: 1, 2: -1, 3: 0}
+
+
+def test_anchor_evolution(spark):
+    """Two kinds of boxes, two anchors: both are found nearly; reruns agree; no boxes give 0."""
+    rows = [(20.0, 10.0)] * 30 + [(60.0, 90.0)] * 10 + [(None, 5.0)]
+    b = spark.createDataFrame(rows, "w double, h double")
+    (small, large), worth = X.anchor_evolution(b, 2, 5.0, 120.0, generations=40)
+    share = lambda a, c: min(a[0], c[0]) * min(a[1], c[1]) / (a[0] * a[1] + c[0] * c[1] - min(a[0], c[0]) * min(a[1], c[1]))
+    assert worth == pytest.approx((30 * share(small, (20, 10)) + 10 * share(large, (60, 90))) / 40) and worth > 0.85
+    assert X.anchor_evolution(b, 2, 5.0, 120.0, generations=1) == X.anchor_evolution(b, 2, 5.0, 120.0, generations=1)
+    assert X.anchor_evolution(b.limit(0), 1, generations=1)[1] == 0.0
+
+
+def test_smoothed_tracks(spark):
+    """Straight tracks stay, jitter shrinks, short tracks and rows are kept."""
+    from opalgrid.streaming.tracks import smooth_tracks
+
+    r = np.random.default_rng(1)
+    line = [(1, 1, f, 2.0 * f, 5.0, 2.0 * f + 10, 15.0, 0.5) for f in range(20)]
+    shaky = [(1, 2, f, *(np.array([2.0 * f, 5.0, 2.0 * f + 10, 15.0]) + r.normal(0, 1, 4)).tolist(), 0.5) for f in range(20)]
+    alone = [(2, 1, 4, 1.0, 2.0, 3.0, 4.0, 0.9)]
+    got = smooth_tracks(spark.createDataFrame(line + shaky + alone, "video int, track_id int, frame_id int, x1 double, y1 double, x2 double, y2 double, score double")).collect()
+    assert len(got) == 41
+    off = lambda rows: np.abs([x[3] - 2.0 * x[2] for x in rows]).mean()
+    assert off([g for g in got if (g.video, g.track_id) == (1, 1)]) < 1e-6
+    assert off([g for g in got if (g.video, g.track_id) == (1, 2)]) < off(shaky)
+    assert [tuple(g) for g in got if g.video == 2] == [pytest.approx(alone[0])]
