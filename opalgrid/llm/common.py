@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +21,27 @@ _own_dir: list[str] = []
 #: Rows in one Arrow batch. A batch of long documents stays within tens of MB.
 ARROW_ROWS = 1000
 
+#: How stashes are written where the shared folder is a local path. Hadoop starts a ``chmod`` there for every
+#: file and folder it makes, and until that runs the started process counts as large as the executor; without
+#: checksum files and success marks there are two a file instead of three. Other file systems don't see these options.
+SCRATCH = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
 
 def tune(spark: SparkSession) -> None:
-    """Before Python stages: bound one Arrow batch, as texts may be long, and ship this package."""
+    """Before Python stages: bound one Arrow batch, as texts may be long, ship this package, and empty the heaps."""
     ship(spark)
+    empty_heaps(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def empty_heaps(spark: SparkSession) -> None:
+    """One full collection in each executor (there is one task for each, and nothing else runs). A heap that a
+    finished step has filled stays at its largest otherwise, beside the Python workers of the next one; after a
+    full collection the JVM gives free heap back to the system."""
+    n = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') AS done").collect()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one on a local master
     (tests); on a cluster each executor would write to its own disk, so that raises."""
@@ -45,7 +61,7 @@ def stash(df: DataFrame) -> DataFrame:
     the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**SCRATCH).parquet(path)
     place, fs = _place(spark, path)
     fs.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
@@ -60,12 +76,13 @@ def _place(spark: SparkSession, path: str):
 
 def release(spark: SparkSession, *stashes: DataFrame) -> None:
     """Delete stashes that no later step reads, and let Spark's cleaner drop the shuffle files of
-    finished steps now (it waits for the driver's garbage collection)."""
+    finished steps now (it waits for the driver's garbage collection); then the executors collect theirs."""
     for df in stashes:
         place, fs = _place(spark, df._stash_path)
         fs.delete(place, True)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    empty_heaps(spark)
 
 
 def hash_sample(df: DataFrame, key: str, most: int, ties: tuple[str, ...] = ()) -> DataFrame:
@@ -92,6 +109,25 @@ def spread(df: DataFrame, columns: list[str], most: int) -> DataFrame:
     return rows.withColumn("__salt", salt).select(*df.columns, "__salt")
 
 
+def give_back() -> None:
+    """Memory that Arrow and the C library keep for later goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; at the end of a task its memory goes back, as workers wait beside later stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def column_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]

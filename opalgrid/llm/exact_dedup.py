@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from opalgrid.llm.common import column_bytes, column_of, tune
+from opalgrid.llm.common import column_bytes, column_of, trimmed, tune
 
 FLUSH_BYTES = 16 << 20
 _LOCAL = pa.schema([("n_bytes", pa.int64()), ("digest", pa.binary()), ("body", pa.binary()), ("best", pa.int64()), ("rows", pa.int64())])
@@ -120,8 +120,8 @@ def owned_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per distinct text: n_bytes, digest (SHA-256), keep_id, group_size."""
     better = min if keep == "smallest" else max
     tune(docs.sparkSession)
-    local = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(_collapse(better, "body", "id"), "n_bytes long, digest binary, body binary, best long, rows long")
-    return local.repartition("n_bytes", "digest").sortWithinPartitions("n_bytes", "digest").mapInArrow(_own(better, trie_bytes), "n_bytes long, digest binary, keep_id long, group_size long")
+    local = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(trimmed(_collapse(better, "body", "id")), "n_bytes long, digest binary, body binary, best long, rows long")
+    return local.repartition("n_bytes", "digest").sortWithinPartitions("n_bytes", "digest").mapInArrow(trimmed(_own(better, trie_bytes)), "n_bytes long, digest binary, keep_id long, group_size long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:

@@ -129,7 +129,9 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     sums = [(r.source, r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     target = fill_targets(sums, weights, share, most)
     order = sorted(sums, key=lambda x: (x[0] is None, x[0] or ""))
-    table = spark.createDataFrame([(s, i, n, float(target[s])) for i, (s, n) in enumerate(order)], "source string, src int, source_size long, target double")
+    # from Arrow: a list of rows would start Python workers of their own beside those of the stages
+    fields = {"source": ([s for s, _ in order], pa.string()), "src": (range(len(order)), pa.int32()), "source_size": ([n for _, n in order], pa.int64()), "target": ([float(target[s]) for s, _ in order], pa.float64())}
+    table = spark.createDataFrame(pa.table({k: pa.array(v, t) for k, (v, t) in fields.items()}))
     table = F.broadcast(table) if len(order) <= 10_000 else table
     rows = rows.withColumnRenamed("source", "__s").join(table, F.col("__s").eqNullSafe(F.col("source")), "left").drop("__s", "source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opalgrid.llm.common import WordHashes, column_bytes, column_of, mixed, release, stash, tune, window_hashes
+from opalgrid.llm.common import WordHashes, column_bytes, column_of, mixed, release, stash, trimmed, tune, window_hashes
 from opalgrid.llm.components import components
 
 #: Share of the hash range whose elements come first and are counted.
@@ -79,7 +79,7 @@ def _sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
             yield pa.RecordBatch.from_arrays([column_of(batch, "id"), column_of(batch, "text_key"), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["id", "text_key", "n", "d1", "d2", "band"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, text_key long, n int, d1 long, d2 long, band array<long>")
+    return rows.mapInArrow(trimmed(run), "id long, text_key long, n int, d1 long, d2 long, band array<long>")
 
 
 def _full_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -95,7 +95,7 @@ def _full_sets(texts: DataFrame, k: int) -> DataFrame:
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))], names=["id", "n", "items"])
 
-    return texts.mapInArrow(run, "id long, n int, items array<long>")
+    return texts.mapInArrow(trimmed(run), "id long, n int, items array<long>")
 
 
 def _open_prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -124,7 +124,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     sb = sets.select(F.col("id").alias("b"), F.col("items").alias("sb"))
     sa = sets.select(F.col("id").alias("a"), F.col("items").alias("sa"))
-    return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _row_components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from opalgrid.llm.common import column_of, spread, stash, tune
+from opalgrid.llm.common import column_of, spread, stash, trimmed, tune
 from opalgrid.llm.tokens import encoder
 
 END_ID = 1
@@ -69,19 +69,22 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(column_of(batch, "doc_id").to_pylist(), column_of(batch, "text").to_pylist(), strict=True):
-                ids = np.append(own.encode(text or ""), np.uint32(END_ID)).astype("<u4")
-                for start in range(0, len(ids), capacity):
-                    raw = ids[start : start + capacity].tobytes()
-                    out.append((doc, start, len(raw) // 4, zlib.crc32(raw), len(ids), *([raw] if with_ids else [])))
-            if out:
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
+        try:
+            for batch in batches:
+                out: list[tuple] = []
+                for doc, text in zip(column_of(batch, "doc_id").to_pylist(), column_of(batch, "text").to_pylist(), strict=True):
+                    ids = np.append(own.encode(text or ""), np.uint32(END_ID)).astype("<u4")
+                    for start in range(0, len(ids), capacity):
+                        raw = ids[start : start + capacity].tobytes()
+                        out.append((doc, start, len(raw) // 4, zlib.crc32(raw), len(ids), *([raw] if with_ids else [])))
+                if out:
+                    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
+        finally:
+            own.forget()
 
     extra = ", ids binary" if with_ids else ""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, f"doc_id long, start long, length long, ids_crc32 long, doc_tokens long{extra}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(trimmed(run), f"doc_id long, start long, length long, ids_crc32 long, doc_tokens long{extra}")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, group_pieces: int = 16_384, with_ids: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opalgrid.llm.common import WordHashes, column_bytes, column_of, hash_sample, stash, tune, window_hashes
+from opalgrid.llm.common import WordHashes, column_bytes, column_of, hash_sample, stash, trimmed, tune, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 #: Most labelled rows the list is learnt from; rows with the smallest hashes of their identifier.
@@ -89,7 +89,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), column_of(batch, "row_key"), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=["doc_id", "row_key", *COUNTS, *MORE])
 
     schema = "doc_id long, row_key long, " + ", ".join(f"{c} long" for c in [*COUNTS, *MORE])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text").mapInArrow(trimmed(run), schema)
 
 
 def base_failed() -> Column:

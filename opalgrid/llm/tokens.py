@@ -61,6 +61,12 @@ class ChunkEncoder:
             return b"".join(map(self.pieces.__getitem__, _PIECES(chunk.lower())))
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
+    def forget(self) -> None:
+        """Empties the caches: a worker outlives its task and waits beside other stages."""
+        for cache in (self.pieces, self.chunks):
+            cache.clear()
+            cache.old = {}
+
     def raw(self, text: str) -> bytes:
         """Ids of the whole text, as native 32-bit numbers."""
         if _PLAIN(text) and "<|" not in text:

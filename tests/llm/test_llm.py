@@ -4,15 +4,18 @@ ties, repeated rows, empty tables and extra columns."""
 import collections
 import hashlib
 import itertools
+import pathlib
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
-from opalgrid.llm import chat_format as C, exact_dedup as E, html_blocks as HB, html_extract as H, mixing as MX, ngram_join as N, packing as P, quality_rules as Q, substring_dedup as SD, token_counts as TC, toxicity as T
+from opalgrid.llm import chat_format as C, common, exact_dedup as E, html_blocks as HB, html_extract as H, mixing as MX, ngram_join as N, packing as P, quality_rules as Q, substring_dedup as SD, token_counts as TC, tokens, toxicity as T
 from opalgrid.llm.common import WordHashes, hash_sample, stash
 from opalgrid.llm.components import components
 from opalgrid.llm.tokens import encoder
@@ -600,3 +603,46 @@ def test_hash_sample(spark):
     a = sorted(r.doc_id for r in hash_sample(df, "doc_id", 50).collect())
     assert len(a) == 50 and a == sorted(r.doc_id for r in hash_sample(df.repartition(9), "doc_id", 50).collect())
     assert hash_sample(df, "doc_id", 5000).count() == 1000
+
+
+# what stays in memory beside a stage ------------------------------------------------------
+
+
+def test_a_stash_is_written_without_checksum_files(spark):
+    # on a local path Hadoop starts a chmod for each file, and those of checksums besides
+    kept = stash(spark.range(0, 1000, 1, 4))
+    files = [p.name for p in pathlib.Path(kept._stash_path.removeprefix("file://")).rglob("*")]
+    assert len(files) == 4 and all(f.startswith("part-") and f.endswith(".parquet") for f in files)
+    assert sorted(r.id for r in kept.collect()) == list(range(1000))
+
+
+def test_packing_leaves_no_cache_in_waiting_workers(spark, path):
+    assert P.pieces(docs(spark, ["some words to encode"] * 40).repartition(4), path).count() == 40
+
+    def held(batches):
+        for _ in batches:
+            caches = [c for e in tokens._loaded.values() for c in (e.pieces, e.chunks)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(c) + len(c.old) for c in caches)], pa.int64())], names=["n"])
+
+    assert spark.range(0, 16, 1, 16).mapInArrow(held, "n long").agg(F.max("n")).first()[0] == 0
+
+
+def test_mix_starts_no_workers_for_its_table_of_sources(spark, monkeypatch):
+    d = stash(docs(spark, ["a b c"] * 20 + [None], source=None).unionByName(docs(spark, ["d e"] * 9, ids=range(30, 39), source="x")))
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **b: pytest.fail("rows were pickled through Python workers"))
+    found = {r.source_size: r.n for r in MX.mix(d).groupBy("source_size").agg(F.count("*").alias("n")).collect()}
+    assert found == {60: 21, 18: 9}
+    assert MX.mix(d.where("false")).count() == 0
+
+
+def test_memory_is_given_back_when_a_task_ends(monkeypatch):
+    given_back = []
+    monkeypatch.setattr(common, "give_back", lambda: given_back.append(1))
+    assert list(common.trimmed(lambda batches: iter(batches))([1, 2])) == [1, 2] and given_back == [1]
+
+
+def test_heaps_are_collected_before_a_step(spark):
+    collections_ = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = collections_()
+    common.tune(spark)  # on a local master the driver is the executor
+    assert collections_() > before
