@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from opalgrid.llm.common import WordHashes, column_bytes, column_of, mixed, release, stash, tune, window_hashes
+from opalgrid.llm.common import WordHashes, column_bytes, column_of, empty_heaps, mixed, release, stash, trimmed, tune, window_hashes
 
 GRAM = 6
 _NULL_ID = -(1 << 63)
@@ -153,7 +153,7 @@ def _occurrences(texts: DataFrame, window: int) -> DataFrame:
                 start, count, anchor, content = (np.concatenate([f[k] for f in found if len(f[k])]) for k in range(4))
                 yield pa.RecordBatch.from_arrays([column_of(batch, "id").take(rows), column_of(batch, "key").take(rows), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor), pa.array(content)], schema=_POSTINGS)
 
-    return texts.mapInArrow(run, _ddl(_POSTINGS))
+    return texts.mapInArrow(trimmed(run), _ddl(_POSTINGS))
 
 
 def _spans(wanted: DataFrame, window: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _spans(wanted: DataFrame, window: int) -> DataFrame:
             if out:
                 yield _batch(_SPANS, out)
 
-    return wanted.mapInArrow(run, _ddl(_SPANS))
+    return wanted.mapInArrow(trimmed(run), _ddl(_SPANS))
 
 
 def long_gram(window: int) -> int:
@@ -202,7 +202,7 @@ def _windows(spans: DataFrame, window: int) -> DataFrame:
             if out:
                 yield _batch(_POSTINGS, out)
 
-    return spans.mapInArrow(run, _ddl(_POSTINGS))
+    return spans.mapInArrow(trimmed(run), _ddl(_POSTINGS))
 
 
 def _collapsed(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -245,7 +245,7 @@ def _earlier(spans: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[*ROW, "mask"])
 
     dealt = spans.select("anchor", *ROW, "words").repartition("anchor").sortWithinPartitions("anchor", *ROW)
-    return dealt.mapInArrow(run, "id long, key long, start int, mask long")
+    return dealt.mapInArrow(trimmed(run), "id long, key long, start int, mask long")
 
 
 def covered_words(n: int, starts: np.ndarray, masks: np.ndarray, window: int) -> np.ndarray:
@@ -277,7 +277,7 @@ def _kept(joined: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column_of(batch, "id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
 
     joined = joined.select("id", "text", "starts", "masks")
-    return joined.mapInArrow(run, "id long, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(trimmed(run), "id long, n_words long, n_removed long, kept_text string")
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, shard: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,6 +306,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, shard: int = 1000, id_col
     distinct, kinds = _distinct_contexts(first, shard)
     wanted = distinct.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "wide"))).alias("w")).select("id", "key", F.col("w.start").alias("starts"), F.col("w.wide").alias("wide"))
     spans = stash(_spans(texts.join(wanted, ["id", "key"]), window))
+    empty_heaps(spark)
     shards, done = spans.where("not deep"), [repeated, first, kinds, spans]
     if not kinds.where("wide").isEmpty():
         # contexts cut by long anchors: the same steps again, and after that the windows themselves
@@ -317,6 +318,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, shard: int = 1000, id_col
         marks = marks.unionByName(marks2).unionByName(marks3)
         shards = shards.unionByName(held.where("not wide").select(shards.columns))
         done += [first2, kinds2, held, single, first3]
+        empty_heaps(spark)
     marks = marks.unionByName(_earlier(shards, window))
     # equal marks of repeated rows fall together before they are gathered by document
     marks = stash(marks.groupBy("id", "key").agg(F.collect_set(F.struct("start", "mask")).alias("m")).select("id", "key", F.col("m.start").alias("starts"), F.col("m.mask").alias("masks")))
@@ -366,4 +368,4 @@ def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 20, mo
                 kept.append(b" ".join(w for w, c in zip(words, cover.tolist(), strict=True) if not c))
             yield pa.RecordBatch.from_arrays([column_of(batch, "id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[id_col, "n_words", "n_removed", "kept_text"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` long, n_words long, n_removed long, kept_text string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"`{id_col}` long, n_words long, n_removed long, kept_text string")

@@ -646,3 +646,14 @@ def test_heaps_are_collected_before_a_step(spark):
     before = collections_()
     common.tune(spark)  # on a local master the driver is the executor
     assert collections_() > before
+
+
+def test_substring_dedup_empties_the_heaps_between_its_steps(spark, monkeypatch):
+    calls, own = [], common.empty_heaps
+    for module in (common, SD):
+        monkeypatch.setattr(module, "empty_heaps", lambda s: calls.append(own(s)))
+    r = random.Random(5)
+    line = words(r, 30)
+    rows = SD.substring_dedup(docs(spark, [line, f"{words(r, 25)} {line}", None]), shard=1).orderBy("doc_id").collect()
+    # before the first step, after the contexts, the spans, the long anchors if there are any, and the marks
+    assert [x.n_removed for x in rows] == [0, 30, 0] and len(calls) >= 4
