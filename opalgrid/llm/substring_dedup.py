@@ -304,6 +304,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, shard: int = 1000, id_col
     release(spark, every, twice)
     first, marks = _collapsed(repeated)
     distinct, kinds = _distinct_contexts(first, shard)
+    empty_heaps(spark)
     wanted = distinct.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "wide"))).alias("w")).select("id", "key", F.col("w.start").alias("starts"), F.col("w.wide").alias("wide"))
     spans = stash(_spans(texts.join(wanted, ["id", "key"]), window))
     empty_heaps(spark)
@@ -313,6 +314,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, shard: int = 1000, id_col
         first2, marks2 = _collapsed(spans.where("deep"))
         distinct2, kinds2 = _distinct_contexts(first2, shard)
         held = stash(spans.where("deep").join(distinct2, ["anchor", "content", *ROW]))
+        empty_heaps(spark)
         single = stash(_windows(held.where("wide"), window))
         first3, marks3 = _collapsed(single)
         marks = marks.unionByName(marks2).unionByName(marks3)
