@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from opalgrid.llm.common import spread, stash, tune
+from opalgrid.llm.common import empty_heaps, spread, stash, tune
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -123,6 +123,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     tune(docs.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.xxhash64(F.col("text"), F.col("source"), F.col("lang")).alias("row_key"), size.alias("size")))
+    empty_heaps(docs.sparkSession)
     # rows that are equal in all would share a leaf, however many there are
     rows = spread(rows, ["doc_id", "row_key"], max(1, leaf_rows // 16))
     spark = docs.sparkSession

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opalgrid.llm.common import WordHashes, column_bytes, column_of, mixed, release, stash, trimmed, tune, window_hashes
+from opalgrid.llm.common import WordHashes, column_bytes, column_of, empty_heaps, mixed, release, stash, trimmed, tune, window_hashes
 from opalgrid.llm.components import components
 
 #: Share of the hash range whose elements come first and are counted.
@@ -156,6 +156,7 @@ def _row_components(docs: DataFrame, k: int, percent: int, id_col: str, text_col
     heads = keyed.groupBy("n", "whole", "key").agg(F.min("id").alias("gid"))
     grouped = stash(keyed.join(heads, ["n", "whole", "key"]).select("id", "gid", "n", "first", "prefix"))
     postings = stash(grouped.where("id = gid").select("gid", "n", "first", F.posexplode("prefix").alias("i", "s")).select("s", "gid", "n", (F.col("first") + F.col("i")).alias("pos")))
+    empty_heaps(spark)
 
     def meet(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
         """Whether a pair of these sizes may have its first common element at these places."""
@@ -165,6 +166,7 @@ def _row_components(docs: DataFrame, k: int, percent: int, id_col: str, text_col
     pivots = postings.groupBy("s").agg(F.min(F.struct("pos", "gid", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("s", F.col("p.gid").alias("pg"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"))
     stars = postings.join(pivots, "s").where((F.col("gid") != F.col("pg")) & meet(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp"))).select(F.least("pg", "gid").alias("a"), F.greatest("pg", "gid").alias("b"))
     first = stash(stars.unionByName(grouped.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))).distinct())
+    empty_heaps(spark)
     known = stash(components(_verified(first, whole_sets, percent)))
     release(spark)
     # lists that still hold several components: the members outside the largest meet the others
@@ -173,6 +175,7 @@ def _row_components(docs: DataFrame, k: int, percent: int, id_col: str, text_col
     sizes = lists.groupBy("s", "c").agg(F.count("*").alias("m"))
     major = sizes.groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").select("s", "major")
     left = stash(lists.join(major, "s"))
+    empty_heaps(spark)
     # members meet those of their own and the next size bands only, each band of an element for itself
     minor = left.where("c <> major").select("s", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), F.col("id").alias("i1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("c").alias("c1"))
     meets = minor.join(left, ["s", "band"]).where((F.col("c1") != F.col("c")) & meet(F.col("n1"), F.col("p1"), F.col("n"), F.col("pos")) & ((F.col("c") == F.col("major")) | (F.col("i1") < F.col("id"))))
