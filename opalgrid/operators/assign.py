@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from opalgrid.functions.geometry import area, box, centre, holds_point, resize_about_centre
-from opalgrid.operators.groups import per_group
+from opalgrid.operators.groups import changes, codes, per_groups
 
 
 def linear_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,17 +43,111 @@ def linear_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (cols[np.argsort(cols)], rows[np.argsort(cols)]) if turned else (rows[order], cols[order])
 
 
+def _shortest_paths(cost: np.ndarray) -> np.ndarray:
+    """Column of each row in a minimum-cost assignment of each matrix (problems, rows, columns; no more
+    rows than columns). Shortest augmenting paths, all problems in step."""
+    count, n, m = cost.shape
+    u, v = np.zeros((count, n)), np.zeros((count, m))
+    owner, taken = np.full((count, m), -1), np.full((count, n), -1)
+    for root in range(n):
+        short, before = np.full((count, m), np.inf), np.full((count, m), root)
+        closed, reached = np.zeros((count, m), bool), np.zeros((count, n), bool)
+        low, row, sink = np.zeros(count), np.full(count, root), np.full(count, -1)
+        act = np.arange(count)
+        while act.size:
+            r = row[act]
+            reached[act, r] = True
+            d = (low[act] - u[act, r])[:, None] + cost[act, r] - v[act]
+            s, shut = short[act], closed[act]
+            better = (d < s) & ~shut
+            short[act] = s = np.where(better, d, s)
+            before[act] = np.where(better, r[:, None], before[act])
+            j = np.where(shut, np.inf, s).argmin(axis=1)
+            low[act] = s[np.arange(len(act)), j]
+            closed[act, j] = True
+            nxt = owner[act, j]
+            free = nxt < 0
+            sink[act[free]] = j[free]
+            row[act[~free]] = nxt[~free]
+            act = act[~free]
+        reached[:, root] = False
+        u += np.where(reached, low[:, None] - np.take_along_axis(short, np.maximum(taken, 0), axis=1), 0.0)
+        u[:, root] += low
+        v -= np.where(closed, low[:, None] - np.where(closed, short, 0.0), 0.0)
+        act, j = np.arange(count), sink
+        while act.size:
+            r = before[act, j]
+            owner[act, j] = r
+            taken[act, r], j = j, taken[act, r]
+            on = r != root
+            act, j = act[on], j[on]
+    return taken
+
+
+#: Most cells of the dense matrices that are solved in step.
+CELLS = 2_000_000
+
+
+def heaviest_pairs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) make a matching of greatest total weight. Nodes are whole numbers, a pair comes
+    once, pairs of no weight are never made. Connected parts are solved each by itself, like-sized ones
+    in step, so many small problems with nodes of their own cost little more than one."""
+    out = np.zeros(len(a), bool)
+    at = np.flatnonzero(weight > 0)
+    if not at.size:
+        return out
+    a, b, weight = codes(a[at]), codes(b[at]), weight[at]
+    lone = (np.bincount(a)[a] == 1) & (np.bincount(b)[b] == 1)
+    out[at[lone]] = True
+    at, a, b, weight = at[~lone], codes(a[~lone]), codes(b[~lone]), weight[~lone]
+    if not at.size:
+        return out
+    part = np.arange(a.max() + 1)
+    while True:
+        side = np.full(b.max() + 1, len(part))
+        np.minimum.at(side, b, part[a])
+        now = part.copy()
+        np.minimum.at(now, a, side[b])
+        now = now[now]
+        if (now == part).all():
+            break
+        part = now
+    own = codes(part[a])
+    n_own = own.max() + 1
+    place, size = [], []
+    for node in (a, b):
+        home = np.zeros(node.max() + 1, int)
+        home[node] = own
+        order = np.argsort(home, kind="stable")
+        n = np.bincount(home, minlength=n_own)
+        rank = np.empty(len(home), int)
+        rank[order] = np.arange(len(home)) - np.repeat(np.cumsum(n) - n, n)
+        place.append(rank[node])
+        size.append(n)
+    wide = size[0] > size[1]
+    row, col = np.where(wide[own], place[1], place[0]), np.where(wide[own], place[0], place[1])
+    n, m = np.minimum(*size), np.maximum(*size)
+    m = 2 ** np.ceil(np.log2(m)).astype(int)
+    edges = np.argsort(own, kind="stable")
+    first = np.append(0, np.cumsum(np.bincount(own)))
+    for members in np.split(np.lexsort((m, n)), np.flatnonzero(np.diff(np.sort(n * (m.max() + 1) + m))) + 1):
+        rows, cols = int(n[members[0]]), int(m[members[0]])
+        most = max(1, CELLS // (rows * cols))
+        for some in np.split(members, range(most, len(members), most)):
+            k = first[some + 1] - first[some]
+            e = edges[np.repeat(first[some] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+            p = np.repeat(np.arange(len(some)), k)
+            cost = np.zeros((len(some), rows, cols))
+            cost[p, row[e], col[e]] = -weight[e]
+            out[at[e]] = _shortest_paths(cost)[p, row[e]] == col[e]
+    return out
+
+
 def assignment_with_limit(cost: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Assignment in which leaving a row and a column alone costs ``limit`` in all: pairs dearer
-    than that are never made."""
-    n, m = cost.shape
-    if not n or not m:
-        return np.empty(0, int), np.empty(0, int)
-    wide = np.full((n + m, n + m), limit / 2.0)
-    wide[:n, :m] = cost
-    wide[n:, m:] = 0.0
-    r, c = linear_assignment(wide)
-    ok = (r < n) & (c < m)
+    """Assignment in which leaving a row and a column alone costs ``limit`` in all: only pairs that
+    are cheaper are made."""
+    r, c = np.nonzero(cost < limit)
+    ok = heaviest_pairs(r, c, limit - cost[r, c])
     return r[ok], c[ok]
 
 
@@ -88,50 +182,55 @@ def bipartite_matching(edges: list[tuple[int, int]]) -> dict[int, int]:
 def max_matching(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys and n_matched: the most pairs of a group in which no side repeats. A group is one image."""
 
-    def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        return {"n_matched": np.array([len(bipartite_matching(list(zip(g[a].tolist(), g[b].tolist(), strict=True))))])}
+    def solve(group: np.ndarray, c: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        once = changes(group, c[a], c[b])
+        g, left, right = group[once], c[a][once], c[b][once]
+        ok = heaviest_pairs(codes(g, left), codes(g, right), np.ones(len(g)))
+        n = np.bincount(g[ok], minlength=group[-1] + 1)
+        return np.arange(len(n)), {"n_matched": n}
 
     kinds = dict(pairs.dtypes)
-    return per_group(pairs, keys, [a, b], solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_matched long")
+    return per_groups(pairs, keys, [a, b], solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_matched long")
+
+
+def _listed(group: np.ndarray, a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of each pair's last mention; numbers of both sides' nodes; twice each group's whole cost and more."""
+    last = np.append(changes(group, a, b)[1:], True)
+    whole = (np.bincount(group, weights=np.abs(cost)) + 1.0) * 2
+    return np.flatnonzero(last), codes(group, a)[last], codes(group, b)[last], whole[group[last]]
 
 
 def hungarian(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str, limit: float | None = None) -> DataFrame:
     """keys, a, b, cost of a minimum-cost assignment per group; pairs not listed are not allowed."""
 
-    def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        left, right = np.unique(g[a]), np.unique(g[b])
-        i, j, c = np.searchsorted(left, g[a]), np.searchsorted(right, g[b]), g[cost].astype(float)
-        top = limit if limit is not None else (abs(c).sum() + 1.0) * 2
-        m = np.full((len(left), len(right)), top * 1e3 + 1)
-        m[i, j] = c
-        r, k = assignment_with_limit(m, top)
-        return {a: left[r], b: right[k], cost: m[r, k]}
+    def solve(group: np.ndarray, c: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        own = c[cost].astype(float)
+        at, left, right, whole = _listed(group, c[a], c[b], own)
+        at = at[heaviest_pairs(left, right, (whole if limit is None else limit) - own[at])]
+        return group[at], {a: c[a][at], b: c[b][at], cost: own[at]}
 
     kinds = dict(pairs.dtypes)
-    return per_group(pairs, keys, [a, b, cost], solve, ", ".join(f"{k} {kinds[k]}" for k in [*keys, a, b]) + f", {cost} double")
+    return per_groups(pairs, keys, [a, b, cost], solve, ", ".join(f"{k} {kinds[k]}" for k in [*keys, a, b]) + f", {cost} double")
 
 
 def top_k_hungarian(pairs: DataFrame, keys: list[str], prior: str, gt: str, cost: str, k: int = 3) -> DataFrame:
     """Each ground truth is assigned up to ``k`` priors: one-to-one assignments are made again and again
     over the priors still free. keys, prior, gt, cost and round (from 1)."""
 
-    def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        left, right = np.unique(g[prior]), np.unique(g[gt])
-        c = g[cost].astype(float)
-        top = (abs(c).sum() + 1.0) * 2
-        m = np.full((len(left), len(right)), top * 1e3 + 1)
-        m[np.searchsorted(left, g[prior]), np.searchsorted(right, g[gt])] = c
-        found: list[tuple] = []
-        free = np.arange(len(left))
-        for turn in range(1, k + 1):
-            r, q = assignment_with_limit(m[free], top)
-            found += [(left[free[x]], right[y], m[free[x], y], turn) for x, y in zip(r, q, strict=True)]
-            free = np.delete(free, r)
-        columns = list(zip(*found, strict=True)) or [()] * 4
-        return {n: np.array(v) for n, v in zip((prior, gt, cost, "round"), columns, strict=True)}
+    def solve(group: np.ndarray, c: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        own = c[cost].astype(float)
+        at, left, right, whole = _listed(group, c[prior], c[gt], own)
+        rounds, taken = [], np.zeros(left.max() + 1, bool)
+        for _ in range(k):
+            open_ = np.flatnonzero(~taken[left])
+            ok = open_[heaviest_pairs(left[open_], right[open_], whole[open_] - own[at[open_]])]
+            taken[left[ok]] = True
+            rounds.append(at[ok])
+        rows = np.concatenate(rounds)
+        return group[rows], {prior: c[prior][rows], gt: c[gt][rows], cost: own[rows], "round": np.repeat(np.arange(1, k + 1), [len(r) for r in rounds])}
 
     kinds = dict(pairs.dtypes)
-    return per_group(pairs, keys, [prior, gt, cost], solve, ", ".join(f"{x} {kinds[x]}" for x in [*keys, prior, gt]) + f", {cost} double, round int")
+    return per_groups(pairs, keys, [prior, gt, cost], solve, ", ".join(f"{x} {kinds[x]}" for x in [*keys, prior, gt]) + f", {cost} double, round int")
 
 
 def max_iou_assign(pairs: DataFrame, keys: list[str], prior: str = "det_id", gt: str = "gt_id", positive: float = 0.5, negative: float = 0.4, least: float = 0.0, low_quality: bool = True) -> DataFrame:

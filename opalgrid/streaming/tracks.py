@@ -13,8 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from opalgrid.operators.assign import assignment_with_limit
-from opalgrid.operators.groups import per_group
+from opalgrid.operators.assign import assignment_with_limit, heaviest_pairs
+from opalgrid.operators.groups import changes, meetings, per_group, per_groups
 from opalgrid.session import ship
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -178,24 +178,154 @@ class Tracker:
         return out
 
 
-def track_video(part: pd.DataFrame, kind: str, video: str, frame: str, **options) -> pd.DataFrame:
-    own, rows = Tracker(kind, **options), []
-    part = part.sort_values([frame, "det_id"], ignore_index=True)
-    for f, g in part.groupby(frame, sort=True):
-        features = np.stack(g["feature"].to_list()) if "feature" in g else None
-        ids = own.step(int(f), g[BOX].to_numpy(float), g["score"].to_numpy(float), features)
-        rows.append(g.assign(track_id=ids))
-    out = pd.concat(rows) if rows else part.assign(track_id=-1)
-    return out.loc[out["track_id"] >= 0, [video, frame, "det_id", "track_id", *BOX, "score"]]
+def iou_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of boxes row by row."""
+    w = np.clip(np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0]), 0, None)
+    i = w * np.clip(np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1]), 0, None)
+    u = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1]) + (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) - i
+    return np.where(u > 0, i / np.where(u > 0, u, 1), 0)
+
+
+def in_step(group: np.ndarray, frame: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of all groups' first frames, then of their second ones, and so on. Rows are sorted by group and frame."""
+    own = np.cumsum(changes(group, frame)) - 1
+    first = own[changes(group)]
+    rank = own - first[group]
+    order = np.argsort(rank, kind="stable")
+    yield from np.split(order, np.flatnonzero(np.diff(rank[order])) + 1) if len(order) else ()
+
+
+class Tracks:
+    """State of the tracks of many videos, one row a track, by video and id. The filter is Kalman's: as its
+    coordinates do not depend on each other, a covariance is four numbers for each of them."""
+
+    def __init__(self, length: int):
+        number, sides = (lambda: np.empty(0, int)), lambda n=4: np.empty((0, n))
+        self.at = {"video": number(), "id": number(), "frame": number(), "born": number(), "hits": number(), "z": sides(), "dz": sides(), "pp": sides(), "pv": sides(), "vp": sides(), "vv": sides(), "box": sides(), "speed": sides(2), "feature": sides(length)}
+
+    def keep(self, which: np.ndarray) -> None:
+        self.at = {k: v[which] for k, v in self.at.items()}
+
+    @staticmethod
+    def _scaled(h: np.ndarray, by: float, third: float) -> np.ndarray:
+        out = np.repeat((by * h)[:, None], 4, axis=1)
+        out[:, 2] = third
+        return out**2
+
+    def predict(self) -> None:
+        t, h = self.at, self.at["z"][:, 3]
+        p, v = self._scaled(h, Kalman.position, 1e-2), self._scaled(h, Kalman.velocity, 1e-5)
+        t["z"] = t["z"] + t["dz"]
+        pv, vp = t["pv"] + t["vv"], t["vp"] + t["vv"]
+        t["pp"], t["pv"], t["vp"], t["vv"] = (t["pp"] + t["vp"]) + pv + p, pv, vp, t["vv"] + v
+
+    def boxes(self) -> np.ndarray:
+        z = self.at["z"]
+        w = z[:, 2] * z[:, 3]
+        return np.stack([z[:, 0] - w / 2, z[:, 1] - z[:, 3] / 2, z[:, 0] + w / 2, z[:, 1] + z[:, 3] / 2], axis=1)
+
+    @staticmethod
+    def _state(b: np.ndarray) -> np.ndarray:
+        w, h = b[:, 2] - b[:, 0], np.maximum(b[:, 3] - b[:, 1], 1e-6)
+        return np.stack([(b[:, 0] + b[:, 2]) / 2, (b[:, 1] + b[:, 3]) / 2, w / h, h], axis=1)
+
+    def renew(self, i: np.ndarray, box: np.ndarray, frame: np.ndarray, feature: np.ndarray) -> None:
+        t = self.at
+        s = t["pp"][i] + self._scaled(t["z"][i, 3], Kalman.position, 1e-1)
+        kp, kv = t["pp"][i] / s, t["pv"][i] / s
+        d = self._state(box) - t["z"][i]
+        t["z"][i] += kp * d
+        t["dz"][i] += kv * d
+        for name, one, other in (("pp", kp, kp), ("pv", kp, kv), ("vp", kv, kp), ("vv", kv, kv)):
+            t[name][i] -= one * s * other
+        t["speed"][i] = ((box[:, :2] + box[:, 2:]) - (t["box"][i, :2] + t["box"][i, 2:])) / 2 / np.maximum(1, frame - t["frame"][i])[:, None]
+        t["box"][i], t["frame"][i] = box, frame
+        t["hits"][i] += 1
+        if feature.shape[1]:
+            f = 0.9 * t["feature"][i] + 0.1 * feature
+            t["feature"][i] = f / np.maximum(np.linalg.norm(f, axis=1), 1e-12)[:, None]
+
+    def start(self, video: np.ndarray, ids: np.ndarray, box: np.ndarray, frame: np.ndarray, feature: np.ndarray) -> None:
+        z = self._state(box)
+        none = np.zeros_like(z)
+        new = {"video": video, "id": ids, "frame": frame, "born": frame, "hits": np.ones(len(ids), int), "z": z, "dz": none, "pp": self._scaled(z[:, 3], 2 * Kalman.position, 1e-2), "pv": none, "vp": none, "vv": self._scaled(z[:, 3], 10 * Kalman.velocity, 1e-5), "box": box, "speed": np.zeros((len(ids), 2)), "feature": feature}
+        self.at = {k: np.concatenate([v, new[k]]) for k, v in self.at.items()}
+        self.keep(np.argsort(self.at["video"], kind="stable"))
+
+
+def track_videos(video: np.ndarray, frame: np.ndarray, boxes: np.ndarray, scores: np.ndarray, features: np.ndarray | None, kind: str, **options) -> np.ndarray:
+    """Track ids of the detections of many videos (-1: none), as ``Tracker`` gives them to each: the first frames
+    of all videos in one step, then the second ones. Rows are sorted by video (numbers from 0), frame and id."""
+    o = Tracker(kind, **options)
+    features = np.empty((len(boxes), 0)) if features is None else features
+    out, tracks = np.full(len(boxes), -1), Tracks(features.shape[1])
+    n_videos = int(video[-1]) + 1 if len(video) else 0
+    following, now, there = np.zeros(n_videos, int), np.zeros(n_videos, int), np.zeros(n_videos, bool)
+    frame0 = frame[changes(video)]
+
+    def associate(free: np.ndarray, at: np.ndarray, least: float, weighted: bool, seen: bool) -> tuple[np.ndarray, np.ndarray]:
+        t = tracks.at
+        mine = t["box"] if seen else tracks.boxes()
+        i, k = meetings(t["video"][free], video[at])
+        i, k = free[i], at[k]
+        gain = iou_of(mine[i], boxes[k])
+        ok = gain > least
+        i, k, gain = i[ok], k[ok], gain[ok]
+        value = gain * scores[k] if weighted else gain
+        if kind == "oc" and not seen:
+            d, v = (boxes[k, :2] + boxes[k, 2:]) / 2 - (mine[i, :2] + mine[i, 2:]) / 2, t["speed"][i]
+            n = np.linalg.norm(d, axis=1) * np.maximum(np.linalg.norm(v, axis=1), 1e-9)
+            value = value + o.direction * np.where(n > 1e-9, (d * v).sum(axis=1) / np.maximum(n, 1e-9), 0) * 0.5
+        if kind == "strong" and features.shape[1]:
+            value = o.appearance * (t["feature"][i] * features[k]).sum(axis=1) + (1 - o.appearance) * value
+        made = heaviest_pairs(i, k, 1 + value)  # an assignment at cost 1 - value with a limit of 2
+        return i[made], k[made]
+
+    for rows in in_step(video, frame):
+        there[:] = False
+        there[video[rows]], now[video[rows]] = True, frame[rows]
+        t = tracks.at
+        idle = now[t["video"]] - t["frame"]
+        tracks.keep(there[t["video"]] & (idle <= o.retain) & ((t["hits"] >= o.confirm) | (idle <= 1) | (t["born"] == frame0[t["video"]])))
+        tracks.predict()
+        strong = rows[scores[rows] >= o.high]
+        weak = rows[(scores[rows] < o.high) & (scores[rows] >= o.low)] if kind in ("byte", "oc") else rows[:0]
+        rounds = [(strong, True, o.match, False), (weak, False, 0.5, False)]
+        if kind == "oc":
+            rounds.append((strong, False, o.match, True))
+        free = np.ones(len(tracks.at["id"]), bool)
+        for at, weighted, least, seen in rounds:
+            at = at[out[at] < 0]
+            t = tracks.at
+            near = free if kind != "byte" or weighted else free & (t["frame"] == now[t["video"]] - 1)
+            i, k = associate(np.flatnonzero(near), at, least, weighted, seen)
+            out[k] = t["id"][i]
+            free[i] = False
+            tracks.renew(i, boxes[k], frame[k], features[k])
+        new = strong[(out[strong] < 0) & (scores[strong] >= o.first)]
+        if len(new):
+            v = video[new]
+            n = np.bincount(v, minlength=n_videos)
+            out[new] = following[v] + np.arange(len(new)) - np.searchsorted(v, v, "left")
+            following += n
+            tracks.start(v, out[new], boxes[new], frame[new], features[new])
+    return out
 
 
 def track(dets: DataFrame, kind: str = "byte", video: str = "video", frame: str = "frame_id", **options) -> DataFrame:
-    """Detections with track ids, per video. A video is one task: its state is sequential."""
-    ship(dets.sparkSession)
+    """Detections with track ids, per video. A video is one task, as its state is sequential; the videos of a
+    task move on together. ``options`` are those of Tracker."""
     kinds = dict(dets.dtypes)
     schema = f"{video} {kinds[video]}, {frame} {kinds[frame]}, det_id {kinds['det_id']}, track_id long, x1 double, y1 double, x2 double, y2 double, score double"
-    rows = dets.select(video, frame, "det_id", *[F.col(c).cast("double").alias(c) for c in BOX], F.col("score").cast("double").alias("score"), *(["feature"] if "feature" in dets.columns else []))
-    return rows.groupBy(video).applyInPandas(lambda p: track_video(p, kind, video, frame, **options), schema)
+    rows = dets.where(F.col(frame).isNotNull()).select(video, frame, "det_id", *[F.col(c).cast("double").alias(c) for c in BOX], F.col("score").cast("double").alias("score"), *(["feature"] if "feature" in dets.columns else []))
+    columns = [c for c in rows.columns if c != video]
+
+    def solve(group: np.ndarray, c: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        ids = track_videos(group, c[frame].astype(int), np.stack([c[x] for x in BOX], axis=1), c["score"], c.get("feature"), kind, **options)
+        at = np.flatnonzero(ids >= 0)
+        return group[at], {"track_id": ids[at], **{x: c[x][at] for x in (frame, "det_id", *BOX, "score")}}
+
+    return per_groups(rows, [video], columns, solve, schema, order=[frame, "det_id"])
 
 
 def link_tracklets(ends: DataFrame, video: str = "video", track_id: str = "track_id", frame: str = "frame_id", max_frames: int = 30, max_distance: float = 75.0) -> DataFrame:
