@@ -72,3 +72,7 @@ def test_heaviest_pairs_are_optimal(n):
         for part in (ok[: len(a)], ok[len(a) :]):
             assert np.bincount(a[part]).max(initial=0) <= 1 and np.bincount(b[part]).max(initial=0) <= 1
             assert abs(w[a, b][part].sum() + cost[r, c].sum()) < 1e-9
+
+
+def test_byte_tracks_many_videos_in_step():
+    check_kind("byte")
