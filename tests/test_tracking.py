@@ -76,3 +76,7 @@ def test_heaviest_pairs_are_optimal(n):
 
 def test_byte_tracks_many_videos_in_step():
     check_kind("byte")
+
+
+def test_strong_tracks_many_videos_in_step():
+    check_kind("strong")
