@@ -80,3 +80,7 @@ def test_byte_tracks_many_videos_in_step():
 
 def test_strong_tracks_many_videos_in_step():
     check_kind("strong")
+
+
+def test_oc_tracks_many_videos_in_step():
+    check_kind("oc")
