@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opalgrid.operators import assign as A
-from opalgrid.streaming import tracks as K
+from opalgrid.streaming import mot, tracks as K
 
 
 def walkers(videos: int, frames: int = 8, objects: int = 6, seed: int = 5) -> tuple[np.ndarray, ...]:
@@ -84,3 +84,59 @@ def test_strong_tracks_many_videos_in_step():
 
 def test_oc_tracks_many_videos_in_step():
     check_kind("oc")
+
+
+def hota_of_one(part) -> dict:
+    """HOTA, detection and association accuracy of one video, the mean over overlaps. Rows as in
+    video_figures. Pairs of a frame are assigned to favour tracks that agree over the whole video."""
+    frames = []
+    for _, f in part.groupby("frame_id", sort=True):
+        g, p = f[f["kind"] == "g"], f[f["kind"] == "p"]
+        frames.append((g["track_id"].to_numpy(), p["track_id"].to_numpy(), K.iou_matrix(g[K.BOX].to_numpy(float), p[K.BOX].to_numpy(float))))
+    own, theirs = (np.unique(np.concatenate([f[i] for f in frames])) for i in (0, 1))
+    n_own, n_theirs, alike = np.zeros(len(own)), np.zeros(len(theirs)), np.zeros((len(own), len(theirs)))
+    placed = [(np.searchsorted(own, a), np.searchsorted(theirs, b), o) for a, b, o in frames]
+    for a, b, o in placed:
+        n_own[a] += 1
+        n_theirs[b] += 1
+        total = o.sum(axis=0)[None] + o.sum(axis=1)[:, None] - o
+        alike[np.ix_(a, b)] += np.divide(o, total, out=np.zeros_like(o), where=total > 1e-12)
+    whole = n_own[:, None] + n_theirs[None] - alike
+    alike = np.divide(alike, whole, out=np.zeros_like(alike), where=whole > 0)
+    hits = np.zeros((len(mot.LEVELS), len(own), len(theirs)))
+    for a, b, o in placed:
+        if not o.size:
+            continue
+        r, c = A.linear_assignment(-(alike[np.ix_(a, b)] * o))
+        for k, level in enumerate(mot.LEVELS):
+            ok = o[r, c] >= level - 1e-12
+            np.add.at(hits[k], (a[r[ok]], b[c[ok]]), 1)
+    tp = hits.sum(axis=(1, 2))
+    det = tp / np.maximum(1, n_own.sum() + n_theirs.sum() - tp)
+    share = hits / np.maximum(1, n_own[None, :, None] + n_theirs[None, None] - hits)
+    ass = (hits * share).sum(axis=(1, 2)) / np.maximum(1, tp)
+    return {"hota": float(np.sqrt(det * ass).mean()), "det_a": float(det.mean()), "ass_a": float(ass.mean())}
+
+
+def figures_input(kind="byte"):
+    """Ground truth and tracks of many videos as columns, and the number of each row's video."""
+    import pandas as pd
+
+    v, f, box, score, _ = walkers(20)
+    draw = np.random.default_rng(2)
+    ids = K.track_videos(v, f, box, score, None, kind, high=0.5, start=0.5)
+    truth = np.concatenate([np.arange(n) % 6 for n in np.bincount(v)])
+    order = np.lexsort((truth, f, v))
+    rows = [pd.DataFrame({"v": v, "frame_id": f, "kind": k, "track_id": t, **dict(zip(K.BOX, b.T, strict=True))}) for k, t, b in (("g", truth[order], box + draw.normal(0, 3, box.shape)), ("p", ids, box))]
+    rows[0] = rows[0].drop_duplicates(["v", "frame_id", "track_id"])
+    d = pd.concat([rows[0], rows[1][ids >= 0]]).sort_values(["v", "frame_id", "kind", "track_id"], ignore_index=True)
+    return d, {c: d[c].to_numpy() for c in d.columns if c != "v"}, d["v"].to_numpy()
+
+
+def test_hota_of_many_videos():
+    d, c, v = figures_input()
+    got = mot.hota_figures(v, c)
+    for video, part in d.groupby("v"):
+        want = hota_of_one(part)
+        assert all(abs(got[k][video] - want[k]) < 1e-9 for k in want)
+    assert 0.05 < got["hota"].mean() < 0.95
