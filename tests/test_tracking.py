@@ -140,3 +140,48 @@ def test_hota_of_many_videos():
         want = hota_of_one(part)
         assert all(abs(got[k][video] - want[k]) < 1e-9 for k in want)
     assert 0.05 < got["hota"].mean() < 0.95
+
+
+def clear_of_one(part, threshold: float) -> dict:
+    """Counts of one video. Rows: kind ("g" or "p"), frame_id, track_id, box. A pair of the frame
+    before stays while it overlaps enough; the rest is assigned anew at least cost."""
+    hits = misses = alarms = switches = 0
+    overlap, last, pairs = 0.0, {}, {}
+    for _, f in part.groupby("frame_id", sort=True):
+        g, p = f[f["kind"] == "g"], f[f["kind"] == "p"]
+        gi, pi = g["track_id"].to_list(), p["track_id"].to_list()
+        o = K.iou_matrix(g[K.BOX].to_numpy(float), p[K.BOX].to_numpy(float))
+        free_g, free_p, now = list(range(len(gi))), list(range(len(pi))), []
+        for a in range(len(gi)):
+            b = pi.index(last[gi[a]]) if last.get(gi[a]) in pi else -1
+            if b in free_p and o[a, b] >= threshold:
+                now.append((a, b))
+                free_g.remove(a)
+                free_p.remove(b)
+        if free_g and free_p:
+            cost = np.where(o[np.ix_(free_g, free_p)] >= threshold, 1 - o[np.ix_(free_g, free_p)], 1e6)
+            for a, b in zip(*A.assignment_with_limit(cost, 2.0), strict=True):
+                if cost[a, b] < 1e6:
+                    now.append((free_g[a], free_p[b]))
+        for a, b in now:
+            switches += gi[a] in last and last[gi[a]] != pi[b]
+            last[gi[a]] = pi[b]
+            overlap += o[a, b]
+        hits, misses, alarms = hits + len(now), misses + len(gi) - len(now), alarms + len(pi) - len(now)
+        for a, b in zip(*np.nonzero(o >= threshold), strict=True):
+            pairs[gi[a], pi[b]] = pairs.get((gi[a], pi[b]), 0) + 1
+    left, right = sorted({a for a, _ in pairs}, key=str), sorted({b for _, b in pairs}, key=str)
+    m = np.zeros((len(left), len(right)))
+    for (a, b), n in pairs.items():
+        m[left.index(a), right.index(b)] = -n
+    r, c = A.linear_assignment(m)
+    return {"n_gt": int((part["kind"] == "g").sum()), "n_pred": int((part["kind"] == "p").sum()), "hits": hits, "misses": misses, "false_alarms": alarms, "switches": switches, "overlap": float(overlap), "id_hits": int(-m[r, c].sum())}
+
+
+def test_clear_figures_of_many_videos():
+    d, c, v = figures_input("sort")
+    got = mot.clear_figures(v, c, 0.5)
+    for video, part in d.groupby("v"):
+        want = clear_of_one(part, 0.5)
+        assert all(abs(got[k][video] - want[k]) < 1e-9 for k in want)
+    assert got["switches"].sum() > 0
