@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from opalgrid.operators.assign import assignment_with_limit, heaviest_pairs
-from opalgrid.operators.groups import changes, meetings, per_group, per_groups
+from opalgrid.operators.groups import changes, meetings, per_groups
 from opalgrid.session import ship
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -39,20 +39,27 @@ def smooth_tracks(tracks: DataFrame, length: float = 10.0, noise: float = 1.0, v
     process over frames (squared exponential kernel of that length, noise relative to its variance) about the
     track's line of least squares. Frames, scores and the number of rows stay. One track is one group."""
 
-    def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        at = g[frame].astype(float)
-        kernel = np.exp(-0.5 * ((at[:, None] - at[None, :]) / length) ** 2)
-        weigh = np.linalg.solve(kernel + noise * np.eye(len(at)), kernel).T
-        line = np.stack([np.ones_like(at), at - at.mean()], axis=1)
-        out = {frame: g[frame], "score": g["score"]}
-        for c in BOX:
-            trend = line @ np.linalg.lstsq(line, g[c].astype(float), rcond=None)[0]
-            out[c] = trend + weigh @ (g[c] - trend)
-        return out
+    def solve(group: np.ndarray, g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        n = np.bincount(group)
+        first, at = np.cumsum(n) - n, g[frame].astype(float)
+        value = np.stack([g[c].astype(float) for c in BOX], axis=1)
+        out = np.empty_like(value)
+        for size in np.unique(n):  # tracks of one length are solved in one call
+            own = first[n == size]
+            for some in np.split(own, range(step := max(1, 1_000_000 // int(size) ** 2), len(own), step)):
+                rows = some[:, None] + np.arange(size)
+                x, y = at[rows], value[rows]
+                kernel = np.exp(-0.5 * ((x[:, :, None] - x[:, None, :]) / length) ** 2)
+                off = (x - x.mean(axis=1, keepdims=True))[..., None]
+                spread = (off**2).sum(axis=1, keepdims=True)
+                slope = np.divide((off * y).sum(axis=1, keepdims=True), spread, out=np.zeros((len(y), 1, 4)), where=spread > 0)
+                trend = y.mean(axis=1, keepdims=True) + off * slope
+                out[rows] = trend + kernel @ np.linalg.solve(kernel + noise * np.eye(size), y - trend)
+        return group, {frame: g[frame], "score": g["score"], **{c: out[:, i] for i, c in enumerate(BOX)}}
 
     kinds = dict(tracks.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in (video, track, frame)) + "".join(f", {c} double" for c in [*BOX, "score"])
-    return per_group(tracks, [video, track], [frame, *BOX, "score"], solve, schema)
+    return per_groups(tracks, [video, track], [frame, *BOX, "score"], solve, schema)
 
 
 class Kalman:
@@ -328,11 +335,11 @@ def track(dets: DataFrame, kind: str = "byte", video: str = "video", frame: str
     return per_groups(rows, [video], columns, solve, schema, order=[frame, "det_id"])
 
 
-def link_tracklets(ends: DataFrame, video: str = "video", track_id: str = "track_id", frame: str = "frame_id", max_frames: int = 30, max_distance: float = 75.0) -> DataFrame:
-    """Pairs (a, b): b begins 1 to ``max_frames`` after a ends and near its place, the nearest in time
-    and space for both. An interval join inside one video: starts are bucketed by frame."""
+def link_tracklets(ends: DataFrame, video: str = "video", track_id: str = "track_id", frame: str = "frame_id", max_frames: int = 30, max_distance: float = 75.0, place: tuple[Column, Column] | None = None) -> DataFrame:
+    """Pairs (a, b): b begins 1 to ``max_frames`` after a ends and near its place (the box's centre, if not
+    given), the nearest in time and space for both. An interval join inside one video: starts are bucketed by frame."""
     w = W.partitionBy(video, track_id)
-    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    cx, cy = place or ((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2)
     span = ends.withColumns({"cx": cx, "cy": cy}).groupBy(video, track_id).agg(F.min(F.struct(frame, "cx", "cy")).alias("s"), F.max(F.struct(frame, "cx", "cy")).alias("e"))
     a = span.select(video, F.col(track_id).alias("a"), "e", F.explode(F.array((F.col(f"e.{frame}") / max_frames).cast("long"), (F.col(f"e.{frame}") / max_frames).cast("long") + 1)).alias("bucket"))
     b = span.select(video, F.col(track_id).alias("b"), "s", (F.col(f"s.{frame}") / max_frames).cast("long").alias("bucket"))
