@@ -193,7 +193,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY video, a ORDER BY gap, away, b)
 SELECT video, a, b, gap FROM r WHERE ra = 1 AND rb = 1""")
 def d27(spark, sf):
     t = event_tracks(spark, sf).withColumn("track_id", F.concat(F.col("track_id"), F.lit("/"), F.expr("frame_id div 10").cast("string")))
-    return K.link_tracklets(t, max_frames=30, max_distance=500.0)
+    # boxes are of one size: the corner moves as the centre does, and adds no rounding of its own to ties
+    return K.link_tracklets(t, max_frames=30, max_distance=500.0, place=(F.col("x1"), F.col("y1")))
 
 
 def video_dets(spark, sf):
