@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from opalgrid.functions.geometry import Box, area, iou
-from opalgrid.operators.groups import per_group
+from opalgrid.operators.groups import per_groups
 
 BOX = ["x1", "y1", "x2", "y2"]
 #: Most rows of the configuration table that ``label_offsets`` numbers in one task.
@@ -148,64 +148,77 @@ def label_offsets(chunks: DataFrame) -> DataFrame:
 
 
 class Clusters:
-    """Running sums of the clusters of one group; a cluster's box is its weighted mean."""
-
-    def __init__(self, rows: int, models: int):
-        self.n = 0
-        self.moment, self.mass = np.zeros((rows, 4)), np.zeros(rows)
-        self.members, self.best, self.voiced = np.zeros(rows, int), np.zeros(rows), np.zeros(rows)
-        self.heard = np.zeros((rows, models), bool)
-
-    def boxes(self) -> np.ndarray:
-        return self.moment[: self.n] / self.mass[: self.n, None]
-
-    def nearest(self, box: np.ndarray) -> tuple[int, float]:
-        """The cluster of highest IoU, the first of several, and that IoU."""
-        if not self.n:
-            return -1, 0.0
-        own = self.boxes()
-        sides = np.clip(np.minimum(own[:, 2:], box[2:]) - np.maximum(own[:, :2], box[:2]), 0, None).prod(axis=1)
-        whole = (own[:, 2:] - own[:, :2]).prod(axis=1) + (box[2:] - box[:2]).prod() - sides
-        share = np.divide(sides, whole, out=np.zeros(self.n), where=whole > 0)
-        k = int(share.argmax())
-        return k, float(share[k])
-
-    def add(self, k: int, box: np.ndarray, score: float, model: int, weight: float) -> None:
-        self.moment[k] += max(score, 1e-12) * box
-        self.mass[k] += max(score, 1e-12)
-        self.members[k] += 1
-        self.best[k] = max(self.best[k], score)
-        self.voiced[k] += weight
-        self.heard[k, model] = True
-        self.n = max(self.n, k + 1)
-
-
-def _confidence(c: Clusters, total: np.ndarray, weights: np.ndarray, mode: str, allows_overflow: bool) -> np.ndarray:
-    """Fused scores. A mode is a row of a table: what is shared out, and among what weight."""
-    n = c.n
-    present = c.heard[:n] @ weights
-    count = c.members[:n] if allows_overflow else np.minimum(c.members[:n], len(weights))
-    mean = total / c.members[:n]
+    """Running sums of the clusters of many groups, groups by clusters; a cluster's box is its weighted mean."""
+
+    def __init__(self, groups: int, rows: int, models: int):
+        shape = (groups, rows)
+        self.n = np.zeros(groups, int)
+        self.moment, self.mass, self.total = np.zeros((*shape, 4)), np.zeros(shape), np.zeros(shape)
+        self.members, self.best, self.voiced = np.zeros(shape, int), np.zeros(shape), np.zeros(shape)
+        self.heard = np.zeros((*shape, models), bool)
+
+    def nearest(self, box: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the first groups, as many as there are boxes: the cluster of highest IoU, the first of several, and
+        that IoU. No group has more than ``most`` clusters yet."""
+        of = slice(0, len(box))
+        if not most:
+            return np.zeros(len(box), int), np.full(len(box), -np.inf)
+        mass = self.mass[of, :most]
+        own = self.moment[of, :most] / np.where(mass > 0, mass, 1)[..., None]
+        b = box[:, None]
+        sides = np.clip(np.minimum(own[..., 2:], b[..., 2:]) - np.maximum(own[..., :2], b[..., :2]), 0, None).prod(axis=2)
+        whole = (own[..., 2:] - own[..., :2]).prod(axis=2) + (b[..., 2:] - b[..., :2]).prod(axis=2) - sides
+        share = np.divide(sides, whole, out=np.zeros_like(sides), where=whole > 0)
+        share[np.arange(most) >= self.n[of, None]] = -np.inf
+        k = share.argmax(axis=1)
+        return k, share[np.arange(len(box)), k]
+
+    def add(self, k: np.ndarray, box: np.ndarray, score: np.ndarray, model: np.ndarray, weight: np.ndarray) -> None:
+        at = (np.arange(len(k)), k)
+        mass = np.maximum(score, 1e-12)
+        self.moment[at] += mass[:, None] * box
+        self.mass[at] += mass
+        self.members[at] += 1
+        self.best[at] = np.maximum(self.best[at], score)
+        self.voiced[at] += weight
+        self.total[at] += score
+        self.heard[(*at, model)] = True
+        self.n[: len(k)] = np.maximum(self.n[: len(k)], k + 1)
+
+
+def _confidence(c: Clusters, at: tuple[np.ndarray, np.ndarray], weights: np.ndarray, mode: str, allows_overflow: bool) -> np.ndarray:
+    """Fused scores of clusters. A mode is a row of a table: what is shared out, and among what weight."""
+    present, total, members = c.heard[at] @ weights, c.total[at], c.members[at]
+    count = members if allows_overflow else np.minimum(members, len(weights))
     table = {
-        "avg": (mean * count, weights.sum()),
-        "max": (c.best[:n], weights.max()),
-        "box_and_model_avg": (total * present, c.voiced[:n] * weights.sum()),
-        "absent_model_aware_avg": (total, c.voiced[:n] + weights.sum() - present),
+        "avg": (total / members * count, weights.sum()),
+        "max": (c.best[at], weights.max()),
+        "box_and_model_avg": (total * present, c.voiced[at] * weights.sum()),
+        "absent_model_aware_avg": (total, c.voiced[at] + weights.sum() - present),
     }
     shared, among = table[mode]
     return shared / among
 
 
-def fuse_group(boxes: np.ndarray, scores: np.ndarray, models: np.ndarray, weights: np.ndarray, threshold: float, mode: str, allows_overflow: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted boxes fusion of one image and label; inputs in falling order of weighted score. Each
-    box joins the cluster it overlaps most, if by more than ``threshold``, or opens one."""
-    c, total = Clusters(len(boxes), len(weights)), np.zeros(len(boxes))
-    for box, score, model in zip(boxes, scores, models, strict=True):
-        k, share = c.nearest(box)
-        k = k if share > threshold else c.n
-        c.add(k, box, float(score), int(model), float(weights[model]))
-        total[k] += score
-    return c.boxes(), _confidence(c, total[: c.n], weights, mode, allows_overflow)
+def fuse_groups(group: np.ndarray, boxes: np.ndarray, scores: np.ndarray, models: np.ndarray, weights: np.ndarray, threshold: float, mode: str, allows_overflow: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted boxes fusion of many images and labels: group, box and score of the clusters. Inputs by group (from
+    0) and falling weighted score. Each box joins the cluster it overlaps most, if by more than ``threshold``, or
+    opens one; the first boxes of like-sized groups are placed in one step, then the second ones."""
+    n = np.bincount(group)
+    first = np.cumsum(n) - n
+    out = []
+    for size in np.unique(np.ceil(np.log2(n))):
+        own = np.flatnonzero(np.ceil(np.log2(n)) == size)
+        own = own[np.argsort(-n[own], kind="stable")]
+        for some in np.split(own, range(step := max(1, 1_000_000 // int(n[own[0]])), len(own), step)):
+            c = Clusters(len(some), int(n[some[0]]), len(weights))
+            for k in range(int(n[some[0]])):
+                r = first[some[: np.searchsorted(-n[some], -k, "left")]] + k
+                near, share = c.nearest(boxes[r], k)
+                c.add(np.where(share > threshold, near, c.n[: len(r)]), boxes[r], scores[r], models[r], weights[models[r]])
+            at = np.nonzero(np.arange(c.mass.shape[1]) < c.n[:, None])
+            out.append((some[at[0]], c.moment[at] / c.mass[at][:, None], _confidence(c, at, weights, mode, allows_overflow)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def weighted_boxes_fusion(df: DataFrame, image: str, label: str, weights: list[float], threshold: float = 0.55, least: float = 0.0, mode: str = "avg", score: str = "score", pos: str = "det_id", model: str = "model") -> DataFrame:
@@ -213,15 +226,15 @@ def weighted_boxes_fusion(df: DataFrame, image: str, label: str, weights: list[f
     so the candidates of one image and label are clustered in one pass over them."""
     w = np.asarray(weights, float)
 
-    def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def solve(group: np.ndarray, g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         s = g["__s"] * w[g[model]]
-        order = np.lexsort((g[pos], -s))
-        fused, out = fuse_group(np.stack([g[c] for c in BOX], axis=1)[order], s[order], g[model][order], w, threshold, mode)
-        return {"score": out, **{c: fused[:, i] for i, c in enumerate(BOX)}}
+        order = np.lexsort((g[pos], -s, group))
+        at, fused, out = fuse_groups(group[order], np.stack([g[c] for c in BOX], axis=1)[order], s[order], g[model][order], w, threshold, mode)
+        return at, {"score": out, **{c: fused[:, i] for i, c in enumerate(BOX)}}
 
     kinds = dict(df.dtypes)
     rows = df.where(F.col(score) >= least).where((area(Box(*map(F.col, BOX))) > 0)).select(image, label, F.col(score).cast("double").alias("__s"), pos, model, *[F.col(c).cast("double").alias(c) for c in BOX])
-    return per_group(rows, [image, label], [pos, model, "__s", *BOX], solve, f"{image} {kinds[image]}, {label} {kinds[label]}, score double, x1 double, y1 double, x2 double, y2 double")
+    return per_groups(rows, [image, label], [pos, model, "__s", *BOX], solve, f"{image} {kinds[image]}, {label} {kinds[label]}, score double, x1 double, y1 double, x2 double, y2 double")
 
 
 def pseudo_labels(df: DataFrame, image: str, label: str, least: float, threshold: float, score: str = "score", pos: str = "det_id") -> DataFrame:
