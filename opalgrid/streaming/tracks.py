@@ -195,9 +195,9 @@ def iou_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def in_step(group: np.ndarray, frame: np.ndarray) -> Iterator[np.ndarray]:
     """Rows of all groups' first frames, then of their second ones, and so on. Rows are sorted by group and frame."""
+    new = changes(group)
     own = np.cumsum(changes(group, frame)) - 1
-    first = own[changes(group)]
-    rank = own - first[group]
+    rank = own - own[new][np.cumsum(new) - 1]
     order = np.argsort(rank, kind="stable")
     yield from np.split(order, np.flatnonzero(np.diff(rank[order])) + 1) if len(order) else ()
 

@@ -185,3 +185,15 @@ def test_clear_figures_of_many_videos():
         want = clear_of_one(part, 0.5)
         assert all(abs(got[k][video] - want[k]) < 1e-9 for k in want)
     assert got["switches"].sum() > 0
+
+
+def test_clear_figures_where_a_video_has_no_pairs():
+    d, c, v = figures_input("sort")
+    far = (v == 3) & (c["kind"] == "p")
+    for x in K.BOX:
+        d.loc[far, x] += 1e4
+    got = mot.clear_figures(v, {x: d[x].to_numpy() for x in d.columns if x != "v"}, 0.5)
+    for video, part in d.groupby("v"):
+        want = clear_of_one(part, 0.5)
+        assert all(abs(got[k][video] - want[k]) < 1e-9 for k in want)
+    assert got["hits"][3] == 0
