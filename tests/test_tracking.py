@@ -197,3 +197,26 @@ def test_clear_figures_where_a_video_has_no_pairs():
         want = clear_of_one(part, 0.5)
         assert all(abs(got[k][video] - want[k]) < 1e-9 for k in want)
     assert got["hits"][3] == 0
+
+
+def test_mask_tracks_of_many_videos():
+    from opalgrid.streaming import memory
+
+    v, f, box, score, feature = walkers(25)
+    label = np.arange(len(v)) % 2
+    got = memory.mask_track_videos(v, f, box, score, label, feature * 3)
+    for video in range(25):
+        one = memory.MaskTrack()
+        for frame in np.unique(f[v == video]):
+            at = np.flatnonzero((v == video) & (f == frame))
+            assert (got[at] == one.step(int(frame), box[at], score[at], label[at], feature[at] * 3)).all()
+    assert got.max() >= 5
+
+
+def test_memory_tracks_are_dealt_over_many_tasks(spark):
+    from opalgrid.streaming import memory
+
+    rows = spark.range(4000).select((F.col("id") % 200).alias("video"), (F.col("id") / 200).cast("long").alias("frame_id"), F.col("id").alias("det_id"), *[F.lit(float(x)).alias(c) for c, x in zip(K.BOX, (0, 0, 9, 9), strict=True)], F.lit(0.9).alias("score"), F.lit(1).alias("label"), F.array(F.lit(1.0), F.lit(2.0)).alias("feature"))
+    out = memory.track_by_memory(rows, "quasi_dense")
+    assert out.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 4
+    assert out.count() == 4000 and memory.track_by_memory(rows.limit(0), "mask_track").count() == 0
